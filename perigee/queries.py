@@ -226,7 +226,7 @@ def track_grid(spark, sf_dir):
 def gmst(spark, sf_dir):
     df = bindings.events(spark, sf_dir).select("event_id", "ts")
     jd = df.withColumn("julian_date", frames.julian_date(F.col("ts")))
-    return rounded(jd.withColumn("gmst_deg", frames.gmst_degrees(F.col("julian_date"))), 6, "julian_date", "gmst_deg")
+    return rounded(jd.withColumn("gmst_deg", frames.gmst_degrees(F.col("julian_date"))), 6, "gmst_deg")
 
 
 @query
