@@ -64,17 +64,17 @@ def rejects(normalized: DataFrame) -> DataFrame:
     return normalized.where(F.col("reject_reason").isNotNull())
 
 
-def last_per_id(catalog: DataFrame, order: list[Column]) -> DataFrame:
+def last_per_id(catalog: DataFrame, order: list[Column | str]) -> DataFrame:
     """One row per id, the last in ``order``.
 
     The rank filter lets Spark keep one row per id and map task before the
     shuffle, so an id with very many copies does not load one task.
     """
-    last = Window.partitionBy("norad_cat_id").orderBy(*[c.desc() for c in order])
+    last = Window.partitionBy("norad_cat_id").orderBy(*[F.desc(c) for c in order])
     return catalog.withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") == 1).drop("_rank")
 
 
-def lookup(catalog: DataFrame, norad_cat_id: int, order: list[Column]) -> DataFrame:
+def lookup(catalog: DataFrame, norad_cat_id: int, order: list[Column | str]) -> DataFrame:
     """The record of one id; the filter reaches the scan because it is the window key."""
     return last_per_id(catalog, order).where(F.col("norad_cat_id") == norad_cat_id)
 
@@ -94,7 +94,7 @@ def to_response_json(rows: DataFrame) -> DataFrame:
 
 
 def search(
-    catalog: DataFrame, query: str, order: list[Column], limit: int | None = fixed.SEARCH_LIMIT
+    catalog: DataFrame, query: str, order: list[Column | str], limit: int | None = fixed.SEARCH_LIMIT
 ) -> DataFrame:
     """Records whose name, id and object id contain the text, first ``limit`` in order."""
     wanted = query.strip().lower()
