@@ -170,7 +170,9 @@ def propagate(k: SimpleNamespace, t: np.ndarray) -> tuple[np.ndarray, list[np.nd
     position = [r * w * SGP4_RADIUS_KM for w in (ux, uy, uz)]
     velocity = [(rate * w + across * v) * KM_PER_SECOND for w, v in ((ux, vx), (uy, vy), (uz, vz))]
     status = np.select(
-        [~(k.n > 0), k.deep, ~((e0 < 1) & (e0 >= -0.001)), pl < 0, ~(r >= 1)], [1, 2, 3, 4, 5], default=0
+        [k.ecc >= 1, ~(k.n > 0), k.deep, ~((e0 < 1) & (e0 >= -0.001)), pl < 0, ~(r >= 1)],
+        [3, 1, 2, 3, 4, 5],
+        default=0,
     )
     return status, position + velocity
 

@@ -97,9 +97,7 @@ def threshold_events(
     """
     samples = _with_scenario(samples).select(*SAMPLE_COLUMNS)
     thresholds = policies.select(*THRESHOLD_COLUMNS)
-    watched = join_dimension(
-        samples, thresholds.select("measurement_name").distinct(), ["measurement_name"], "left_semi"
-    )
+    watched = join_dimension(samples, thresholds.select("measurement_name"), ["measurement_name"], "left_semi")
     hot = hot_entities(watched, segment_rows)
     cut = not at_most(hot, 0)
     if cut:
