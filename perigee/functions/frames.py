@@ -16,12 +16,11 @@ J2000_JD = 2451545.0
 
 def julian_day_start(ts: Column) -> Column:
     """Julian date of the UTC midnight before ``ts``."""
-    return F.floor(F.unix_micros(ts) / F.lit(float(MICROS_PER_DAY))) + F.lit(UNIX_EPOCH_JD)
+    return F.floor(F.unix_micros(ts) / MICROS_PER_DAY) + UNIX_EPOCH_JD
 
 
 def day_fraction(ts: Column) -> Column:
-    micros = F.pmod(F.unix_micros(ts), F.lit(MICROS_PER_DAY))
-    return micros / F.lit(1e6) / F.lit(86400.0)
+    return F.pmod(F.unix_micros(ts), F.lit(MICROS_PER_DAY)) / 1e6 / 86400.0
 
 
 def julian_date(ts: Column) -> Column:
@@ -30,31 +29,19 @@ def julian_date(ts: Column) -> Column:
 
 def gmst_degrees(jd: Column) -> Column:
     """Greenwich mean sidereal angle in [0, 360)."""
-    days = jd - F.lit(J2000_JD)
-    t = days / F.lit(36525.0)
-    angle = (
-        F.lit(280.46061837)
-        + F.lit(360.98564736629) * days
-        + F.pow(t, F.lit(2.0)) * (F.lit(0.000387933) - t / F.lit(38710000.0))
-    )
+    days = jd - J2000_JD
+    t = days / 36525.0
+    angle = 280.46061837 + 360.98564736629 * days + t * t * (0.000387933 - t / 38710000.0)
     return F.pmod(angle, F.lit(360.0))
 
 
 def radians(deg: Column) -> Column:
-    return deg * F.lit(pi / 180.0)
-
-
-def degrees(rad: Column) -> Column:
-    return rad * F.lit(180.0 / pi)
+    return deg * (pi / 180.0)
 
 
 def wrap_longitude(deg: Column) -> Column:
     """Longitude in [-180, 180)."""
-    return F.pmod(deg + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
-
-
-def prime_vertical(sin_lat: Column) -> Column:
-    return F.lit(EARTH_RADIUS_KM) / F.sqrt(F.lit(1.0) - F.lit(ECC_SQUARED) * sin_lat * sin_lat)
+    return F.pmod(deg + 180.0, F.lit(360.0)) - 180.0
 
 
 def axes(x: Column, y: Column, z: Column) -> Column:
@@ -70,68 +57,63 @@ def with_geodetic(states: DataFrame, at: str, x: str, y: str, z: str) -> DataFra
     distance from the axis does not change under the sidereal rotation, which
     therefore only shifts the longitude.
     """
-    p = F.hypot(x, y)
-    shrink = F.lit(1.0 - ECC_SQUARED)
+    distance = f"hypot({x}, {y})"
 
-    def across(tangent: Column) -> Column:
+    def across(tangent: str) -> str:
         """Distance of the ellipsoid point from the axis."""
-        return F.lit(EARTH_RADIUS_KM) / F.sqrt(F.lit(1.0) + shrink * F.pow(tangent, F.lit(2.0)))
+        return f"({EARTH_RADIUS_KM}D / sqrt(1D + {1.0 - ECC_SQUARED}D * pow({tangent}, 2D)))"
 
-    entering = tangent = F.try_divide(F.col(z), p * shrink)
+    entering = tangent = f"try_divide({z}, {distance} * {1.0 - ECC_SQUARED}D)"
     for _ in range(GEODETIC_PASSES):
         entering = tangent
-        tangent = F.try_divide(F.col(z), p - F.lit(ECC_SQUARED) * across(tangent))
-    slant = F.sqrt(F.lit(1.0) + F.pow(entering, F.lit(2.0)))
-    inertial = degrees(F.atan2(F.col(y), F.col(x)))
-    dated = states.withColumn("_jd", julian_date(F.col(at)))
-    return dated.withColumns(
+        tangent = f"try_divide({z}, {distance} - {ECC_SQUARED}D * {across(tangent)})"
+    inertial = F.expr(f"degrees(atan2({y}, {x}))")
+    # the tangent entering the last pass is used twice: its own projection
+    staged = states.withColumns({"_jd": julian_date(F.col(at)), "_t": F.expr(entering)})
+    return staged.withColumns(
         {
-            "latitude_deg": degrees(F.atan(tangent)),
+            "latitude_deg": F.expr(f"degrees(atan({tangent}))"),
             "longitude_deg": wrap_longitude(inertial - gmst_degrees(F.col("_jd"))),
-            "altitude_km": slant * (p - across(entering)),
+            "altitude_km": F.expr(f"sqrt(1D + pow(_t, 2D)) * ({distance} - {across('_t')})"),
         }
-    ).drop("_jd")
+    ).drop("_jd", "_t")
 
 
-def with_ecef(df: DataFrame, latitude: str, longitude: str, altitude_km: Column, prefix: str) -> DataFrame:
+def with_ecef(df: DataFrame, latitude: str, longitude: str, altitude_km: str, prefix: str) -> DataFrame:
     """Append earth-fixed ``{prefix}x/y/z`` and the sines and cosines behind them."""
-    c = {k: f"{prefix}{k}" for k in ("sin_lat", "cos_lat", "sin_lon", "cos_lon", "n", "x", "y", "z")}
+    p = prefix
     df = df.withColumns(
         {
-            c["sin_lat"]: F.sin(radians(F.col(latitude))),
-            c["cos_lat"]: F.cos(radians(F.col(latitude))),
-            c["sin_lon"]: F.sin(radians(F.col(longitude))),
-            c["cos_lon"]: F.cos(radians(F.col(longitude))),
+            f"{p}sin_lat": F.expr(f"sin(radians({latitude}))"),
+            f"{p}cos_lat": F.expr(f"cos(radians({latitude}))"),
+            f"{p}sin_lon": F.expr(f"sin(radians({longitude}))"),
+            f"{p}cos_lon": F.expr(f"cos(radians({longitude}))"),
         }
     )
-    df = df.withColumn(c["n"], prime_vertical(F.col(c["sin_lat"])))
-    out = (F.col(c["n"]) + altitude_km) * F.col(c["cos_lat"])
+    vertical = f"{EARTH_RADIUS_KM}D / sqrt(1D - {ECC_SQUARED}D * {p}sin_lat * {p}sin_lat)"
+    df = df.withColumn(f"{p}n", F.expr(vertical))
     return df.withColumns(
         {
-            c["x"]: out * F.col(c["cos_lon"]),
-            c["y"]: out * F.col(c["sin_lon"]),
-            c["z"]: (F.col(c["n"]) * F.lit(1.0 - ECC_SQUARED) + altitude_km) * F.col(c["sin_lat"]),
+            f"{p}x": F.expr(f"({p}n + {altitude_km}) * {p}cos_lat * {p}cos_lon"),
+            f"{p}y": F.expr(f"({p}n + {altitude_km}) * {p}cos_lat * {p}sin_lon"),
+            f"{p}z": F.expr(f"({p}n * {1.0 - ECC_SQUARED}D + {altitude_km}) * {p}sin_lat"),
         }
-    ).drop(c["n"])
+    ).drop(f"{p}n")
 
 
 def with_elevation(df: DataFrame, satellite: str, station: str) -> DataFrame:
     """Append ``elevation_deg`` of the satellite above the station's horizon."""
-    sin_lat, cos_lat = F.col(f"{station}sin_lat"), F.col(f"{station}cos_lat")
-    sin_lon, cos_lon = F.col(f"{station}sin_lon"), F.col(f"{station}cos_lon")
-    df = df.withColumns(
-        {f"_d{a}": F.col(f"{satellite}{a}") - F.col(f"{station}{a}") for a in ("x", "y", "z")}
-    )
+    s, g = satellite, station
+    df = df.withColumns({f"_d{a}": F.expr(f"{s}{a} - {g}{a}") for a in ("x", "y", "z")})
     # along the station's meridian plane, outward from the axis
-    df = df.withColumn("_out", cos_lon * F.col("_dx") + sin_lon * F.col("_dy"))
+    df = df.withColumn("_out", F.expr(f"{g}cos_lon * _dx + {g}sin_lon * _dy"))
     df = df.withColumns(
         {
-            "_east": cos_lon * F.col("_dy") - sin_lon * F.col("_dx"),
-            "_north": cos_lat * F.col("_dz") - sin_lat * F.col("_out"),
-            "_up": cos_lat * F.col("_out") + sin_lat * F.col("_dz"),
+            "_east": F.expr(f"{g}cos_lon * _dy - {g}sin_lon * _dx"),
+            "_north": F.expr(f"{g}cos_lat * _dz - {g}sin_lat * _out"),
+            "_up": F.expr(f"{g}cos_lat * _out + {g}sin_lat * _dz"),
         }
     )
-    flat = F.sqrt(F.col("_east") * F.col("_east") + F.col("_north") * F.col("_north"))
-    return df.withColumn("elevation_deg", degrees(F.atan2(F.col("_up"), flat))).drop(
+    return df.withColumn("elevation_deg", F.expr("degrees(atan2(_up, hypot(_east, _north)))")).drop(
         "_dx", "_dy", "_dz", "_out", "_east", "_north", "_up"
     )

@@ -31,17 +31,18 @@ def build_bronze(
     names, ids and epochs stay as they came. ``keep`` carries extra columns.
     """
     accepted = payloads.accepted(payloads.check_shape(records), strict=strict)
-    record = F.col("record")
     kept = keep or []
-    shaped = accepted.select(
-        parsing.json_field(record, "OBJECT_NAME").alias("object_name"),
-        parsing.json_field(record, "OBJECT_ID").alias("object_id"),
-        parsing.json_field(record, "NORAD_CAT_ID").alias("norad_cat_id"),
-        parsing.json_field(record, "EPOCH").alias("epoch_raw"),
-        parsing.blank_to_null(parsing.json_field(record, "MEAN_MOTION")).alias("mean_motion_raw"),
-        parsing.blank_to_null(parsing.json_field(record, "INCLINATION")).alias("inclination_raw"),
-        parsing.blank_to_null(parsing.json_field(record, "ECCENTRICITY")).alias("eccentricity_raw"),
-        F.to_json(record).alias("raw_record_json"),
+    fields = ("OBJECT_NAME", "OBJECT_ID", "NORAD_CAT_ID", "EPOCH", "MEAN_MOTION", "INCLINATION", "ECCENTRICITY")
+    texts = accepted.withColumns({f"_{name}": parsing.json_field(F.col("record"), name) for name in fields})
+    shaped = texts.select(
+        F.col("_OBJECT_NAME").alias("object_name"),
+        F.col("_OBJECT_ID").alias("object_id"),
+        F.col("_NORAD_CAT_ID").alias("norad_cat_id"),
+        F.col("_EPOCH").alias("epoch_raw"),
+        parsing.blank_to_null(F.col("_MEAN_MOTION")).alias("mean_motion_raw"),
+        parsing.blank_to_null(F.col("_INCLINATION")).alias("inclination_raw"),
+        parsing.blank_to_null(F.col("_ECCENTRICITY")).alias("eccentricity_raw"),
+        F.to_json("record").alias("raw_record_json"),
         ingested_at.alias("_ingested_raw"),
         *kept,
     )

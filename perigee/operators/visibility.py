@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import acos, cos, degrees, radians, sqrt
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.functions import frames
@@ -35,7 +35,7 @@ def station_vectors(stations: DataFrame) -> DataFrame:
         stations.select(*STATION_COLUMNS),
         "latitude_deg",
         "longitude_deg",
-        F.col("altitude_m") / F.lit(1000.0),
+        "altitude_m / 1000D",
         "gs_",
     )
     return placed.drop("altitude_m")
@@ -47,7 +47,7 @@ def satellite_vectors(states: DataFrame) -> DataFrame:
     Were they nullable, the planner would add IS NOT NULL tests on them below the
     join and evaluate the whole frame chain a second time for those tests.
     """
-    placed = frames.with_ecef(states, "latitude_deg", "longitude_deg", F.col("altitude_km"), "sat_")
+    placed = frames.with_ecef(states, "latitude_deg", "longitude_deg", "altitude_km", "sat_")
     known = {f"sat_{a}": F.coalesce(f"sat_{a}", F.lit(float("nan"))) for a in ("x", "y", "z")}
     return placed.withColumns(known).drop("sat_sin_lat", "sat_cos_lat", "sat_sin_lon", "sat_cos_lon")
 
@@ -80,19 +80,19 @@ def reach_deg(altitude_km: float | None, min_elevation_deg: float) -> float:
     return degrees(acos(ratio * cos(elevation)) - elevation) + 2 * VERTICAL_SLACK_DEG
 
 
-def _cell(latitude, longitude):
-    rows, columns = 180 // CELL_DEG, 360 // CELL_DEG
-    row = F.least(F.floor((latitude + F.lit(90.0)) / F.lit(float(CELL_DEG))), F.lit(rows - 1))
-    column = F.least(F.floor((longitude + F.lit(180.0)) / F.lit(float(CELL_DEG))), F.lit(columns - 1))
-    # states without a position fall into no cell
-    return F.coalesce((row * F.lit(columns) + column).cast("int"), F.lit(-1))
+ROWS, COLUMNS = 180 // CELL_DEG, 360 // CELL_DEG
 
 
-def _band(altitude_km):
-    band = F.lit(len(BAND_TOPS_KM))
-    for index in reversed(range(len(BAND_TOPS_KM))):
-        band = F.when(altitude_km <= BAND_TOPS_KM[index], F.lit(index)).otherwise(band)
-    return band
+def _cell(latitude: str, longitude: str) -> Column:
+    """Cell number of a sub-satellite point; states without a position fall into none."""
+    row = f"least(floor(({latitude} + 90D) / {CELL_DEG}D), {ROWS - 1})"
+    column = f"least(floor(({longitude} + 180D) / {CELL_DEG}D), {COLUMNS - 1})"
+    return F.expr(f"coalesce(cast({row} * {COLUMNS} + {column} as int), -1)")
+
+
+def _band(altitude_km: str) -> Column:
+    tops = " ".join(f"WHEN {altitude_km} <= {top}D THEN {band}" for band, top in enumerate(BAND_TOPS_KM))
+    return F.expr(f"CASE {tops} ELSE {len(BAND_TOPS_KM)} END")
 
 
 def coverage(stations: DataFrame, min_elevation_deg: float) -> DataFrame:
@@ -101,27 +101,22 @@ def coverage(stations: DataFrame, min_elevation_deg: float) -> DataFrame:
     A cell is kept when its centre lies within the band's reach plus half a cell
     diagonal. At most bands x cells rows per station.
     """
-    rows, columns = 180 // CELL_DEG, 360 // CELL_DEG
     half_diagonal = sqrt(2) * CELL_DEG / 2
-    reaches = [
-        min(180.0, reach_deg(top, min_elevation_deg) + half_diagonal) for top in [*BAND_TOPS_KM, None]
-    ]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(r).alias("reach")) for i, r in enumerate(reaches)])
-    centre_lat = (F.floor(F.col("cell") / F.lit(float(columns))) + F.lit(0.5)) * F.lit(float(CELL_DEG)) - F.lit(90.0)
-    centre_lon = (F.pmod("cell", F.lit(columns)) + F.lit(0.5)) * F.lit(float(CELL_DEG)) - F.lit(180.0)
-    cosine = F.col("gs_sin_lat") * F.sin(frames.radians(F.col("_clat"))) + F.col("gs_cos_lat") * F.cos(
-        frames.radians(F.col("_clat"))
-    ) * F.cos(frames.radians(F.col("_clon") - F.col("longitude_deg")))
-    angle = frames.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    bands = ", ".join(
+        f"struct({band} AS band, {min(180.0, reach_deg(top, min_elevation_deg) + half_diagonal)}D AS reach)"
+        for band, top in enumerate([*BAND_TOPS_KM, None])
+    )
+    centre_lat = f"radians((floor(cell / {COLUMNS}D) + 0.5D) * {CELL_DEG}D - 90D)"
+    centre_lon = f"radians((pmod(cell, {COLUMNS}) + 0.5D) * {CELL_DEG}D - 180D)"
+    cosine = "gs_sin_lat * sin(_clat) + gs_cos_lat * cos(_clat) * cos(_clon - radians(longitude_deg))"
     return (
         station_vectors(stations)
-        .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(rows * columns - 1))))
-        .withColumns({"_clat": centre_lat, "_clon": centre_lon})
-        .withColumn("_angle", angle)
-        .select("*", F.explode(bands).alias("_reach"))
-        .where(F.col("_angle") <= F.col("_reach.reach"))
-        .select("*", F.col("_reach.band").alias("band"))
-        .drop("_clat", "_clon", "_angle", "_reach", "latitude_deg", "longitude_deg")
+        .selectExpr("*", f"explode(sequence(0, {ROWS * COLUMNS - 1})) AS cell")
+        .selectExpr("*", f"{centre_lat} AS _clat", f"{centre_lon} AS _clon")
+        .selectExpr("*", f"degrees(acos(greatest(-1D, least(1D, {cosine})))) AS _angle")
+        .selectExpr("*", f"inline(array({bands}))")
+        .where("_angle <= reach")
+        .drop("_clat", "_clon", "_angle", "reach", "latitude_deg", "longitude_deg")
     )
 
 
@@ -135,10 +130,7 @@ def visible_samples(
     """
     require_between("min_elevation_deg", min_elevation_deg, *fixed.ELEVATION_DEG)
     placed = satellite_vectors(states).withColumns(
-        {
-            "cell": _cell(F.col("latitude_deg"), F.col("longitude_deg")),
-            "band": _band(F.col("altitude_km")),
-        }
+        {"cell": _cell("latitude_deg", "longitude_deg"), "band": _band("altitude_km")}
     )
     near = join_dimension(
         placed,

@@ -51,7 +51,8 @@ def check_shape(records: DataFrame) -> DataFrame:
     """Append ``record`` (variant, NULL when rejected) and ``reject_reason``."""
     before = F.col("reject_reason") if "reject_reason" in records.columns else F.lit(None).cast("string")
     parsed = records.withColumn("_parsed", F.try_parse_json("record_text"))
-    is_object = F.coalesce(F.schema_of_variant("_parsed").startswith("OBJECT<"), F.lit(False))
+    # text that parses and opens with a brace is an object
+    is_object = F.col("_parsed").isNotNull() & F.ltrim("record_text").startswith("{")
     reason = F.coalesce(before, F.when(~is_object, F.lit(NOT_AN_OBJECT)))
     return computed_once(
         parsed, record=F.when(is_object & before.isNull(), F.col("_parsed")), reject_reason=reason
