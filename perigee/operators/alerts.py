@@ -147,7 +147,12 @@ def _severity_changes(graded: DataFrame, cut: bool) -> DataFrame:
     reached = F.row_number().over(Window.partitionBy(*series, "stretch", "severity").orderBy(*_order()))
     before = F.lit(None).cast("string")
     if cut:
-        alerting = _join_carry(alerting, _carry(stretches))
+        alerting = _attach(
+            alerting,
+            _carry(stretches),
+            ["policy", "measurement_name"],
+            ["carry_warning", "carry_critical", "carry_severity"],
+        )
         continuing = F.col("stretch") == 0
         carried = F.when(F.col("severity") == "warning", F.col("carry_warning")).otherwise(
             F.col("carry_critical")
@@ -221,9 +226,20 @@ def _carry(stretches: DataFrame) -> DataFrame:
     ).where(F.col("carry_warning").isNotNull())
 
 
-def _join_carry(alerting: DataFrame, carry: DataFrame) -> DataFrame:
-    # the samples are already placed by (entity, segment): only the summary moves
-    return alerting.join(carry.hint("shuffle_hash"), [*SERIES, "segment"], "left")
+def _attach(rows: DataFrame, summary: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Left-join per-segment values onto rows that are placed by (entity, segment).
+
+    The summary is folded to one map per (entity, segment), its size bounded by the
+    policy table, so that the join keys equal the placement of the rows and only the
+    summary moves.
+    """
+    entry = F.struct(F.struct(*by), F.struct(*values))
+    folded = summary.groupBy("entity_id", "segment").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_folded")
+    )
+    joined = rows.join(folded.hint("shuffle_hash"), ["entity_id", "segment"], "left")
+    found = joined.withColumn("_found", F.try_element_at("_folded", F.struct(*by)))
+    return found.withColumns({v: F.col(f"_found.{v}") for v in values}).drop("_folded", "_found")
 
 
 def _number(events: DataFrame, cut: bool) -> DataFrame:
@@ -240,13 +256,10 @@ def _number(events: DataFrame, cut: bool) -> DataFrame:
     offsets = (
         events.groupBy("entity_id", "policy", "segment")
         .count()
-        .select("entity_id", "policy", "segment", F.sum("count").over(earlier).alias("_earlier"))
-    )
-    return (
-        events.join(offsets.hint("shuffle_hash"), ["entity_id", "policy", "segment"])
-        .withColumn("event_no", (local + F.coalesce("_earlier", F.lit(0))).cast("int"))
-        .drop("_earlier")
+        .select("entity_id", "policy", "segment", F.sum("count").over(earlier).alias("earlier"))
     )
+    numbered = _attach(events, offsets, ["policy"], ["earlier"])
+    return numbered.withColumn("event_no", (local + F.coalesce("earlier", F.lit(0))).cast("int")).drop("earlier")
 
 
 def _describe(events: DataFrame) -> DataFrame:

@@ -194,6 +194,13 @@ def test_samples_shuffle_once_before_the_policy_fan_out(spark):
             "measurement_value": F.rand(1) * 30,
         }
     )
-    events = alerts.threshold_events(df, alerts.policy_table(spark, POLICIES))
-    plan = events._jdf.queryExecution().executedPlan().toString()
+    policies = alerts.policy_table(spark, POLICIES)
+    plan = alerts.threshold_events(df, policies)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    # cut series: the other exchanges carry per-segment summaries only
+    cut = alerts.threshold_events(df, policies, segment_rows=0.5)._jdf.queryExecution().executedPlan().toString()
+    placed = cut.count("REPARTITION_BY_COL")
+    assert placed >= 1
+    for part in cut.split("Exchange hashpartitioning")[1:]:
+        keys = part[: part.index(")")]
+        assert "REPARTITION_BY_COL" in part[:160] or "segment" not in keys or "measurement_name" not in keys
