@@ -1,4 +1,4 @@
-"""Near-earth SGP4 on Arrow batches (Hoots & Roehrich 1980; Vallado et al. 2006).
+"""SGP4 on Arrow batches (Hoots & Roehrich 1980; Vallado et al. 2006).
 
 The only Python work in the engine. Spark places satellites and instants, a task
 receives flat batches, and each batch is a few hundred vector operations. As
@@ -15,6 +15,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
+from perigee.functions import deep_space
 from perigee.fixed_values import SGP4_J2, SGP4_J3, SGP4_J4, SGP4_MU, SGP4_RADIUS_KM
 
 TWO_PI = 2 * pi
@@ -27,23 +28,24 @@ KEPLER_PASSES = 10
 
 # fixed value: status texts
 OK = "ok"
-DEEP_SPACE = "deep_space_unsupported"
+BAD_PERTURBED = "perturbed eccentricity is outside the range 0.0 to 1.0"
 BAD_ECCENTRICITY = "mean eccentricity is outside the range 0.0 to 1.0"
 BAD_MEAN_MOTION = "mean motion has fallen below zero"
 BAD_SEMILATUS = "semilatus rectum has fallen below zero"
 DECAYED = "mrt is less than 1.0 which indicates the satellite has decayed"
-STATUSES = np.array([OK, BAD_MEAN_MOTION, DEEP_SPACE, BAD_ECCENTRICITY, BAD_SEMILATUS, DECAYED])
+STATUSES = np.array([OK, BAD_ECCENTRICITY, BAD_MEAN_MOTION, BAD_PERTURBED, BAD_SEMILATUS, DECAYED])
 
 ELEMENTS = [
     "mean_motion", "inclination", "eccentricity", "ra_of_asc_node", "arg_of_pericenter", "mean_anomaly", "bstar",
+    "epoch_days",
 ]
 AXES = ["x_km", "y_km", "z_km", "vx_km_s", "vy_km_s", "vz_km_s"]
 
 
 def orbit_constants(el: np.ndarray) -> SimpleNamespace:
     """What depends on the satellite alone; ``el`` is one row per element in
-    ``ELEMENTS`` order, radians and minutes."""
-    n_kozai, incl, ecc, node, argp, m, bstar = el
+    ``ELEMENTS`` order, radians and minutes, epoch in days from 1949-12-31."""
+    n_kozai, incl, ecc, node, argp, m, bstar, epoch_days = el
     k = SimpleNamespace(incl=incl, ecc=ecc, node=node, argp=argp, m=m)
     k.cosi, k.sini = np.cos(incl), np.sin(incl)
     cos2 = k.cosi**2
@@ -98,9 +100,6 @@ def orbit_constants(el: np.ndarray) -> SimpleNamespace:
     k.omg = bstar * cc3 * np.cos(argp)
     k.xm = np.where(eccentric, -2 / 3 * coef * bstar / ee, 0.0)
     k.t2 = 1.5 * k.cc1
-    polar = np.where(np.abs(k.cosi + 1) > 1.5e-12, 1 + k.cosi, 1.5e-12)
-    k.xl = -0.25 * J3_OVER_J2 * k.sini * (3 + 5 * k.cosi) / polar
-    k.ay = -0.5 * J3_OVER_J2 * k.sini
     k.delmo, k.sinmo = (1 + k.eta * np.cos(m)) ** 3, np.sin(m)
     # higher drag terms, left out for low perigees
     k.deep = k.n <= TWO_PI / DEEP_SPACE_MINUTES
@@ -113,9 +112,22 @@ def orbit_constants(el: np.ndarray) -> SimpleNamespace:
     k.t3 = k.d2 + 2 * c1sq
     k.t4 = 0.25 * (3 * k.d3 + k.cc1 * (12 * k.d2 + 10 * c1sq))
     k.t5 = 0.2 * (3 * k.d4 + 12 * k.cc1 * k.d3 + 6 * k.d2**2 + 15 * c1sq * (2 * k.d2 + c1sq))
+    if np.any(k.deep):
+        deep_space.constants(k, epoch_days, XKE)
     return k
 
 
+def _deep(fn, k: SimpleNamespace, t: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Apply a deep-space step to the rows that need it."""
+    rows = np.flatnonzero(k.deep)
+    part = SimpleNamespace(**{name: v[rows] for name, v in vars(k).items()})
+    results = fn(part, t[rows], *[v[rows] for v in values])
+    out = [v.copy() for v in values]
+    for target, result in zip(out, results, strict=True):
+        target[rows] = result
+    return out
+
+
 def propagate(k: SimpleNamespace, t: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Status index and the six TEME axes at ``t`` minutes from epoch."""
     # secular gravity and drag
@@ -127,18 +139,30 @@ def propagate(k: SimpleNamespace, t: np.ndarray) -> tuple[np.ndarray, list[np.nd
     ta = 1 - k.cc1 * t - np.where(k.full, t * t * (k.d2 + t * (k.d3 + t * k.d4)), 0.0)
     te = k.bcc4 * t + np.where(k.full, k.bcc5 * (np.sin(m) - k.sinmo), 0.0)
     tl = k.t2 * t * t + np.where(k.full, t**3 * (k.t3 + t * (k.t4 + t * k.t5)), 0.0)
-    a = (XKE / k.n) ** (2 / 3) * ta * ta
+    n, e0, incl = k.n, k.ecc, k.incl
+    any_deep = np.any(k.deep)
+    if any_deep:
+        n, e0, incl, m, arg, node = _deep(deep_space.secular, k, t, n, e0, incl, m, arg, node)
+    n0 = n
+    a = (XKE / n) ** (2 / 3) * ta * ta
     n = XKE / a**1.5
-    e0 = k.ecc - te
+    e0 = e0 - te
     e = np.maximum(e0, 1e-6)
     lon = np.fmod(m + k.n * tl + arg + node, TWO_PI)
     node, arg = np.fmod(node, TWO_PI), np.fmod(arg, TWO_PI)
     m = np.fmod(lon - arg - node, TWO_PI)
+    ep, sini, cosi = e, k.sini, k.cosi
+    con41, x1mth2, x7thm1 = k.con41, k.x1mth2, k.x7thm1
+    if any_deep:
+        ep, incl, m, arg, node = _deep(deep_space.periodic, k, t, e, incl, m, arg, node)
+        sini, cosi = np.sin(incl), np.cos(incl)
+        con41, x1mth2, x7thm1 = 3 * cosi**2 - 1, 1 - cosi**2, 7 * cosi**2 - 1
     # long-period terms
-    ax = e * np.cos(arg)
-    p = 1 / (a * (1 - e * e))
-    ay = e * np.sin(arg) + p * k.ay
-    u = np.fmod(m + arg + p * k.xl * ax, TWO_PI)
+    ax = ep * np.cos(arg)
+    p = 1 / (a * (1 - ep * ep))
+    ay = ep * np.sin(arg) - p * 0.5 * J3_OVER_J2 * sini
+    polar = np.where(np.abs(cosi + 1) > 1.5e-12, 1 + cosi, 1.5e-12)
+    u = np.fmod(m + arg - p * 0.25 * J3_OVER_J2 * sini * (3 + 5 * cosi) / polar * ax, TWO_PI)
     # Kepler's equation, steps limited as published
     eo = u
     for _ in range(KEPLER_PASSES):
@@ -158,20 +182,20 @@ def propagate(k: SimpleNamespace, t: np.ndarray) -> tuple[np.ndarray, list[np.nd
     # short-period terms
     t1 = 0.5 * J2 / pl
     t2 = t1 / pl
-    r = rl * (1 - 1.5 * t2 * beta * k.con41) + 0.5 * t1 * k.x1mth2 * cos2u
-    su = np.arctan2(sinu, cosu) - 0.25 * t2 * k.x7thm1 * sin2u
-    node = node + 1.5 * t2 * k.cosi * sin2u
-    incl = k.incl + 1.5 * t2 * k.cosi * k.sini * cos2u
-    rate = np.sqrt(a) * esine / rl - n * t1 * k.x1mth2 * sin2u / XKE
-    across = np.sqrt(pl) / rl + n * t1 * (k.x1mth2 * cos2u + 1.5 * k.con41) / XKE
+    r = rl * (1 - 1.5 * t2 * beta * con41) + 0.5 * t1 * x1mth2 * cos2u
+    su = np.arctan2(sinu, cosu) - 0.25 * t2 * x7thm1 * sin2u
+    node = node + 1.5 * t2 * cosi * sin2u
+    incl = incl + 1.5 * t2 * cosi * sini * cos2u
+    rate = np.sqrt(a) * esine / rl - n * t1 * x1mth2 * sin2u / XKE
+    across = np.sqrt(pl) / rl + n * t1 * (x1mth2 * cos2u + 1.5 * con41) / XKE
     ssu, csu, sn, cn, si, ci = (f(v) for v in (su, node, incl) for f in (np.sin, np.cos))
     ux, uy, uz = cn * csu - sn * ci * ssu, sn * csu + cn * ci * ssu, si * ssu
     vx, vy, vz = -cn * ssu - sn * ci * csu, cn * ci * csu - sn * ssu, si * csu
     position = [r * w * SGP4_RADIUS_KM for w in (ux, uy, uz)]
     velocity = [(rate * w + across * v) * KM_PER_SECOND for w, v in ((ux, vx), (uy, vy), (uz, vz))]
     status = np.select(
-        [k.ecc >= 1, ~(k.n > 0), k.deep, ~((e0 < 1) & (e0 >= -0.001)), pl < 0, ~(r >= 1)],
-        [3, 1, 2, 3, 4, 5],
+        [k.ecc >= 1, ~(n0 > 0), ~((e0 < 1) & (e0 >= -0.001)), ~((ep >= 0) & (ep <= 1)), pl < 0, ~(r >= 1)],
+        [1, 2, 1, 3, 4, 5],
         default=0,
     )
     return status, position + velocity

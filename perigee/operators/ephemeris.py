@@ -8,11 +8,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from perigee import fixed_values as fixed
-from perigee.functions import frames, parsing, sgp4
+from perigee.functions import deep_space, frames, parsing, sgp4
 from perigee.operators.joins import computed_once
 
 # the propagation code travels with the job: executors need only numpy and pyarrow
-cloudpickle.register_pickle_by_value(sgp4)
+for _module in (sgp4, deep_space):
+    cloudpickle.register_pickle_by_value(_module)
 
 # element -> field of the raw record, None where the catalog column is used
 REQUIRED_ELEMENTS = {
@@ -84,6 +85,7 @@ def prepare(catalog: DataFrame) -> DataFrame:
     epoch_days = frames.julian_date(F.col("epoch")) - F.lit(2433281.5)
     return elements.withColumns(
         {
+            "el_epoch_days": epoch_days,
             "epoch_jd": F.floor(epoch_days) + F.lit(2433281.5),
             "epoch_fraction": epoch_days - F.floor(epoch_days),
         }
