@@ -7,20 +7,29 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from perigee import fixed_values as fixed
-from perigee.operators import ephemeris, timegrid, visibility
+from perigee.operators import catalog as cat, ephemeris, timegrid, visibility
 from perigee.operators.joins import join_dimension
 from perigee.operators.params import require_between
 
 
+def prepared(catalog: DataFrame) -> DataFrame:
+    """One propagation-ready row per satellite; of several copies the last counts.
+
+    Every later stage generates rows per satellite, so copies must not multiply them.
+    """
+    order = ["ingested_at", "object_name", "raw_record_json"]
+    return ephemeris.prepare(cat.last_per_id(catalog, order))
+
+
 def positions(catalog: DataFrame, instants: list[datetime]) -> DataFrame:
-    """States of every satellite (one catalog row each) at the given instants."""
-    return ephemeris.with_states(timegrid.with_instants(ephemeris.prepare(catalog), instants))
+    """States of every satellite at the given instants."""
+    return ephemeris.with_states(timegrid.with_instants(prepared(catalog), instants))
 
 
 def requested_positions(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """States for rows (norad_cat_id, requested_at); requests of one satellite may
     be any share of the table, see ``join_dimension``."""
-    return ephemeris.with_states(join_dimension(requests, ephemeris.prepare(catalog), ["norad_cat_id"]))
+    return ephemeris.with_states(join_dimension(requests, prepared(catalog), ["norad_cat_id"]))
 
 
 def orbit_tracks(
@@ -28,7 +37,7 @@ def orbit_tracks(
 ) -> DataFrame:
     """Track points of every satellite, the end instant always included."""
     require_between("step_seconds", step_seconds, *fixed.TRACK_STEP_SECONDS)
-    grid = timegrid.with_track_grid(ephemeris.prepare(catalog), start, end, step_seconds)
+    grid = timegrid.with_track_grid(prepared(catalog), start, end, step_seconds)
     return ephemeris.with_states(grid).withColumn("visualization_mode", F.lit(fixed.TRACK_MODE))
 
 
@@ -52,6 +61,6 @@ def catalog_contact_windows(
 ) -> DataFrame:
     """Contact windows of every satellite over every station."""
     require_between("step_seconds", step_seconds, *fixed.CONTACT_STEP_SECONDS)
-    grid = timegrid.with_grid(ephemeris.prepare(catalog), start, end, step_seconds)
+    grid = timegrid.with_grid(prepared(catalog), start, end, step_seconds)
     states = ephemeris.with_states(grid).where(F.col("status") == "ok")
     return visibility.contact_windows(states, stations, min_elevation_deg)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perigee import schemas
 from perigee.functions import frames, sgp4
-from perigee.operators import catalog, ephemeris, joins, params, timegrid, visibility
+from perigee.operators import catalog, checks, ephemeris, joins, params, timegrid, visibility
 from perigee.plans import tracking
 from tests.samples import INGESTED, ISS_ELEMENTS, NOAA, STATIONS, record_rows, utc
 
@@ -314,3 +314,22 @@ def test_noaa_without_elements_is_not_ready(spark):
     rows = catalog.good(catalog.normalize(record_rows(spark, NOAA), F.lit(INGESTED)))
     assert json.loads(rows.first()["raw_record_json"])["OBJECT_NAME"] == "NOAA 19"
     assert ephemeris.not_ready(ephemeris.with_elements(rows)).first()["reason"] == "missing_elements"
+
+
+def test_copies_of_a_satellite_give_one_track(spark):
+    rows = record_rows(spark, ISS_ELEMENTS, {**ISS_ELEMENTS, "OBJECT_NAME": "ZZ"}, ISS_ELEMENTS)
+    cat = catalog.good(catalog.normalize(rows, F.lit(INGESTED)))
+    out = tracking.positions(cat, [utc(2026, 5, 28, 3)]).collect()
+    assert [r["object_name"] for r in out] == ["ZZ"]
+
+
+def test_table_checks(spark):
+    rows = [*STATIONS, ("bad", 95.0, 0.0, 0.0), ("deep", 0.0, 0.0, -900.0), ("none", None, 0.0, 0.0)]
+    status = {r["station"]: r["status"] for r in checks.with_station_status(stations(spark, rows)).collect()}
+    assert [status[k] for k in ("bad", "deep", "none")] == [
+        "latitude_deg_out_of_range", "altitude_m_out_of_range", "latitude_deg_out_of_range",
+    ]
+    assert all(status[s[0]] == "ok" for s in STATIONS)
+    names = spark.createDataFrame([("nominal",), ("odd",), ("odd",), (None,)], "scenario string")
+    bad = {r["scenario"]: r["row_count"] for r in checks.unknown_names(names, "scenario", ["nominal"]).collect()}
+    assert bad == {"odd": 2, None: 1}
