@@ -31,7 +31,8 @@ def gmst_degrees(jd: Column) -> Column:
     """Greenwich mean sidereal angle in [0, 360)."""
     days = jd - J2000_JD
     t = days / 36525.0
-    angle = 280.46061837 + 360.98564736629 * days + t * t * (0.000387933 - t / 38710000.0)
+    # sums in the published order: the angle is millions of degrees before the wrap
+    angle = 280.46061837 + 360.98564736629 * days + 0.000387933 * t * t - t * t * t / 38710000.0
     return F.pmod(angle, F.lit(360.0))
 
 

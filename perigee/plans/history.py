@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from perigee import fixed_values as fixed, schemas
 from perigee.operators import catalog as cat, history
 from perigee.operators.params import utc
 from perigee.sources import payloads, tables
@@ -23,40 +24,62 @@ class CatalogHistory:
         self.runs_path = f"{root.rstrip('/')}/ingestion_runs"
         self.snapshots_path = f"{root.rstrip('/')}/orbit_snapshots"
 
-    def ingest(self, records: DataFrame, run_id: int, ingested_at: datetime) -> DataFrame:
-        """Normalize, append the snapshots, then log the run.
+    def ingest(self, records: DataFrame, ingested_at: datetime, run_id: int | None = None) -> DataFrame:
+        """Normalize, store the snapshots, then log the run; returns the latest catalog.
 
         A record without a usable id fails the whole run, as does a misshaped one;
         the run is logged only after its snapshots are complete.
         """
-        rows = cat.good(cat.normalize(records, F.lit(utc(ingested_at))), strict=True)
+        run_id = self.next_run_id() if run_id is None else run_id
+        at = F.lit(utc(ingested_at))
+        rows = cat.good(cat.normalize(records, at), strict=True)
         stored = history.stored_row(rows).withColumn("run_id", F.lit(run_id).cast("bigint"))
         tables.append_snapshots(stored, self.snapshots_path)
-        written = self.spark.read.parquet(self.snapshots_path).where(F.col("run_id") == run_id)
-        tables.append_runs(history.success_run(run_id, F.lit(utc(ingested_at)), written), self.runs_path)
+        written = self._stored().where(F.col("run_id") == run_id)
+        tables.append_runs(history.success_run(run_id, at, written), self.runs_path)
         return self.latest()
 
-    def ingest_file(self, path: str, run_id: int, ingested_at: datetime) -> DataFrame:
-        return self.ingest(
-            payloads.explode_payloads(payloads.read_payload_files(self.spark, path)), run_id, ingested_at
-        )
+    def ingest_file(self, path: str, ingested_at: datetime, run_id: int | None = None) -> DataFrame:
+        payload = payloads.read_payload_files(self.spark, path)
+        return self.ingest(payloads.explode_payloads(payload), ingested_at, run_id)
+
+    def refresh(
+        self,
+        path: str,
+        now: datetime,
+        force: bool = False,
+        ttl_hours: float = fixed.REUSE_WITHIN_HOURS,
+    ) -> DataFrame:
+        """The latest catalog, ingesting the landed file only when the last success is
+        older than ``ttl_hours`` or ``force`` is set."""
+        if force or self.ingest_due(now, ttl_hours).first()["ingest_due"]:
+            return self.ingest_file(path, now)
+        return self.latest()
+
+    def next_run_id(self) -> int:
+        """One above the highest logged run; ingests of one store run one at a time."""
+        return (self.runs().agg(F.max("run_id")).first()[0] or 0) + 1
 
-    def log_failure(self, run_id: int, at: datetime, message: str, http_status: int | None = None) -> None:
-        tables.append_runs(
-            history.failed_run(self.spark, run_id, utc(at), message, http_status), self.runs_path
-        )
+    def log_failure(
+        self, at: datetime, message: str, http_status: int | None = None, run_id: int | None = None
+    ) -> None:
+        run_id = self.next_run_id() if run_id is None else run_id
+        row = history.failed_run(self.spark, run_id, utc(at), message, http_status)
+        tables.append_runs(row, self.runs_path)
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(self.runs_path)
+        return tables.read_or_empty(self.spark, self.runs_path, schemas.RUN)
+
+    def _stored(self) -> DataFrame:
+        return tables.read_or_empty(self.spark, self.snapshots_path, schemas.SNAPSHOT)
 
     def snapshots(self) -> DataFrame:
-        stored = self.spark.read.parquet(self.snapshots_path)
-        return history.restored_row(stored.withColumn("run_id", F.col("run_id").cast("bigint")))
+        return history.restored_row(self._stored())
 
     def latest(self) -> DataFrame:
         return history.latest_catalog(self.snapshots(), self.runs()).orderBy("object_name", "norad_cat_id")
 
-    def recent_runs(self, limit: int = 20) -> DataFrame:
+    def recent_runs(self, limit: int = fixed.RUN_LIST_DEFAULT) -> DataFrame:
         return history.recent_runs(self.runs(), limit)
 
     def ingest_due(self, now: datetime, ttl_hours: float) -> DataFrame:

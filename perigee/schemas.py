@@ -9,7 +9,7 @@ def _schema(*columns: tuple[str, T.DataType] | tuple[str, T.DataType, bool]) ->
     return T.StructType([T.StructField(c[0], c[1], c[2] if len(c) == 3 else True) for c in columns])
 
 
-_s, _l, _i, _d, _b = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+_s, _l, _i, _d = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 _ts, _date = T.TimestampType(), T.DateType()
 
 BRONZE = _schema(
@@ -87,3 +87,20 @@ STATION = _schema(
     ("longitude_deg", _d),
     ("altitude_m", _d),
 )
+
+# a catalog record as history stores it, the run as partition column
+SNAPSHOT = _schema(
+    ("object_name", _s),
+    ("object_id", _s),
+    ("norad_cat_id", _l),
+    ("epoch", _ts),
+    ("mean_motion", _d),
+    ("inclination", _d),
+    ("eccentricity", _d),
+    ("raw_record_json", _s),
+    ("ingested_at", _ts),
+    ("epoch_age_hours", _d),
+    ("freshness_status", _s),
+    ("source_json", _s),
+    ("run_id", _l),
+)

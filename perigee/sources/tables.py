@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from perigee import schemas
@@ -47,13 +48,24 @@ def save_managed(df: DataFrame, table: str, mode: str = "overwrite") -> DataFram
     return df.sparkSession.table(table)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table with a known schema; no rows while nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
     """Add a run's records, one directory per run so that reads of a run prune.
 
     Only the run's own directory is replaced, so repeating a failed run is safe.
     """
     (
-        snapshots.write.mode("overwrite")
+        conform(snapshots, schemas.SNAPSHOT)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .parquet(path)

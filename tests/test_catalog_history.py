@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 from datetime import timedelta
 
 import pytest
@@ -58,11 +59,12 @@ def test_search_and_totals(spark):
 
 def test_history_round_trip(spark, tmp_path):
     store = CatalogHistory(spark, str(tmp_path))
-    store.ingest(record_rows(spark, ISS, NOAA), 1, INGESTED)
+    assert store.latest().count() == 0 and store.recent_runs().count() == 0
+    store.ingest(record_rows(spark, ISS, NOAA), INGESTED)
     later = INGESTED + timedelta(hours=3)
-    latest = store.ingest(record_rows(spark, {**ISS, "OBJECT_NAME": "ISS renamed"}), 2, later)
+    latest = store.ingest(record_rows(spark, {**ISS, "OBJECT_NAME": "ISS renamed"}), later)
     assert [r["object_name"] for r in latest.collect()] == ["ISS renamed"]
-    store.log_failure(3, later + timedelta(hours=1), "request failed", 403)
+    store.log_failure(later + timedelta(hours=1), "request failed", 403)
     # the failed run is newer, the catalog still comes from the last success
     assert [r["norad_cat_id"] for r in store.latest().collect()] == [25544]
     assert store.latest().select("source.name").first()["name"] == "CelesTrak GP active"
@@ -72,21 +74,35 @@ def test_history_round_trip(spark, tmp_path):
     assert seen[25544]["object_name"] == "ISS renamed"
     assert seen[25544]["last_seen_at"] - seen[25544]["first_seen_at"] == timedelta(hours=3)
     # repeating a run replaces its own snapshots only
-    store.ingest(record_rows(spark, ISS), 2, later)
+    store.ingest(record_rows(spark, ISS), later, run_id=2)
     assert store.snapshots().count() == 3
 
 
+def test_refresh_reuses_a_recent_catalog(spark, tmp_path):
+    store = CatalogHistory(spark, str(tmp_path / "store"))
+    landed = tmp_path / "landed.json"
+    landed.write_text(json.dumps([ISS, NOAA]))
+    after = lambda hours: INGESTED + timedelta(hours=hours)
+    assert store.refresh(str(landed), INGESTED).count() == 2
+    landed.write_text(json.dumps([ISS]))
+    assert store.refresh(str(landed), after(1)).count() == 2
+    assert store.refresh(str(landed), after(1), force=True).count() == 1
+    landed.write_text("[]")
+    assert store.refresh(str(landed), after(4)).count() == 0
+    assert [r["record_count"] for r in store.recent_runs().collect()] == [0, 1, 2]
+
+
 def test_bad_record_fails_the_run_and_leaves_the_log_alone(spark, tmp_path):
     store = CatalogHistory(spark, str(tmp_path))
-    store.ingest(record_rows(spark, ISS), 1, INGESTED)
+    store.ingest(record_rows(spark, ISS), INGESTED)
     with pytest.raises(Exception, match="not_an_integer"):
-        store.ingest(record_rows(spark, ISS, {**NOAA, "NORAD_CAT_ID": None}), 2, INGESTED)
+        store.ingest(record_rows(spark, ISS, {**NOAA, "NORAD_CAT_ID": None}), INGESTED)
     assert [r["run_id"] for r in store.runs().collect()] == [1]
 
 
 def test_reuse_window(spark, tmp_path):
     store = CatalogHistory(spark, str(tmp_path))
-    store.ingest(record_rows(spark, ISS), 1, INGESTED)
+    store.ingest(record_rows(spark, ISS), INGESTED)
     due = lambda hours: store.ingest_due(INGESTED + timedelta(hours=hours), 2.0).collect()[0]["ingest_due"]
     assert [due(1.99), due(2.0), due(2.001)] == [False, False, True]
     empty = store.runs().where("false")

@@ -333,3 +333,13 @@ def test_table_checks(spark):
     names = spark.createDataFrame([("nominal",), ("odd",), ("odd",), (None,)], "scenario string")
     bad = {r["scenario"]: r["row_count"] for r in checks.unknown_names(names, "scenario", ["nominal"]).collect()}
     assert bad == {"odd": 2, None: 1}
+
+
+def test_altitude_is_exact_over_the_pole(spark):
+    """A state within rounding of the axis: the distance to the polar radius."""
+    row = spark.createDataFrame([(4.4e-13, 0.0, 7150.0), (0.0, 3.0, -7000.0)], "x double, y double, z double")
+    placed = frames.with_geodetic(row.withColumn("at", F.lit(INGESTED)), "at", "x", "y", "z").collect()
+    polar = 6378.137 * (1 - 1 / 298.257223563)
+    assert placed[0]["altitude_km"] == pytest.approx(7150.0 - polar, abs=1e-6)
+    assert placed[0]["latitude_deg"] == 90.0
+    assert placed[1]["altitude_km"] == pytest.approx(7000.0 - polar, abs=1e-2)
