@@ -229,3 +229,10 @@ def element_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 != 0, F.round((k % 50) / F.lit(100000.0), 5)).alias("BSTAR"),
     )
     return orbit.select(F.to_json(record).alias("record_text"))
+
+
+def position_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows as requests for a satellite's position at the event's instant."""
+    return events(spark, sf_dir).select(
+        F.col("user_id").alias("norad_cat_id"), F.col("event_id").alias("request_id"), F.col("ts").alias("requested_at")
+    )

@@ -349,10 +349,10 @@ FRAGMENTS["orbits"] = """
 FRAGMENTS["minutes_grid"] = """
   SELECT i::INTEGER AS sequence, TIMESTAMP '2024-01-01' + to_minutes(i) AS requested_at
   FROM range(121) t(i)"""
-FRAGMENTS["jd_rows"] = """
-  SELECT sequence, requested_at,
-         floor(epoch_us(requested_at) / 8.64e10) + 2440587.5::DOUBLE
-           + epoch_us(requested_at) % 86400000000 / 1e6 / 86400::DOUBLE AS jd FROM minutes_grid"""
+JD = (
+    "(floor(epoch_us({t}) / 8.64e10) + 2440587.5::DOUBLE)",
+    "(epoch_us({t}) % 86400000000 / 1e6 / 86400::DOUBLE)",
+)
 GMST = """((280.46061837::DOUBLE + 360.98564736629::DOUBLE * ({jd} - 2451545::DOUBLE)
     + 0.000387933::DOUBLE * (({jd} - 2451545::DOUBLE) / 36525::DOUBLE) ** 2
     - (({jd} - 2451545::DOUBLE) / 36525::DOUBLE) ** 3 / 38710000::DOUBLE) % 360 + 360) % 360"""
@@ -373,8 +373,9 @@ def _geodetic(prefix: str, source: str) -> None:
     """Rotation by sidereal time, then five latitude passes, as chained fragments."""
     FRAGMENTS[f"{prefix}_turned"] = f"""
   SELECT s.*, cos(th) * x + sin(th) * y AS xe, -sin(th) * x + cos(th) * y AS ye
-  FROM (SELECT s.*, radians({GMST.format(jd='j.jd')}) AS th
-        FROM {source} s JOIN jd_rows j ON j.sequence = s.sequence) s"""
+  FROM (SELECT *, radians({GMST.format(jd='jd')}) AS th
+        FROM (SELECT *, {JD[0].format(t='requested_at')} + {JD[1].format(t='requested_at')} AS jd
+              FROM {source})) s"""
     FRAGMENTS[f"{prefix}_pass0"] = f"""
   SELECT *, sqrt(xe * xe + ye * ye) AS p, atan2(z, sqrt(xe * xe + ye * ye) * (1 - {E2})) AS lat, 0::DOUBLE AS alt
   FROM {prefix}_turned"""
@@ -504,10 +505,6 @@ RE, XKE, J2, J3J2, J4 = (
     "(-0.00000165597::DOUBLE)",
 )
 TURN = f"{2 * pi!r}::DOUBLE"
-JD = (
-    "(floor(epoch_us({t}) / 8.64e10) + 2440587.5::DOUBLE)",
-    "(epoch_us({t}) % 86400000000 / 1e6 / 86400::DOUBLE)",
-)
 
 
 def _stages(prefix: str, source: str, stages: list[str]) -> str:
@@ -568,66 +565,86 @@ SGP4_CONSTANTS = _stages(
         0.2::DOUBLE * (3 * d4 + 12 * cc1 * d3 + 6 * d2 * d2 + 15 * cc1 * cc1 * (2 * d2 + cc1 * cc1)) AS t5c""",
     ],
 )
-FRAGMENTS["sgp_grid"] = f"""
+def _propagation(prefix: str, instants: str) -> None:
+    """States of the element rows at joined instants ``g`` (sequence, requested_at)."""
+    FRAGMENTS[f"{prefix}_grid"] = f"""
   SELECT c.*, g.sequence, g.requested_at,
          ({JD[0].format(t='g.requested_at')} - (floor(epoch_days) + 2433281.5::DOUBLE)) * 1440
            + ({JD[1].format(t='g.requested_at')} - (epoch_days - floor(epoch_days))) * 1440 AS t
-  FROM {SGP4_CONSTANTS} c CROSS JOIN minutes_grid g"""
-_kepler = []
-for _n in range(10):
-    _eo = "u" if _n == 0 else f"eo{_n - 1}"
-    _kepler.append(
-        f"{_eo} + greatest(-0.95::DOUBLE, least(0.95::DOUBLE, (u - ay * cos({_eo}) + ax * sin({_eo}) - {_eo}) "
-        f"/ (1 - cos({_eo}) * ax - sin({_eo}) * ay))) AS eo{_n}"
-    )
-SGP4_LAST = _stages(
-    "sgp_at",
-    "sgp_grid",
-    [
-        "m0 + mdot * t AS xmdf, argp0 + argpdot * t AS argpdf, node0 + nodedot * t + nodecf * t * t AS node1",
-        "CASE WHEN perigee >= 220 THEN omg * t + xm * (pow(1 + eta * cos(xmdf), 3) - delmo) ELSE 0 END AS shift",
-        "xmdf + shift AS m1, argpdf - shift AS argp1",
-        """1 - cc1 * t - CASE WHEN perigee >= 220 THEN t * t * (d2 + t * (d3 + t * d4)) ELSE 0 END AS ta,
+  FROM {SGP4_CONSTANTS} c {instants}"""
+    kepler = []
+    for number in range(10):
+        eo = "u" if number == 0 else f"eo{number - 1}"
+        kepler.append(
+            f"{eo} + greatest(-0.95::DOUBLE, least(0.95::DOUBLE, (u - ay * cos({eo}) + ax * sin({eo}) - {eo}) "
+            f"/ (1 - cos({eo}) * ax - sin({eo}) * ay))) AS eo{number}"
+        )
+    last = _stages(
+        f"{prefix}_at",
+        f"{prefix}_grid",
+        [
+            "m0 + mdot * t AS xmdf, argp0 + argpdot * t AS argpdf, node0 + nodedot * t + nodecf * t * t AS node1",
+            "CASE WHEN perigee >= 220 THEN omg * t + xm * (pow(1 + eta * cos(xmdf), 3) - delmo) ELSE 0 END AS shift",
+            "xmdf + shift AS m1, argpdf - shift AS argp1",
+            """1 - cc1 * t - CASE WHEN perigee >= 220 THEN t * t * (d2 + t * (d3 + t * d4)) ELSE 0 END AS ta,
         bstar * cc4 * t + CASE WHEN perigee >= 220 THEN bstar * cc5 * (sin(m1) - sinmo) ELSE 0 END AS te,
         1.5::DOUBLE * cc1 * t * t
           + CASE WHEN perigee >= 220 THEN t * t * t * (t3c + t * (t4c + t * t5c)) ELSE 0 END AS tl""",
-        "ao * ta * ta AS am, e0 - te AS er",
-        f"greatest(er, 1e-6::DOUBLE) AS em, {XKE} / pow(am, 1.5::DOUBLE) AS nm, "
-        f"fmod(m1 + n0 * tl + argp1 + node1, {TURN}) AS xlm, fmod(node1, {TURN}) AS node2, fmod(argp1, {TURN}) AS argp2",
-        f"fmod(xlm - argp2 - node2, {TURN}) AS m2, em * cos(argp2) AS ax, 1 / (am * (1 - em * em)) AS pw",
-        f"em * sin(argp2) + pw * (-0.5::DOUBLE * {J3J2} * si) AS ay, "
-        f"fmod(m2 + argp2 + pw * (-0.25::DOUBLE * {J3J2} * si * (3 + 5 * ci) / (1 + ci)) * ax, {TURN}) AS u",
-        *_kepler,
-        "ax * cos(eo8) + ay * sin(eo8) AS ecose, ax * sin(eo8) - ay * cos(eo8) AS esine, ax * ax + ay * ay AS el2",
-        "am * (1 - el2) AS pl, am * (1 - ecose) AS rl, sqrt(greatest(0, 1 - el2)) AS beta",
-        "am / rl * (sin(eo8) - ay - ax * esine / (1 + beta)) AS sinu, "
-        "am / rl * (cos(eo8) - ax + ay * esine / (1 + beta)) AS cosu, "
-        f"0.5::DOUBLE * {J2} / pl AS q1, 0.5::DOUBLE * {J2} / (pl * pl) AS q2",
-        "2 * cosu * sinu AS s2u, 1 - 2 * sinu * sinu AS c2u",
-        f"""rl * (1 - 1.5::DOUBLE * q2 * beta * con41) + 0.5::DOUBLE * q1 * xm2 * c2u AS mr,
+            "ao * ta * ta AS am, e0 - te AS er",
+            f"greatest(er, 1e-6::DOUBLE) AS em, {XKE} / pow(am, 1.5::DOUBLE) AS nm, "
+            f"fmod(m1 + n0 * tl + argp1 + node1, {TURN}) AS xlm, fmod(node1, {TURN}) AS node2, fmod(argp1, {TURN}) AS argp2",
+            f"fmod(xlm - argp2 - node2, {TURN}) AS m2, em * cos(argp2) AS ax, 1 / (am * (1 - em * em)) AS pw",
+            f"em * sin(argp2) + pw * (-0.5::DOUBLE * {J3J2} * si) AS ay, "
+            f"fmod(m2 + argp2 + pw * (-0.25::DOUBLE * {J3J2} * si * (3 + 5 * ci) / (1 + ci)) * ax, {TURN}) AS u",
+            *kepler,
+            "ax * cos(eo8) + ay * sin(eo8) AS ecose, ax * sin(eo8) - ay * cos(eo8) AS esine, ax * ax + ay * ay AS el2",
+            "am * (1 - el2) AS pl, am * (1 - ecose) AS rl, sqrt(greatest(0, 1 - el2)) AS beta",
+            "am / rl * (sin(eo8) - ay - ax * esine / (1 + beta)) AS sinu, "
+            "am / rl * (cos(eo8) - ax + ay * esine / (1 + beta)) AS cosu, "
+            f"0.5::DOUBLE * {J2} / pl AS q1, 0.5::DOUBLE * {J2} / (pl * pl) AS q2",
+            "2 * cosu * sinu AS s2u, 1 - 2 * sinu * sinu AS c2u",
+            f"""rl * (1 - 1.5::DOUBLE * q2 * beta * con41) + 0.5::DOUBLE * q1 * xm2 * c2u AS mr,
         atan2(sinu, cosu) - 0.25::DOUBLE * q2 * x7 * s2u AS su, node2 + 1.5::DOUBLE * q2 * ci * s2u AS xn,
         inc + 1.5::DOUBLE * q2 * ci * si * c2u AS xi,
         sqrt(am) * esine / rl - nm * q1 * xm2 * s2u / {XKE} AS mv,
         sqrt(greatest(0, pl)) / rl + nm * q1 * (xm2 * c2u + 1.5::DOUBLE * con41) / {XKE} AS rv""",
-        """cos(xn) * cos(su) - sin(xn) * cos(xi) * sin(su) AS ux, sin(xn) * cos(su) + cos(xn) * cos(xi) * sin(su) AS uy,
+            """cos(xn) * cos(su) - sin(xn) * cos(xi) * sin(su) AS ux, sin(xn) * cos(su) + cos(xn) * cos(xi) * sin(su) AS uy,
         sin(xi) * sin(su) AS uz, -cos(xn) * sin(su) - sin(xn) * cos(xi) * cos(su) AS vx,
         cos(xn) * cos(xi) * cos(su) - sin(xn) * sin(su) AS vy, sin(xi) * cos(su) AS vz,
         CASE WHEN er >= 1 OR er < -0.001 THEN 'mean eccentricity is outside the range 0.0 to 1.0'
              WHEN pl < 0 THEN 'semilatus rectum has fallen below zero'
              WHEN mr < 1 THEN 'mrt is less than 1.0 which indicates the satellite has decayed'
              ELSE 'ok' END AS status""",
-    ],
-)
-SPEED = f"({RE} * {XKE} / 60)"
-FRAGMENTS["sgp_xyz"] = f"""
+        ],
+    )
+    speed = f"({RE} * {XKE} / 60)"
+    FRAGMENTS[f"{prefix}_xyz"] = f"""
   SELECT norad_cat_id, object_name, nation_key, epoch, sequence, requested_at, status,
          CASE WHEN status = 'ok' THEN mr * ux * {RE} END AS x, CASE WHEN status = 'ok' THEN mr * uy * {RE} END AS y,
          CASE WHEN status = 'ok' THEN mr * uz * {RE} END AS z,
-         CASE WHEN status = 'ok' THEN (mv * ux + rv * vx) * {SPEED} END AS wx,
-         CASE WHEN status = 'ok' THEN (mv * uy + rv * vy) * {SPEED} END AS wy,
-         CASE WHEN status = 'ok' THEN (mv * uz + rv * vz) * {SPEED} END AS wz
-  FROM {SGP4_LAST}"""
-_geodetic("sgp", "sgp_xyz")
+         CASE WHEN status = 'ok' THEN (mv * ux + rv * vx) * {speed} END AS wx,
+         CASE WHEN status = 'ok' THEN (mv * uy + rv * vy) * {speed} END AS wy,
+         CASE WHEN status = 'ok' THEN (mv * uz + rv * vz) * {speed} END AS wz
+  FROM {last}"""
+    _geodetic(prefix, f"{prefix}_xyz")
+
+
+_propagation("sgp", "CROSS JOIN minutes_grid g")
+_propagation(
+    "asked",
+    "JOIN (SELECT user_id, event_id AS sequence, ts AS requested_at FROM events) g ON g.user_id = c.norad_cat_id",
+)
+_oracle(
+    "requested_positions",
+    """
+  SELECT norad_cat_id, sequence AS request_id, requested_at, status,
+         round((epoch_us(requested_at) - epoch_us(epoch)) / 6e7, 4) AS time_delta_minutes_from_epoch,
+         round(x, 4) AS x_km, round(y, 4) AS y_km, round(z, 4) AS z_km,
+         round(wx, 4) AS vx_km_s, round(wy, 4) AS vy_km_s, round(wz, 4) AS vz_km_s,
+         round(latitude_deg, 4) AS latitude_deg, round(longitude_deg, 4) AS longitude_deg,
+         round(altitude_km, 4) AS altitude_km
+  FROM asked_geo""",
+)
 _oracle(
     "sgp4_ephemeris",
     """

@@ -7,10 +7,20 @@ from pyspark.sql import DataFrame
 from perigee.operators import alerts
 
 
-def compare_policies(samples: DataFrame, policies: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Events, comparison and runbook for telemetry under the given policies."""
-    policies = policies if policies is not None else alerts.default_policies(samples.sparkSession)
+def compare_policies(
+    samples: DataFrame, policies: DataFrame | None = None, events_path: str | None = None
+) -> dict[str, DataFrame]:
+    """Events, comparison and runbook for telemetry under the given policies.
+
+    With ``events_path`` the events are written there once and read back for the
+    rest, so the telemetry is not worked through again for each result.
+    """
+    spark = samples.sparkSession
+    policies = policies if policies is not None else alerts.default_policies(spark)
     events = alerts.threshold_events(samples, policies)
+    if events_path is not None:
+        events.write.mode("overwrite").parquet(events_path)
+        events = spark.read.parquet(events_path)
     comparison = alerts.policy_comparison(samples, events, policies)
     return {
         "events": events,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from perigee import bindings
 from perigee.functions import frames
 from perigee.operators import alerts, catalog, ephemeris, history, layers, metrics, timegrid, visibility
+from perigee.plans import tracking
 from perigee.session import configure
 from perigee.sources import payloads
 
@@ -322,6 +323,18 @@ def sgp4_ephemeris(spark, sf_dir):
     return rounded(states, 4, "time_delta_minutes_from_epoch", *STATE_COLUMNS)
 
 
+@query
+def requested_positions(spark, sf_dir):
+    """Positions up to thirty days from epoch; requests for unknown satellites find none."""
+    asked = tracking.requested_positions(
+        _element_catalog(spark, sf_dir), bindings.position_requests(spark, sf_dir)
+    )
+    states = asked.select(
+        "norad_cat_id", "request_id", "requested_at", "status", "time_delta_minutes_from_epoch", *STATE_COLUMNS
+    )
+    return rounded(states, 4, "time_delta_minutes_from_epoch", *STATE_COLUMNS)
+
+
 @query
 def sgp4_contact_windows(spark, sf_dir):
     states = _sgp4_states(spark, sf_dir).where(F.col("status") == "ok")

@@ -121,8 +121,8 @@ def ramp(spark, entity=25544):
     return samples(spark, [(entity, k, i, s, m, f(k)) for k in range(13) for i, (s, m, f) in enumerate(metrics)])
 
 
-def test_thermal_ramp_under_the_standing_policies(spark):
-    out = compare_policies(ramp(spark))
+def test_thermal_ramp_under_the_standing_policies(spark, tmp_path):
+    out = compare_policies(ramp(spark), events_path=str(tmp_path / "events"))
     rows = {r["policy"]: r for r in out["comparison"].collect()}
     minutes = lambda t: None if t is None else (t.replace(tzinfo=START.tzinfo) - START).seconds // 60
     facts = {
