@@ -77,18 +77,24 @@ def in_propagation_units(elements: DataFrame) -> DataFrame:
     return elements.withColumns(columns)
 
 
+# what a state row says about its satellite; wider catalog columns join back by id
+LABELS = ["norad_cat_id", "object_name", "epoch", "freshness_status", "epoch_age_hours"]
+
+
 def prepare(catalog: DataFrame) -> DataFrame:
-    """Satellites ready to fan out over instants, one row each."""
-    elements = in_propagation_units(ready(with_elements(catalog))).drop(
-        "raw_record_json", "el_mean_motion_dot", "el_mean_motion_ddot"
-    )
+    """Satellites ready to fan out over instants, one row each.
+
+    Only labels and elements: every column here is repeated per instant and crosses
+    the Arrow boundary, where nothing can be pruned.
+    """
+    elements = in_propagation_units(ready(with_elements(catalog)))
     epoch_days = frames.julian_date(F.col("epoch")) - F.lit(2433281.5)
-    return elements.withColumns(
-        {
-            "el_epoch_days": epoch_days,
-            "epoch_jd": F.floor(epoch_days) + F.lit(2433281.5),
-            "epoch_fraction": epoch_days - F.floor(epoch_days),
-        }
+    return elements.select(
+        *LABELS,
+        *[f"el_{e}" for e in sgp4.ELEMENTS if e != "epoch_days"],
+        epoch_days.alias("el_epoch_days"),
+        (F.floor(epoch_days) + F.lit(2433281.5)).alias("epoch_jd"),
+        (epoch_days - F.floor(epoch_days)).alias("epoch_fraction"),
     )
 
 

@@ -61,6 +61,7 @@ def catalog_contact_windows(
 ) -> DataFrame:
     """Contact windows of every satellite over every station."""
     require_between("step_seconds", step_seconds, *fixed.CONTACT_STEP_SECONDS)
-    grid = timegrid.with_grid(prepared(catalog), start, end, step_seconds)
+    narrow = prepared(catalog).drop("object_name", "freshness_status", "epoch_age_hours")
+    grid = timegrid.with_grid(narrow, start, end, step_seconds)
     states = ephemeris.with_states(grid).where(F.col("status") == "ok")
     return visibility.contact_windows(states, stations, min_elevation_deg)
