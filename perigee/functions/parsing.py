@@ -55,5 +55,15 @@ def canonical_json(text: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Shortest number text, whole numbers without a decimal point."""
-    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+    """Number text of up to six significant digits without trailing zeros."""
+    size = F.abs(value)
+    plain = (
+        F.when(size < 1e3, value)
+        .when(size < 1e4, F.round(value, 2))
+        .when(size < 1e5, F.round(value, 1))
+        .otherwise(F.round(value, 0))
+        .cast("decimal(20,3)")
+        .cast("string")
+    )
+    large = F.regexp_replace(F.format_string("%.5e", value), r"\.?0*e", "e")
+    return F.when(size >= 999999.5, large).otherwise(F.regexp_replace(plain, r"\.?0+$", ""))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from perigee.functions import parsing
 from perigee.operators import alerts
 from perigee.plans.operations import compare_policies
 from tests.samples import utc
@@ -204,3 +205,16 @@ def test_samples_shuffle_once_before_the_policy_fan_out(spark):
     for part in cut.split("Exchange hashpartitioning")[1:]:
         keys = part[: part.index(")")]
         assert "REPARTITION_BY_COL" in part[:160] or "segment" not in keys or "measurement_name" not in keys
+
+
+def test_number_text_has_six_significant_digits(spark):
+    values = [0.0, 0.001, 36.123, 36.12, 52.5, 24.0, 100.0, -7.25, 999.999, 1234.567, 12345.678, 123456.789, 999999.7, 1e6, 1234567.0, 2.5e8]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(parsing.number_text(F.col("v")).alias("t"))
+    assert [r["t"] for r in df.collect()] == [f"{v:g}" for v in values]
+
+
+def test_iso_text(spark):
+    df = spark.createDataFrame([(utc(2026, 5, 28, 2, 50, 5, 123456),), (START,)], "t timestamp")
+    assert [r[0] for r in df.select(parsing.iso_utc(F.col("t"))).collect()] == [
+        "2026-05-28T02:50:05.123456Z", "2026-05-28T02:50:05Z",
+    ]
