@@ -63,7 +63,7 @@ def elevations(states: DataFrame, passes: DataFrame, stations: DataFrame) -> Dat
         station_vectors(stations).drop("latitude_deg", "longitude_deg"),
         ["station"],
     )
-    paired = join_dimension(satellite_vectors(states), assigned, ["norad_cat_id"])
+    paired = join_dimension(satellite_vectors(states), assigned, ["norad_cat_id"], measured=passes)
     return _drop_vectors(frames.with_elevation(paired, "sat_", "gs_"))
 
 

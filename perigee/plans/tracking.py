@@ -29,7 +29,8 @@ def positions(catalog: DataFrame, instants: list[datetime]) -> DataFrame:
 def requested_positions(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """States for rows (norad_cat_id, requested_at); requests of one satellite may
     be any share of the table, see ``join_dimension``."""
-    return ephemeris.with_states(join_dimension(requests, prepared(catalog), ["norad_cat_id"]))
+    asked = join_dimension(requests, prepared(catalog), ["norad_cat_id"], measured=catalog)
+    return ephemeris.with_states(asked)
 
 
 def orbit_tracks(

@@ -27,23 +27,15 @@ def read_record_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def explode_payloads(payloads: DataFrame) -> DataFrame:
-    """One row per array item with ``record_text``; a payload that is no array
-    yields one row with a NULL item, so nothing is lost before the shape check."""
+    """One row per array item with ``record_text``; a payload that is no array stays
+    one row with a reason, so nothing is lost. An empty array is a valid download."""
     others = [c for c in payloads.columns if c != "payload"]
-    items = F.from_json("payload", "array<string>")
-    valid = F.ltrim("payload").startswith("[") & items.isNotNull()
-    return (
-        payloads.withColumn("_items", items)
-        .withColumn("_bad", F.when(~F.coalesce(valid, F.lit(False)), F.lit(NOT_A_LIST)))
-        # an empty array is a valid, empty download
-        .where(F.col("_bad").isNotNull() | (F.size("_items") > 0))
-        .select(
-            *others,
-            F.explode(
-                F.when(F.col("_bad").isNull(), F.col("_items")).otherwise(F.array(F.col("payload")))
-            ).alias("record_text"),
-            F.col("_bad").alias("reject_reason"),
-        )
+    parsed = computed_once(payloads, _items=F.from_json("payload", "array<string>"))
+    is_list = F.coalesce(F.ltrim("payload").startswith("[") & F.col("_items").isNotNull(), F.lit(False))
+    return parsed.select(
+        *others,
+        F.explode(F.when(is_list, F.col("_items")).otherwise(F.array("payload"))).alias("record_text"),
+        F.when(~is_list, F.lit(NOT_A_LIST)).alias("reject_reason"),
     )
 
 
