@@ -638,7 +638,7 @@ _oracle(
     "requested_positions",
     """
   SELECT norad_cat_id, sequence AS request_id, requested_at, status,
-         round((epoch_us(requested_at) - epoch_us(epoch)) / 6e7, 4) AS time_delta_minutes_from_epoch,
+         (epoch_us(requested_at) - epoch_us(epoch)) / 6e7 AS time_delta_minutes_from_epoch,
          round(x, 4) AS x_km, round(y, 4) AS y_km, round(z, 4) AS z_km,
          round(wx, 4) AS vx_km_s, round(wy, 4) AS vy_km_s, round(wz, 4) AS vz_km_s,
          round(latitude_deg, 4) AS latitude_deg, round(longitude_deg, 4) AS longitude_deg,
@@ -649,7 +649,7 @@ _oracle(
     "sgp4_ephemeris",
     """
   SELECT norad_cat_id, object_name, epoch AS source_epoch, requested_at, sequence,
-         round((epoch_us(requested_at) - epoch_us(epoch)) / 6e7, 4) AS time_delta_minutes_from_epoch,
+         (epoch_us(requested_at) - epoch_us(epoch)) / 6e7 AS time_delta_minutes_from_epoch,
          round(x, 4) AS x_km, round(y, 4) AS y_km, round(z, 4) AS z_km,
          round(wx, 4) AS vx_km_s, round(wy, 4) AS vy_km_s, round(wz, 4) AS vz_km_s,
          round(latitude_deg, 4) AS latitude_deg, round(longitude_deg, 4) AS longitude_deg,

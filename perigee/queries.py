@@ -320,7 +320,7 @@ def sgp4_ephemeris(spark, sf_dir):
         "coordinate_frame",
         "is_approximate",
     )
-    return rounded(states, 4, "time_delta_minutes_from_epoch", *STATE_COLUMNS)
+    return rounded(states, 4, *STATE_COLUMNS)
 
 
 @query
@@ -332,7 +332,7 @@ def requested_positions(spark, sf_dir):
     states = asked.select(
         "norad_cat_id", "request_id", "requested_at", "status", "time_delta_minutes_from_epoch", *STATE_COLUMNS
     )
-    return rounded(states, 4, "time_delta_minutes_from_epoch", *STATE_COLUMNS)
+    return rounded(states, 4, *STATE_COLUMNS)
 
 
 @query
