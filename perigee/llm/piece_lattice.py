@@ -31,6 +31,7 @@ UNKNOWN_COST = 10.0
 REMEMBERED = 150_000
 LONGEST_REMEMBERED = 40
 N_BEST = 3
+SAME = 6
 # piece kinds of the model format
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -107,11 +108,15 @@ class Pieces:
         return best[-1], best[-1] - second[-1], tuple(chain.from_iterable(reversed(parts)))
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The best n paths in order, found backwards with the forward scores as guide."""
+        """The best n paths in order, found backwards with the forward scores as guide.
+
+        Among equal scores (to SAME decimals) the path that is nearest to the start goes
+        first: else all ways to cut a run of one character would grow side by side.
+        """
         best, _, _ = self.forward(chunk)
-        agenda, order, out = [(-best[-1], 0, len(chunk), 0.0, None)], 0, []
+        agenda, order, out = [(-best[-1], len(chunk), 0, 0.0, None)], 0, []
         while agenda and len(out) < n:
-            _, _, place, behind, path = heapq.heappop(agenda)
+            _, place, _, behind, path = heapq.heappop(agenda)
             if place == 0:
                 parts = []
                 while path:
@@ -127,7 +132,7 @@ class Pieces:
                     arc = self.fallback(chunk[i])
                 order += 1
                 score = behind + arc[0]
-                heapq.heappush(agenda, (-(best[i] + score), order, i, score, (arc[1], path)))
+                heapq.heappush(agenda, (-round(best[i] + score, SAME), i, order, score, (arc[1], path)))
         return out
 
     def decode(self, ids: list[int]) -> str:

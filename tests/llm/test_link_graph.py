@@ -65,4 +65,5 @@ def test_links_decide(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
     rows = [(1, "http://bad.net/", None), (2, "http://shady.com/", link("BAD.net")), (3, "http://fine.com/", link("other.com")), (4, "http://blog.shady.com/", "")]
     found = {r["id"]: r["verdict"] for r in link_graph.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert found == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    # a link to a blocked host makes its host suspect, and with it the host below
+    assert found == {1: "block", 2: "block", 3: "allow", 4: "block"}
