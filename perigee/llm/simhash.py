@@ -13,6 +13,8 @@ group that is formed holds at most 65 rows, however many near copies there are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +25,7 @@ from perigee.llm.components import connected
 from perigee.llm.shared import column, map_batches, rows_of, shared_folder, stored, texts
 
 BITS = 64
-SEGMENTS = 16
+SEGMENTS = 32
 WIDTH = BITS // SEGMENTS
 MAX_BITS = 2
 SEED = 42
@@ -65,20 +67,22 @@ def fingerprints(documents: DataFrame, words: int = 3, id_col: str = "doc_id", t
 
 
 def cell(fp: str) -> Column:
-    """The popcounts of the segments, four bits each, packed into a long."""
+    """The popcounts of the segments, `WIDTH` bits each, packed into a long."""
     parts = [
-        F.shiftleft(F.bit_count(F.shiftrightunsigned(F.col(fp), WIDTH * k).bitwiseAND((1 << WIDTH) - 1)).cast("long"), 4 * k)
+        F.shiftleft(F.bit_count(F.shiftrightunsigned(F.col(fp), WIDTH * k).bitwiseAND((1 << WIDTH) - 1)).cast("long"), WIDTH * k)
         for k in range(SEGMENTS)
     ]
-    return sum(parts[1:], parts[0])
+    return reduce(Column.bitwiseOR, parts)
 
 
 def _steps(packed: str) -> Column:
     """A cell and its neighbours at Manhattan distance one, within the grid."""
     around = [F.col(packed)]
     for k in range(SEGMENTS):
-        count, one = F.shiftrightunsigned(F.col(packed), 4 * k).bitwiseAND(15), F.shiftleft(F.lit(1).cast("long"), 4 * k)
-        around += [F.when(count > 0, F.col(packed) - one), F.when(count < WIDTH, F.col(packed) + one)]
+        count = F.shiftrightunsigned(F.col(packed), WIDTH * k).bitwiseAND((1 << WIDTH) - 1).cast("long")
+        for other, within in ((count - 1, count > 0), (count + 1, count < WIDTH)):
+            changed = F.shiftleft(count.bitwiseXOR(other), WIDTH * k)
+            around.append(F.when(within, F.col(packed).bitwiseXOR(changed)))
     return F.filter(F.array(*around), lambda x: x.isNotNull())
 
 
