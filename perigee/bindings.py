@@ -103,16 +103,19 @@ def orbit_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event rows as telemetry: the user is the entity, the type metric and subsystem."""
+    """Event rows as telemetry: the user is the entity, the type metric and subsystem.
+
+    Every third event belongs to a second scenario, and every 97th lost its value.
+    """
     return events(spark, sf_dir).select(
         F.col("user_id").alias("entity_id"),
-        F.lit("nominal").alias("scenario"),
+        F.when(F.col("event_id") % 3 == 0, "storm").otherwise("nominal").alias("scenario"),
         F.unix_micros("ts").alias("sequence_count"),
         F.col("event_id").alias("sample_ordinal"),
         F.col("ts").alias("source_event_time"),
         F.col("event_type").alias("subsystem"),
         F.col("event_type").alias("measurement_name"),
-        F.col("value").alias("measurement_value"),
+        F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("measurement_value"),
     )
 
 

@@ -35,12 +35,19 @@ def quality(epoch: Column, norad_cat_id: Column) -> Column:
 
 
 def severity(value: Column, direction: Column, warning: Column, critical: Column) -> Column:
-    """``info``, ``warning`` or ``critical``; the bounds themselves count as reached."""
+    """``info``, ``warning`` or ``critical``; the bounds themselves count as reached.
+
+    NaN, as a value or a bound, reaches nothing (Spark orders it above all numbers). A
+    direction that is neither high nor low fails the job.
+    """
+    unknown = direction.isNotNull() & ~direction.isin("high", "low")
 
     def reached(bound: Column) -> Column:
-        return F.when(direction == "high", value >= bound).when(direction == "low", value <= bound)
+        number = ~F.isnan(value) & ~F.isnan(bound)
+        return number & F.when(direction == "high", value >= bound).when(direction == "low", value <= bound)
 
-    return F.when(reached(critical), "critical").when(reached(warning), "warning").otherwise("info")
+    refused = F.raise_error(F.concat(F.lit("direction is neither high nor low: "), direction)).cast("string")
+    return F.when(unknown, refused).when(reached(critical), "critical").when(reached(warning), "warning").otherwise("info")
 
 
 def threshold_hit(severity_label: Column, warning: Column, critical: Column) -> Column:

@@ -4,10 +4,12 @@ Samples are rows (entity_id, scenario, sequence_count, sample_ordinal,
 source_event_time, subsystem, measurement_name, measurement_value). The order of
 an entity's samples is (sequence_count, sample_ordinal).
 
-Shuffle design. Samples move once, by entity and segment, *before* they fan out
+A series is what one entity reports in one scenario: scenarios never mix.
+
+Shuffle design. Samples move once, by series and segment, *before* they fan out
 over policies; every later window key contains those columns, so no window moves
-them again. A segment is the whole series for ordinary entities. An entity with
-more than ``segment_rows`` samples is cut into runs of its sequence numbers, each a
+them again. A segment is the whole series for ordinary series. A series with more
+than ``segment_rows`` samples is cut at quantiles of the sample order, each part a
 task of its own, and what the state machine carries across a cut (two counters and
 the last severity) is computed on one summary row per segment and joined back.
 """
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.functions import labels, parsing
-from perigee.operators.joins import at_most, join_dimension
+from perigee.operators.joins import at_most, hinted
 from perigee.schemas import POLICY
 from perigee.sources.tables import conform
 
 SEGMENT_ROWS = 2_000_000
+CUT_SAMPLES = 50
+ENTITY = ["entity_id", "scenario"]
 THRESHOLD_COLUMNS = [
     "policy", "measurement_name", "direction", "warning", "critical", "required_persistence",
 ]
@@ -51,7 +55,7 @@ def with_status(samples: DataFrame, policies: DataFrame, policy: str = fixed.STA
     watched = policies.where(F.col("policy") == policy).select(
         "measurement_name", "direction", "warning", "critical"
     )
-    joined = join_dimension(samples, watched, ["measurement_name"], "left")
+    joined = samples.join(hinted(watched), ["measurement_name"], "left")
     status = labels.severity(
         F.col("measurement_value"), F.col("direction"), F.col("warning"), F.col("critical")
     )
@@ -61,27 +65,32 @@ def with_status(samples: DataFrame, policies: DataFrame, policy: str = fixed.STA
 
 
 def latest_per_subsystem(samples: DataFrame) -> DataFrame:
-    """The last sample of every entity and subsystem. One row per map task and
-    group survives to the shuffle."""
-    last = Window.partitionBy("entity_id", "subsystem").orderBy(
+    """The last sample of every entity, scenario and subsystem. One row per map task
+    and group survives to the shuffle."""
+    keys = [c for c in (*ENTITY, "subsystem") if c in samples.columns]
+    last = Window.partitionBy(*keys).orderBy(
         F.col("sequence_count").desc(), F.col("sample_ordinal").desc()
     )
     return samples.withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") == 1).drop("_rank")
 
 
-def hot_entities(samples: DataFrame, segment_rows: int) -> DataFrame:
-    """Entities above ``segment_rows`` samples with the sequence width of a segment.
+def cuts(samples: DataFrame, segment_rows: int) -> DataFrame:
+    """Series above ``segment_rows`` samples with the places where they are cut.
 
-    Counts are combined before the shuffle; at most rows / segment_rows remain.
+    Counts are combined before the shuffle; at most rows / segment_rows series remain.
+    About ``CUT_SAMPLES`` places a segment, chosen by hash, stand for the order of a
+    series' samples; every ``CUT_SAMPLES``-th of them is a cut. Samples themselves are
+    all kept: the choice only decides where a segment ends.
     """
-    sizes = samples.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("sequence_count").alias("_first"),
-        F.max("sequence_count").alias("_last"),
+    place = F.struct("sequence_count", "sample_ordinal")
+    every = max(1, segment_rows // CUT_SAMPLES)
+    chosen = F.pmod(F.xxhash64("sequence_count", "sample_ordinal"), F.lit(every)) == 0
+    sizes = samples.groupBy(*ENTITY).agg(
+        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_set(F.when(chosen, place))).alias("_places")
     )
-    parts = F.ceil(F.col("_n") / F.lit(float(segment_rows)))
-    width = F.ceil((F.col("_last") - F.col("_first") + 1) / parts)
-    return sizes.where(F.col("_n") > segment_rows).select("entity_id", "_first", width.alias("_width"))
+    step = max(1, segment_rows // every)
+    kept = F.filter("_places", lambda _, k: k % step == step - 1)
+    return sizes.where(F.col("_n") > segment_rows).select(*ENTITY, kept.alias("_cuts"))
 
 
 def threshold_events(
@@ -96,21 +105,20 @@ def threshold_events(
     whether any series has to be cut.
     """
     samples = _with_scenario(samples).select(*SAMPLE_COLUMNS)
-    thresholds = policies.select(*THRESHOLD_COLUMNS)
-    watched = join_dimension(samples, thresholds.select("measurement_name"), ["measurement_name"], "left_semi")
-    hot = hot_entities(watched, segment_rows)
+    samples = samples.withColumn("scenario", F.coalesce("scenario", F.lit(fixed.DEFAULT_SCENARIO)))
+    thresholds = hinted(policies.select(*THRESHOLD_COLUMNS))
+    watched = samples.join(hinted(policies.select("measurement_name")), ["measurement_name"], "left_semi")
+    hot = cuts(watched, segment_rows)
     cut = not at_most(hot, 0)
     if cut:
-        segment = F.floor((F.col("sequence_count") - F.col("_first")) / F.col("_width")).cast("int")
-        watched = (
-            join_dimension(watched, hot, ["entity_id"], "left")
-            .withColumn("segment", F.coalesce(segment, F.lit(0)))
-            .drop("_first", "_width")
-        )
+        here = F.struct("sequence_count", "sample_ordinal")
+        segment = F.size(F.filter("_cuts", lambda place: place <= here))
+        watched = watched.join(hot, ENTITY, "left")
+        watched = watched.withColumn("segment", F.when(F.col("_cuts").isNull(), 0).otherwise(segment)).drop("_cuts")
     else:
         watched = watched.withColumn("segment", F.lit(0))
-    place = ["entity_id", "segment"] if cut else ["entity_id"]
-    graded = join_dimension(watched.repartition(*place), thresholds, ["measurement_name"])
+    place = [*ENTITY, "segment"] if cut else ENTITY
+    graded = watched.repartition(*place).join(thresholds, ["measurement_name"])
     label = labels.severity(
         F.round("measurement_value", 3), F.col("direction"), F.col("warning"), F.col("critical")
     )
@@ -134,7 +142,7 @@ def _order() -> list[Column]:
     return [F.col("sequence_count"), F.col("sample_ordinal")]
 
 
-SERIES = ["entity_id", "policy", "measurement_name"]
+SERIES = [*ENTITY, "policy", "measurement_name"]
 
 
 def _severity_changes(graded: DataFrame, cut: bool) -> DataFrame:
@@ -227,36 +235,36 @@ def _carry(stretches: DataFrame) -> DataFrame:
 
 
 def _attach(rows: DataFrame, summary: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """Left-join per-segment values onto rows that are placed by (entity, segment).
+    """Left-join per-segment values onto rows that are placed by series and segment.
 
-    The summary is folded to one map per (entity, segment), its size bounded by the
+    The summary is folded to one map per series and segment, its size bounded by the
     policy table, so that the join keys equal the placement of the rows and only the
     summary moves.
     """
     entry = F.struct(F.struct(*by), F.struct(*values))
-    folded = summary.groupBy("entity_id", "segment").agg(
+    folded = summary.groupBy(*ENTITY, "segment").agg(
         F.map_from_entries(F.collect_list(entry)).alias("_folded")
     )
-    joined = rows.join(folded.hint("shuffle_hash"), ["entity_id", "segment"], "left")
+    joined = rows.join(folded.hint("shuffle_hash"), [*ENTITY, "segment"], "left")
     found = joined.withColumn("_found", F.try_element_at("_folded", F.struct(*by)))
     return found.withColumns({v: F.col(f"_found.{v}") for v in values}).drop("_folded", "_found")
 
 
 def _number(events: DataFrame, cut: bool) -> DataFrame:
-    """Number an entity's events under a policy in emission order over all metrics."""
+    """Number a series' events under a policy in emission order over all metrics."""
     if not cut:
-        numbering = Window.partitionBy("entity_id", "policy").orderBy(*_order())
+        numbering = Window.partitionBy(*ENTITY, "policy").orderBy(*_order())
         return events.withColumn("event_no", F.row_number().over(numbering))
-    local = F.row_number().over(Window.partitionBy("entity_id", "policy", "segment").orderBy(*_order()))
+    local = F.row_number().over(Window.partitionBy(*ENTITY, "policy", "segment").orderBy(*_order()))
     earlier = (
-        Window.partitionBy("entity_id", "policy")
+        Window.partitionBy(*ENTITY, "policy")
         .orderBy("segment")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        events.groupBy("entity_id", "policy", "segment")
+        events.groupBy(*ENTITY, "policy", "segment")
         .count()
-        .select("entity_id", "policy", "segment", F.sum("count").over(earlier).alias("earlier"))
+        .select(*ENTITY, "policy", "segment", F.sum("count").over(earlier).alias("earlier"))
     )
     numbered = _attach(events, offsets, ["policy"], ["earlier"])
     return numbered.withColumn("event_no", (local + F.coalesce("earlier", F.lit(0))).cast("int")).drop("earlier")
@@ -336,16 +344,15 @@ def policy_facts(events: DataFrame) -> DataFrame:
 def policy_comparison(samples: DataFrame, events: DataFrame, policies: DataFrame) -> DataFrame:
     """One row per entity and policy, entities and policies without events included."""
     guidance = policies.select("policy", "recommended_action", "notes").distinct()
-    entities = _with_scenario(samples).select("entity_id", "scenario").distinct()
-    # every entity reports under every policy: the few policies ride along as an array
-    names = guidance.agg(F.sort_array(F.collect_set("policy")).alias("_policies"))
-    slots = (
-        entities.withColumn("_all", F.lit(1))
-        .join(F.broadcast(names.withColumn("_all", F.lit(1))), "_all")
-        .select("entity_id", "scenario", F.explode("_policies").alias("policy"))
+    entities = _with_scenario(samples).select(
+        "entity_id", F.coalesce("scenario", F.lit(fixed.DEFAULT_SCENARIO)).alias("scenario")
     )
-    facts = slots.join(policy_facts(events), ["entity_id", "scenario", "policy"], "left")
-    return join_dimension(facts, guidance, ["policy"]).withColumns(
+    # every entity reports under every policy: the names ride along as a literal, read
+    # from the policy table, whose size is that of a hand-written configuration
+    names = [r["policy"] for r in guidance.select("policy").distinct().orderBy("policy").collect()]
+    slots = entities.distinct().select(*ENTITY, F.explode(F.array(*map(F.lit, names))).alias("policy"))
+    facts = slots.join(policy_facts(events), [*ENTITY, "policy"], "left")
+    return facts.join(guidance, ["policy"]).withColumns(
         {
             "event_count": F.coalesce("event_count", F.lit(0)),
             "critical_count": F.coalesce("critical_count", F.lit(0)),

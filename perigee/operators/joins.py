@@ -1,11 +1,11 @@
-"""Building blocks for plans: measured joins and columns computed once."""
+"""Building blocks for plans: a bounded count and columns computed once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 64
+
+BROADCAST_ROWS = 10_000
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -23,24 +23,10 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
 
 
-def join_dimension(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-    measured: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join on ``on``; ``how`` is inner, left, left_semi or left_anti.
-
-    Up to ``max_rows`` rows (counted, in ``measured`` where given) the dimension is broadcast and the facts do
-    not move. Beyond that both sides shuffle on the key plus a salt, the dimension
-    repeated per salt value, so a key with a third of the facts spreads over
-    ``salts`` tasks. Both ways give the same rows.
+def hinted(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A dimension with a broadcast hint if it is counted to have few rows.
+
+    Beyond the bound it is joined as it is: Spark shuffles both sides and splits hot
+    keys (skew join). The join and its rows are the same either way.
     """
-    if at_most(dimension if measured is None else measured, max_rows):
-        return facts.join(F.broadcast(dimension), on, how)
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
-    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return F.broadcast(dimension) if at_most(dimension, rows) else dimension

@@ -55,10 +55,15 @@ def gold_load_rows(staged: DataFrame) -> DataFrame:
 
 
 def load_gold(staged: DataFrame, path: str) -> DataFrame:
-    """Append staged gold to the reporting table after the contract check."""
+    """Load staged gold into the reporting table after the contract check.
+
+    The table is partitioned by metric_date; the dates staged replace what the table
+    had of them, so that a second load of the same rows changes nothing.
+    """
     rows = gold_load_rows(require_contract(staged))
-    rows.write.mode("append").parquet(path)
-    return staged.sparkSession.read.parquet(path)
+    columns = rows.columns
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric_date").parquet(path)
+    return staged.sparkSession.read.schema(rows.schema).parquet(path).select(*columns)
 
 
 def freshness_by_date(gold: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.functions import frames
-from perigee.operators.joins import join_dimension
 from perigee.operators.params import require_between
 
 # Cells of the sub-satellite point used as a join key, and the altitude bands a
@@ -22,7 +21,6 @@ BAND_TOPS_KM = [450.0, 700.0, 1000.0, 1500.0, 2500.0, 6000.0, 14000.0, 26000.0]
 # geodetic against geocentric verticals at both ends and at the horizon
 VERTICAL_SLACK_DEG = 0.7
 # one station covers at most cells x bands = 5,832 rows, in practice about a quarter
-BROADCAST_STATIONS = 500
 SEGMENT_STEPS = 4096
 MAX_NESTED_SAMPLES = 100_000
 
@@ -58,12 +56,9 @@ def elevations(states: DataFrame, passes: DataFrame, stations: DataFrame) -> Dat
     ``passes`` holds (norad_cat_id, station) assignments, so the work is the number
     of assigned pairs and never satellites times stations.
     """
-    assigned = join_dimension(
-        passes.select("norad_cat_id", "station"),
-        station_vectors(stations).drop("latitude_deg", "longitude_deg"),
-        ["station"],
-    )
-    paired = join_dimension(satellite_vectors(states), assigned, ["norad_cat_id"], measured=passes)
+    places = station_vectors(stations).drop("latitude_deg", "longitude_deg")
+    assigned = passes.select("norad_cat_id", "station").join(places, ["station"])
+    paired = satellite_vectors(states).join(assigned, ["norad_cat_id"])
     return _drop_vectors(frames.with_elevation(paired, "sat_", "gs_"))
 
 
@@ -132,13 +127,7 @@ def visible_samples(
     placed = satellite_vectors(states).withColumns(
         {"cell": _cell("latitude_deg", "longitude_deg"), "band": _band("altitude_km")}
     )
-    near = join_dimension(
-        placed,
-        coverage(stations, min_elevation_deg),
-        ["band", "cell"],
-        measured=stations,
-        max_rows=BROADCAST_STATIONS,
-    )
+    near = placed.join(coverage(stations, min_elevation_deg), ["band", "cell"])
     seen = frames.with_elevation(near, "sat_", "gs_").where(
         F.col("elevation_deg") >= F.lit(float(min_elevation_deg))
     )

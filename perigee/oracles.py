@@ -247,52 +247,57 @@ FRAGMENTS["thresholds"] = """
     ('relaxed_ops', 'error', 'high', 100.0, 160.0, 3),
     ('relaxed_ops', 'purchase', 'low', 5.0, 1.0, 3), ('relaxed_ops', 'signup', 'low', 5.0, 1.0, 3)
   ) t(policy, metric, direction, warning, critical, persistence)"""
-SEVERITY = """CASE WHEN direction = 'high' AND {v} >= critical OR direction = 'low' AND {v} <= critical THEN 'critical'
+FRAGMENTS["telemetry"] = """
+  SELECT user_id, event_id, ts, event_type, CASE WHEN event_id % 3 = 0 THEN 'storm' ELSE 'nominal' END AS scenario,
+         CASE WHEN event_id % 97 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value
+  FROM events"""
+SEVERITY = """CASE WHEN isnan({v}) THEN 'info'
+              WHEN direction = 'high' AND {v} >= critical OR direction = 'low' AND {v} <= critical THEN 'critical'
               WHEN direction = 'high' AND {v} >= warning OR direction = 'low' AND {v} <= warning THEN 'warning'
               ELSE 'info' END"""
 FRAGMENTS["graded"] = f"""
-  SELECT e.user_id, e.event_id, e.ts, e.event_type AS metric, round(e.value, 3) AS v, p.*,
+  SELECT e.user_id, e.scenario, e.event_id, e.ts, e.event_type AS metric, round(e.value, 3) AS v, p.*,
          {SEVERITY.format(v='round(e.value, 3)')} AS severity
-  FROM events e JOIN thresholds p ON e.event_type = p.metric"""
+  FROM telemetry e JOIN thresholds p ON e.event_type = p.metric"""
 FRAGMENTS["stretches"] = """
   SELECT *, count(*) FILTER (severity = 'info') OVER (
-    PARTITION BY user_id, policy, metric ORDER BY ts, event_id
+    PARTITION BY user_id, scenario, policy, metric ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM graded"""
 FRAGMENTS["qualified"] = """
   SELECT * FROM stretches WHERE severity <> 'info'
   QUALIFY row_number() OVER (
-    PARTITION BY user_id, policy, metric, stretch, severity ORDER BY ts, event_id) >= persistence"""
+    PARTITION BY user_id, scenario, policy, metric, stretch, severity ORDER BY ts, event_id) >= persistence"""
 FRAGMENTS["emitted"] = """
   SELECT * FROM qualified
   QUALIFY coalesce(lag(severity) OVER (
-    PARTITION BY user_id, policy, metric, stretch ORDER BY ts, event_id) <> severity, true)"""
+    PARTITION BY user_id, scenario, policy, metric, stretch ORDER BY ts, event_id) <> severity, true)"""
 FRAGMENTS["alert_rows"] = """
-  SELECT *, row_number() OVER (PARTITION BY user_id, policy ORDER BY ts, event_id) AS event_no FROM emitted"""
+  SELECT *, row_number() OVER (PARTITION BY user_id, scenario, policy ORDER BY ts, event_id) AS event_no FROM emitted"""
 
 _oracle(
     "telemetry_status",
     f"""
-  SELECT e.user_id AS entity_id, 'nominal' AS scenario, epoch_us(e.ts) AS sequence_count,
+  SELECT e.user_id AS entity_id, e.scenario, epoch_us(e.ts) AS sequence_count,
          e.event_id AS sample_ordinal, e.ts AS source_event_time, e.event_type AS subsystem,
          e.event_type AS measurement_name, round(e.value, 3) AS measurement_value,
          {SEVERITY.format(v='e.value')} AS status
-  FROM events e LEFT JOIN (SELECT * FROM thresholds WHERE policy = 'balanced_ops') p ON e.event_type = p.metric""",
+  FROM telemetry e LEFT JOIN (SELECT * FROM thresholds WHERE policy = 'balanced_ops') p ON e.event_type = p.metric""",
 )
 _oracle(
     "latest_per_subsystem",
     """
-  SELECT user_id AS entity_id, 'nominal' AS scenario, epoch_us(ts) AS sequence_count,
+  SELECT user_id AS entity_id, scenario, epoch_us(ts) AS sequence_count,
          event_id AS sample_ordinal, ts AS source_event_time, event_type AS subsystem,
          event_type AS measurement_name, value AS measurement_value
-  FROM events
-  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+  FROM telemetry
+  QUALIFY row_number() OVER (PARTITION BY user_id, scenario, event_type ORDER BY ts DESC, event_id DESC) = 1""",
 )
 _oracle(
     "threshold_events",
     """
   SELECT user_id AS entity_id, event_no::INTEGER AS event_no,
-         'SIM-' || user_id || '-nominal-' || policy || '-' || lpad(event_no::VARCHAR, greatest(3, length(event_no::VARCHAR))::INTEGER, '0') AS event_id,
-         ts AS event_time, metric AS subsystem, severity, 'nominal' AS scenario, policy,
+         'SIM-' || user_id || '-' || scenario || '-' || policy || '-' || lpad(event_no::VARCHAR, greatest(3, length(event_no::VARCHAR))::INTEGER, '0') AS event_id,
+         ts AS event_time, metric AS subsystem, severity, scenario, policy,
          metric AS triggered_by, v AS measurement_value,
          CASE severity WHEN 'critical' THEN critical ELSE warning END AS threshold,
          upper(severity[1]) || severity[2:] || ' simulated ' || metric || ' event: ' || metric || ' reached '
@@ -303,24 +308,24 @@ _oracle(
   FROM alert_rows""",
 )
 FRAGMENTS["comparison_rows"] = """
-  SELECT e.user_id AS entity_id, 'nominal' AS scenario, p.policy,
+  SELECT e.user_id AS entity_id, e.scenario, p.policy,
          count(a.event_no) AS event_count, count(*) FILTER (a.severity = 'critical') AS critical_count,
          min(a.ts) FILTER (a.severity = 'warning') AS first_warning_time,
          min(a.ts) FILTER (a.severity = 'critical') AS first_critical_time,
          arg_min(a.metric, a.event_no) AS first_subsystem, min(a.ts) AS first_event_time
-  FROM (SELECT DISTINCT user_id FROM events) e
+  FROM (SELECT DISTINCT user_id, scenario FROM telemetry) e
   CROSS JOIN (SELECT DISTINCT policy FROM thresholds) p
-  LEFT JOIN alert_rows a ON a.user_id = e.user_id AND a.policy = p.policy
+  LEFT JOIN alert_rows a ON a.user_id = e.user_id AND a.scenario = e.scenario AND a.policy = p.policy
   GROUP BY ALL"""
 FRAGMENTS["top_subsystems"] = """
-  SELECT user_id, policy, metric AS top_affected_subsystem
-  FROM (SELECT user_id, policy, metric, count(*) AS n, min(event_no) AS first_no FROM alert_rows GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY user_id, policy ORDER BY n DESC, first_no) = 1"""
+  SELECT user_id, scenario, policy, metric AS top_affected_subsystem
+  FROM (SELECT user_id, scenario, policy, metric, count(*) AS n, min(event_no) AS first_no FROM alert_rows GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY user_id, scenario, policy ORDER BY n DESC, first_no) = 1"""
 _oracle(
     "policy_comparison",
     """
   SELECT c.*, t.top_affected_subsystem, 'act on ' || c.policy AS recommended_action, c.policy AS notes
-  FROM comparison_rows c LEFT JOIN top_subsystems t ON t.user_id = c.entity_id AND t.policy = c.policy""",
+  FROM comparison_rows c LEFT JOIN top_subsystems t ON t.user_id = c.entity_id AND t.scenario = c.scenario AND t.policy = c.policy""",
 )
 _oracle(
     "runbook_summary",
@@ -381,8 +386,8 @@ def _geodetic(prefix: str, source: str) -> None:
   FROM {prefix}_turned"""
     for n in range(5):
         FRAGMENTS[f"{prefix}_pass{n + 1}"] = f"""
-  SELECT * REPLACE (p / cos(lat) - n AS alt,
-                    atan2(z, p * (1 - {E2} * n / (p / cos(lat)))) AS lat)
+  SELECT * REPLACE (p * cos(lat) + z * sin(lat) - {A} * sqrt(1 - {E2} * sin(lat) ** 2) AS alt,
+                    atan2(z, p - {E2} * n * cos(lat)) AS lat)
   FROM (SELECT * {'EXCLUDE (n)' if n else ''}, {A} / sqrt(1 - {E2} * sin(lat) ** 2) AS n FROM {prefix}_pass{n})"""
     FRAGMENTS[f"{prefix}_geo"] = f"""
   SELECT *, degrees(lat) AS latitude_deg,

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.operators import catalog as cat, ephemeris, timegrid, visibility
-from perigee.operators.joins import join_dimension
 from perigee.operators.params import require_between
 
 
@@ -28,8 +27,8 @@ def positions(catalog: DataFrame, instants: list[datetime]) -> DataFrame:
 
 def requested_positions(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """States for rows (norad_cat_id, requested_at); requests of one satellite may
-    be any share of the table, see ``join_dimension``."""
-    asked = join_dimension(requests, prepared(catalog), ["norad_cat_id"], measured=catalog)
+    be any share of the table: the skew join splits them."""
+    asked = requests.join(prepared(catalog), ["norad_cat_id"])
     return ephemeris.with_states(asked)
 
 

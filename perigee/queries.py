@@ -36,7 +36,8 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    """Rounded columns; zero has no sign."""
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
 def ingested_at():

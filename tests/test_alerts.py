@@ -93,6 +93,44 @@ def test_windows_equal_the_loop_whole_and_cut(spark, seed, segment_rows):
     assert spark_events(samples(spark, rows), policies, rows, segment_rows=segment_rows) == expected
 
 
+@pytest.mark.parametrize("segment_rows", [1_000_000, 5])
+def test_scenarios_are_series_of_their_own(spark, segment_rows):
+    rng = random.Random(11)
+    by = {name: [(1, i, i, "temp", "temp", rng.choice((7, 12, 25))) for i in range(30)] for name in ("a", "b")}
+    policies = alerts.policy_table(spark, POLICIES)
+    frames = [samples(spark, rows).withColumn("scenario", F.lit(name)) for name, rows in by.items()]
+    both = frames[0].unionAll(frames[1])
+    for (name, rows), alone in zip(by.items(), frames, strict=True):
+        pick = ["event_id", "event_no", "event_time", "severity"]
+        expected = alerts.threshold_events(alone, policies, segment_rows=segment_rows).select(*pick).collect()
+        found = alerts.threshold_events(both, policies, segment_rows=segment_rows).where(F.col("scenario") == name)
+        assert sorted(found.select(*pick).collect()) == sorted(expected) != []
+        assert len(expected) == len(loop_events(rows, POLICIES))
+    assert {r["scenario"] for r in alerts.latest_per_subsystem(both).collect()} == {"a", "b"}
+
+
+def test_nan_reaches_no_threshold(spark):
+    rows = [(1, 0, 0, "t", "temp", float("nan")), (1, 1, 1, "v", "volt", float("nan")), (1, 2, 2, "t", "temp", 25.0)]
+    policies = alerts.policy_table(spark, POLICIES[:2])
+    events = alerts.threshold_events(samples(spark, rows), policies).collect()
+    assert [(e["triggered_by"], e["measurement_value"]) for e in events] == [("temp", 25.0)]
+    status = alerts.with_status(samples(spark, rows), policies, "eager").orderBy("sequence_count").collect()
+    assert [r["status"] for r in status] == ["info", "info", "critical"]
+
+
+def test_unknown_direction_is_refused(spark):
+    policies = alerts.policy_table(spark, [("p", "temp", "up", 1.0, 2.0, 1, "a", "n")])
+    with pytest.raises(Exception, match="neither high nor low"):
+        alerts.threshold_events(samples(spark, [(1, 0, 0, "t", "temp", 3.0)]), policies).collect()
+
+
+def test_one_sequence_number_is_cut_evenly(spark):
+    df = samples(spark, [(1, 5, i, "t", "temp", 1.0) for i in range(1000)])
+    bounds = [r["sample_ordinal"] for r in alerts.cuts(df, 100).first()["_cuts"]]
+    sizes = [b - a for a, b in zip([0, *bounds], [*bounds, 1000], strict=True)]
+    assert len(sizes) >= 8 and max(sizes) <= 220
+
+
 @pytest.mark.parametrize(
     ("levels", "expected"),
     [

@@ -139,6 +139,8 @@ def test_medallion_job_writes_three_layers(spark, tmp_path):
     paths = medallion.run_medallion(spark, str(lines), str(tmp_path / "out2"), INGESTED, lines=True)
     assert spark.read.parquet(paths["bronze"]).count() == 2
     loaded = metrics.load_gold(spark.read.parquet(paths["gold"]), str(tmp_path / "olap"))
+    again = metrics.load_gold(spark.read.parquet(paths["gold"]), str(tmp_path / "olap"))
+    assert again.count() == 2
     assert loaded.count() == 2 and loaded.schema["loaded_at"].dataType.simpleString() == "timestamp_ntz"
 
 

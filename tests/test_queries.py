@@ -6,7 +6,9 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from perigee.oracles import ORACLES
+from perigee.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 TABLES = Path("/root/testdata/sf0.001")
@@ -21,12 +23,12 @@ def other_engine():
     return connection
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_its_sql(spark, other_engine, name):
-    df = queries()[name](spark, str(TABLES))
+    df = QUERIES[name](spark, str(TABLES))
     columns = sorted(df.columns)
     found = sorted(repr(tuple(row[c] for c in columns)) for row in df.collect())
-    result = other_engine.execute(oracle_sql()[name])
+    result = other_engine.execute(ORACLES[name])
     theirs = [d[0] for d in result.description]
     assert sorted(theirs) == columns
     order = [theirs.index(c) for c in columns]
@@ -36,7 +38,7 @@ def test_query_equals_its_sql(spark, other_engine, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_expected_sizes(spark):
@@ -48,4 +50,4 @@ def test_expected_sizes(spark):
         ("stale", "invalid_missing_norad_cat_id"): 38,
         ("unknown", "invalid_missing_epoch"): 16,
     }
-    assert queries()["contact_windows"](spark, str(TABLES)).count() == 115
+    assert QUERIES["contact_windows"](spark, str(TABLES)).count() == 115

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perigee import schemas
 from perigee.functions import frames, sgp4
-from perigee.operators import catalog, checks, ephemeris, joins, params, timegrid, visibility
+from perigee.operators import catalog, checks, ephemeris, params, timegrid, visibility
 from perigee.plans import tracking
 from tests.samples import INGESTED, ISS_ELEMENTS, NOAA, STATIONS, record_rows, utc
 
@@ -282,16 +282,6 @@ def test_plan_has_no_pairwise_join(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast(spark, how):
-    facts = spark.range(500).select("id", F.when(F.col("id") % 3 != 0, 7).otherwise(F.col("id") % 40).alias("k"))
-    dimension = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small = joins.join_dimension(facts, dimension, ["k"], how)
-    salted = joins.join_dimension(facts, dimension, ["k"], how, max_rows=3, salts=4)
-    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
-    assert small.columns == salted.columns
-
-
 def test_longitude_wrap_and_gmst(spark):
     row = spark.range(1).select(
         frames.wrap_longitude(F.lit(-200.0)).alias("w"),
