@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 NEVER = float("-inf")
 UNKNOWN_COST = 10.0
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 40
 N_BEST = 3
 SAME = 6
@@ -77,25 +78,47 @@ class Pieces:
             return self.worst, tuple(self.bytes_[b] for b in character.encode())
         return self.worst, (self.unknown,)
 
+    @cached_property
+    def tree(self) -> dict:
+        """Pieces by their characters: each leads to (what may follow, the piece's arc)."""
+        root: dict = {}
+        for piece, arc in self.arcs.items():
+            level = root
+            for character in piece[:-1]:
+                level = level.setdefault(character, [{}, None])[0]
+            level.setdefault(piece[-1], [{}, None])[1] = arc
+        return root
+
     def forward(self, text: str) -> tuple[list[float], list[float], list]:
         """Best and second score to every place, and the best arc that ends there."""
-        n, get, longest = len(text), self.arcs.get, self.longest
+        n, root = len(text), self.tree
         best, second, back = [NEVER] * (n + 1), [NEVER] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            base, other = best[i], second[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                arc = get(text[i:j])
-                if arc is None:
+            base, other, level, j = best[i], second[i], root, i
+            for character in text[i : i + self.longest]:
+                j += 1
+                node = level.get(character)
+                if node is None:
                     if j > i + 1:
-                        continue
-                    arc = self.fallback(text[i])
-                score = base + arc[0]
+                        break
+                    level, arc = {}, self.fallback(character)
+                else:
+                    level, arc = node
+                    if arc is None:
+                        if j > i + 1:
+                            continue
+                        arc = self.fallback(character)
+                cost, ids = arc
+                score = base + cost
                 if score > best[j]:
-                    second[j] = max(best[j], other + arc[0])
-                    best[j], back[j] = score, (i, arc[1])
+                    kept = best[j]
+                    second[j] = kept if kept > other + cost else other + cost
+                    best[j], back[j] = score, (i, ids)
                 elif score > second[j]:
                     second[j] = score
+                if not level:
+                    break
         return best, second, back
 
     def best(self, chunk: str) -> tuple[float, float, tuple[int, ...]]:
@@ -147,6 +170,7 @@ class Encoder:
     def __init__(self, pieces: Pieces, n: int = N_BEST) -> None:
         self.pieces, self.n = pieces, n
         self.chunks: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.others: dict[str, list] = {}
 
     def encode(self, text: str) -> tuple[float, list[int], list[dict]]:
@@ -181,19 +205,20 @@ class Encoder:
         return total, ids, more
 
     def _new(self, chunk: str) -> tuple:
-        found = self.chunks.get(chunk)
+        """A chunk's best path; chunks not used since the memory last filled are forgotten."""
+        found = self.chunks.get(chunk) or self.older.get(chunk)
         if found is None:
             found = self.pieces.best(chunk)
-            if len(chunk) <= LONGEST_REMEMBERED:
-                if len(self.chunks) >= REMEMBERED:
-                    self.chunks.clear()
-                self.chunks[chunk] = found
+        if len(chunk) <= LONGEST_REMEMBERED:
+            if len(self.chunks) >= REMEMBERED:
+                self.chunks, self.older = {}, self.chunks
+            self.chunks[chunk] = found
         return found
 
     def _others(self, chunk: str) -> list:
         found = self.others.get(chunk)
         if found is None:
-            if len(self.others) >= REMEMBERED // 10:
+            if len(self.others) >= REMEMBERED // 20:
                 self.others.clear()
             found = self.pieces.n_best(chunk, self.n)
             if len(chunk) <= LONGEST_REMEMBERED:
@@ -201,6 +226,8 @@ class Encoder:
         return found
 
 
+# Of a worker process: its tasks share what is remembered.
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 ENCODED = (
     "n_pieces bigint, score double, ids array<int>, "
     "next_best array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>, round_trip boolean"
@@ -221,18 +248,17 @@ def encode(documents: DataFrame, model_path: str, n: int = N_BEST, text_col: str
     made = ("n_pieces", "score", "ids", "next_best", "round_trip")
     names = [x for x in documents.columns if x not in made]
     schema = ", ".join(f"`{x}` {documents.schema[x].dataType.simpleString()}" for x in names)
-    encoders: list[Encoder] = []
-
     def work(batch: pa.RecordBatch) -> dict:
-        if not encoders:
-            encoders.append(Encoder(pieces, n))
+        encoder = ENCODERS.get((model_path, n))
+        if encoder is None:
+            encoder = ENCODERS.setdefault((model_path, n), Encoder(pieces, n))
         scores, more, back, sizes, flat = [], [], [], [0], []
         for text in texts(batch, text_col):
             if text is None:
                 scores.append(None), more.append(None), back.append(None), sizes.append(sizes[-1])
                 continue
             value = text.decode()
-            score, ids, others = encoders[0].encode(value)
+            score, ids, others = encoder.encode(value)
             scores.append(score), more.append(others)
             back.append(pieces.decode(ids) == value.replace(SPACE, " "))
             flat.append(np.array(ids, np.int32))
