@@ -449,8 +449,8 @@ _oracle(
 _oracle(
     "ephemeris_geodetic",
     """
-  SELECT norad_cat_id, object_name, sequence, requested_at, round(x, 5) AS x_km, round(y, 5) AS y_km,
-         round(z, 5) AS z_km, round(latitude_deg, 5) AS latitude_deg, round(longitude_deg, 5) AS longitude_deg,
+  SELECT norad_cat_id, object_name, sequence, requested_at, round(x, 5) + 0.0 AS x_km, round(y, 5) + 0.0 AS y_km,
+         round(z, 5) + 0.0 AS z_km, round(latitude_deg, 5) + 0.0 AS latitude_deg, round(longitude_deg, 5) + 0.0 AS longitude_deg,
          round(altitude_km, 5) AS altitude_km
   FROM circular_geo""",
 )
