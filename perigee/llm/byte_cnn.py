@@ -168,14 +168,18 @@ def sample(documents: DataFrame, training: Column, text_col: str, label_col: str
     """
     size = LENGTH * 64
     rows = documents.where(training & F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(LETTER)).select(
-        F.col(f"`{text_col}`").alias("text"),
+        F.substring(F.col(f"`{text_col}`"), 1, size).alias("text"),
         F.col(f"`{label_col}`").alias("label"),
         F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("order"),
     )
-    ranked = rows.withColumn("text", F.substring("text", 1, size)).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("label").orderBy("order", "text"))
-    )
-    chosen = ranked.where(F.col("rank") <= per_label).orderBy("label", "rank")
+    # the hashes are ranked alone; texts are read again for those within the limit
+    ranks = Window.partitionBy("label").orderBy("order")
+    limits = rows.select("label", "order").withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= per_label)
+    limits = limits.groupBy("label").agg(F.max("order").alias("most"))
+    # a row for each label, and the network has an output for each
+    near = rows.join(F.broadcast(limits), "label").where("order <= most")
+    by_text = Window.partitionBy("label").orderBy("order", "text")
+    chosen = near.withColumn("rank", F.row_number().over(by_text)).where(F.col("rank") <= per_label).orderBy("label", "rank")
     return [(r["text"].encode(), r["label"]) for r in chosen.select("text", "label").collect()]
 
 
