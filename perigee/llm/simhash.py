@@ -13,6 +13,7 @@ group that is formed holds at most 65 rows, however many near copies there are.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,12 +32,17 @@ MAX_BITS = 2
 SEED = 42
 CHUNK = 1 << 14
 
+# wide similarity: minima a band, bands, and bits that filter before the exact check
+WORDS, SIMILARITY = 5, 0.8
+ROWS, BANDS, WIDE_BITS = 4, 16, 24
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """Majority bits of the XXH64 values of the word shingles, repeats included."""
+
+def shingles(text: bytes | None, words: int = 3) -> Iterator[np.ndarray]:
+    """XXH64 values of the word shingles, repeats included, in chunks of bounded size."""
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
@@ -46,12 +52,23 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     else:
         starts, ends = starts[: len(tokens) - words + 1], ends[words - 1 :]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in spans], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+        yield np.array([digest(joined[i:j], SEED) for i, j in spans], np.uint64)
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """Bits that are set in over half of the values; no values give zero."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in chunks:
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """Majority bits of the XXH64 values of the word shingles, repeats included."""
+    return majority(shingles(text, words))
 
 
 def fingerprints(documents: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,3 +142,117 @@ def near_duplicates(
     least = rooted.join(several, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     named = rooted.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component"))
     return prints.join(named, "fp").select("id", "fp", "component")
+
+
+def band_values(hashes: np.ndarray) -> list[int]:
+    """A signed value for each band of minima over a set of shingles."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    if len(hashes):
+        for k in range(BANDS * ROWS):
+            low[k] = ((hashes ^ _MIX[0, k]) * _MIX[1, k]).min()
+    parts = low.reshape(BANDS, ROWS)
+    return [np.uint64(xxhash.xxh64_intdigest(part.tobytes(), band)).astype(np.int64).item() for band, part in enumerate(parts)]
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, words)]))
+
+
+def similarity(one: np.ndarray, two: np.ndarray) -> float:
+    """Jaccard similarity of two sets; two empty ones are alike."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    union = len(one) + len(two) - both
+    return both / union if union else 1.0
+
+
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(node, id, fp, bands) of rows (node, id, text)."""
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> dict:
+        prints, bands = [], []
+        for text in texts(batch):
+            chunks = list(shingles(text, words))
+            prints.append(majority(chunks))
+            bands.append(band_values(np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks]))))
+        fp = np.array(prints, np.uint64).view(np.int64)
+        return {"node": column(batch, "node"), "id": column(batch, "id"), "fp": pa.array(fp), "bands": bands}
+
+    return map_batches(rows, f"node bigint, id {id_type}, fp bigint, bands array<bigint>", work)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(member, other): texts that share a band with its group's first or last text.
+
+    A group of n gives 2 n pairs at most; its first and last text are aggregated before
+    the join. Two texts that are alike and both unlike these meet in another band, whose
+    first and last text are others.
+    """
+    banded = distinct.select("node", "fp", F.posexplode("bands").alias("band", "value"))
+    text = F.struct("node", "fp")
+    groups = banded.groupBy("band", "value").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low.node <> high.node")
+    tips = groups.select("band", "value", F.explode(F.array("low", "high")).alias("tip"))
+    pairs = banded.join(tips, ["band", "value"]).where("node <> tip.node")
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("tip.fp"))) <= WIDE_BITS)
+    return pairs.select(F.col("node").alias("member"), F.col("tip.node").alias("other")).distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b): the candidate pairs whose shingle sets are alike enough, exactly."""
+    wanted = pairs.select(F.explode(F.array("member", "other")).alias("node")).distinct()
+    held = rows.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    joined = pairs.join(held.select(F.col("node").alias("member"), F.col("text").alias("text_a")), "member")
+    joined = joined.join(held.select(F.col("node").alias("other"), F.col("text").alias("text_b")), "other")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        kept, last, one = [], None, None
+        for node, a, b in zip(column(batch, "other").to_pylist(), texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
+            if one is None or node != last:  # pairs mostly come by the text they share
+                last, one = node, shingle_set(b, words)
+            kept.append(similarity(one, shingle_set(a, words)) >= least)
+        return {"a": column(batch, "member"), "b": column(batch, "other"), "alike": kept}
+
+    return map_batches(joined, "a bigint, b bigint, alike boolean", work).where("alike").select("a", "b")
+
+
+def one_of_each(
+    documents: DataFrame,
+    words: int = WORDS,
+    least: float = SIMILARITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folder: str | None = None,
+) -> DataFrame:
+    """The rows of `documents`, one of each group of copies and near copies.
+
+    Two texts are alike if their sets of word shingles have a Jaccard similarity of
+    `least` or more. At that distance fingerprints differ in about ten bits, where a
+    popcount bound no longer tells pairs apart; candidates are found by bands of minima
+    over the shingles instead, filtered by the fingerprints and verified exactly.
+
+    Groups are connected over these links, and the row with the smallest id stays (an
+    id before none, then the smallest text hash). Equal texts are one text; a null text
+    counts as empty, and texts without words are alike. Rows may repeat, and so may ids:
+    rows are told apart by their text. An empty table stays empty.
+    """
+    folder = folder or shared_folder(documents.sparkSession)
+    node = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    rows = documents.select(node.alias("node"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    found = stored(sketches(rows, words), f"{folder}/sketches")
+    distinct = found.groupBy("node").agg(F.min("id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    distinct = stored(distinct, f"{folder}/texts")
+    pairs = stored(candidates(distinct), f"{folder}/pairs")
+    roots = connected(verified(pairs, rows, words, least), folder)
+    grouped = distinct.select("node", "first").join(roots, "node", "left")
+    # only members of groups are ranked; texts of their own stay as they are
+    names = grouped.where("root is not null").select("root").distinct()
+    several = distinct.select("node", "first").join(roots, "node").unionByName(
+        distinct.select("node", "first").join(names, distinct["node"] == names["root"]).select("node", "first", F.col("root"))
+    )
+    best = several.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
+    dropped = several.join(best, "root").where("node <> best.node").select("node")
+    kept = stored(distinct.select("node", "first").join(dropped, "node", "left_anti"), f"{folder}/kept")
+    kept = kept.select(F.col("node").alias("_node"), F.col("first").alias("_first"))
+    chosen = documents.withColumn("_text_node", node)
+    on = (F.col("_text_node") == F.col("_node")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_first"))
+    return chosen.join(kept, on, "left_semi").dropDuplicates(["_text_node"]).drop("_text_node")

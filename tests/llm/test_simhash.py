@@ -74,3 +74,57 @@ def test_components_of_a_path_and_a_star(spark):
     frame = spark.createDataFrame(path, "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components.connected(frame, shared_folder(spark)).collect()}
     assert got == {k: 200 for k in range(201, 261)} | {k: 5 for k in range(6, 40)}
+
+
+def plain_groups(texts):
+    """Connected groups of texts over 5-word Jaccard similarity 0.8, all pairs."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, one in enumerate(sets):
+        for j in range(i):
+            both = len(one & sets[j])
+            if 5 * both >= 4 * (len(one) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_one_of_each_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    rng = np.random.default_rng(5)
+    edited = []  # near copies of whole texts, a word in sixty replaced
+    for number, (_, text) in enumerate(rows[:60]):
+        words = (text or "").split()
+        for k in rng.choice(len(words), len(words) // 60, replace=False) if words else ():
+            words[k] = f"edit{k}"
+        edited.append((10_000 + number, " ".join(words)))
+    rows += edited
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    kept = [r["doc_id"] for r in simhash.one_of_each(frame).collect()]
+    groups = plain_groups([text for _, text in rows])
+    assert len(set(groups)) < len(rows) - 40
+    assert sorted(kept) == sorted({rows[g][0] for g in groups})
+
+
+def test_one_of_each_awkward(spark, awkward, nothing):
+    out = simhash.one_of_each(awkward)
+    assert out.columns == awkward.columns
+    # null, empty and blank texts are alike; the row without an id is no copy of another
+    assert sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=lambda x: (x is None, x)) == [1, 3, 7, 8, 9, 10, None]
+    assert simhash.one_of_each(nothing).count() == 0
+    one = "a letter of some length to nobody in particular, as was the custom then"
+    rows = [(None, one), (4, one), (4, "other words that have nothing to do with the rest"), (4, one)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in simhash.one_of_each(frame).collect()) == sorted([(4, one), rows[2]])
+    both = spark.createDataFrame([(None, one), (None, f"{one} or not " * 9)], "doc_id bigint, text string")
+    assert simhash.one_of_each(both).count() == 2
