@@ -64,7 +64,6 @@ POLICY_GUIDANCE = {
     ),
 }
 STATUS_POLICY = "balanced_ops"
-SCENARIO_NAMES = ["nominal", "thermal_drift", "power_drop", "comms_degradation"]
 DEFAULT_SCENARIO = "nominal"
 
 # --- alert texts ------------------------------------------------------------

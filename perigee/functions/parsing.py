@@ -49,11 +49,6 @@ def json_field(variant: Column, name: str) -> Column:
     return F.try_variant_get(variant, f"$.{name}", "string")
 
 
-def canonical_json(text: Column) -> Column:
-    """JSON text with sorted keys."""
-    return F.to_json(F.parse_json(text))
-
-
 def number_text(value: Column) -> Column:
     """Number text of up to six significant digits without trailing zeros."""
     size = F.abs(value)

@@ -55,7 +55,7 @@ def with_track_grid(
     """Track grid: the end instant is always the last point; too long a track is refused."""
     count = sample_count(start, end, step_seconds, pin_end=True)
     if count > max_points:
-        raise ValueError(f"sample count {count} exceeds maximum {max_points}")
+        raise ValueError(f"a track of {count} points is over the {max_points} allowed")
     return with_grid(satellites, start, end, step_seconds, pin_end=True)
 
 

@@ -32,11 +32,13 @@ class CatalogHistory:
         """
         run_id = self.next_run_id() if run_id is None else run_id
         at = F.lit(utc(ingested_at))
-        rows = cat.good(cat.normalize(records, at), strict=True)
+        if payloads.POSITION not in records.columns:
+            records = records.withColumn(payloads.POSITION, F.lit(None).cast("bigint"))
+        rows = cat.good(cat.normalize(records, at, keep=[payloads.POSITION]), strict=True)
         stored = history.stored_row(rows).withColumn("run_id", F.lit(run_id).cast("bigint"))
-        tables.append_snapshots(stored, self.snapshots_path)
+        tables.replace_run(stored, schemas.SNAPSHOT, self.snapshots_path, run_id)
         written = self._stored().where(F.col("run_id") == run_id)
-        tables.append_runs(history.success_run(run_id, at, written), self.runs_path)
+        tables.replace_run(history.success_run(run_id, at, written), schemas.RUN, self.runs_path, run_id)
         return self.latest()
 
     def ingest_file(self, path: str, ingested_at: datetime, run_id: int | None = None) -> DataFrame:
@@ -51,9 +53,14 @@ class CatalogHistory:
         ttl_hours: float = fixed.REUSE_WITHIN_HOURS,
     ) -> DataFrame:
         """The latest catalog, ingesting the landed file only when the last success is
-        older than ``ttl_hours`` or ``force`` is set."""
+        older than ``ttl_hours`` or ``force`` is set. A failed ingest is logged, then raised."""
         if force or self.ingest_due(now, ttl_hours).first()["ingest_due"]:
-            return self.ingest_file(path, now)
+            run_id = self.next_run_id()
+            try:
+                return self.ingest_file(path, now, run_id)
+            except Exception as error:
+                self.log_failure(now, str(error).split("\n")[0], run_id=run_id)
+                raise
         return self.latest()
 
     def next_run_id(self) -> int:
@@ -65,7 +72,7 @@ class CatalogHistory:
     ) -> None:
         run_id = self.next_run_id() if run_id is None else run_id
         row = history.failed_run(self.spark, run_id, utc(at), message, http_status)
-        tables.append_runs(row, self.runs_path)
+        tables.replace_run(row, schemas.RUN, self.runs_path, run_id)
 
     def runs(self) -> DataFrame:
         return tables.read_or_empty(self.spark, self.runs_path, schemas.RUN)
@@ -74,10 +81,26 @@ class CatalogHistory:
         return tables.read_or_empty(self.spark, self.snapshots_path, schemas.SNAPSHOT)
 
     def snapshots(self) -> DataFrame:
-        return history.restored_row(self._stored())
+        """Snapshots of all successful runs; those of a run that was cut off don't show."""
+        logged = history.successful(self.runs()).select("run_id")
+        return history.restored_row(self._stored().join(logged, "run_id", "left_semi"))
 
     def latest(self) -> DataFrame:
-        return history.latest_catalog(self.snapshots(), self.runs()).orderBy("object_name", "norad_cat_id")
+        found = history.latest_catalog(history.restored_row(self._stored()), self.runs())
+        return found.orderBy("object_name", "norad_cat_id", payloads.POSITION)
+
+    def lookup(self, norad_cat_id: int, include_raw: bool = False) -> DataFrame:
+        """The latest catalog's record of one id; of several, the last in the payload."""
+        order = [payloads.POSITION, "object_name", "raw_record_json"]
+        return cat.bounded(cat.lookup(self.latest(), norad_cat_id, order), include_raw)
+
+    def search(self, text: str, limit: int | None = fixed.SEARCH_LIMIT, include_raw: bool = False) -> DataFrame:
+        """Records of the latest catalog that contain the text, by name and id."""
+        order = ["object_name", "norad_cat_id", payloads.POSITION]
+        return cat.bounded(cat.search(self.latest(), text, order, limit), include_raw)
+
+    def totals(self) -> DataFrame:
+        return cat.totals(self.latest())
 
     def recent_runs(self, limit: int = fixed.RUN_LIST_DEFAULT) -> DataFrame:
         return history.recent_runs(self.runs(), limit)
@@ -87,4 +110,4 @@ class CatalogHistory:
 
     def satellites(self) -> DataFrame:
         seen = self.snapshots().withColumn("source_name", F.col("source.name"))
-        return history.satellites_seen(seen, [F.col("run_id"), F.col("ingested_at"), F.col("raw_record_json")])
+        return history.satellites_seen(seen, [F.col(c) for c in ("ingested_at", "run_id", payloads.POSITION, "raw_record_json")])

@@ -24,7 +24,8 @@ def run_medallion(
     """Write bronze, silver and gold and return their paths.
 
     Each layer is read back before the next is built, so nothing is computed twice
-    and a lost executor repeats one layer's tasks only.
+    and a lost executor repeats one layer's tasks only. ``strict`` fails on the first
+    misshaped record; otherwise these go to a table of rejects with their reasons.
     """
     configure(spark)
     if lines:
@@ -33,6 +34,8 @@ def run_medallion(
         records = payloads.explode_payloads(payloads.read_payload_files(spark, input_path))
     bronze = layers.build_bronze(records, F.lit(utc(ingested_at)), strict=strict)
     paths = {"bronze": tables.write_layer(bronze, "bronze", output_root, mode)}
+    if not strict:
+        paths["rejects"] = tables.write_layer(layers.build_rejects(records), "rejects", output_root, mode)
     silver = layers.build_silver(tables.read_layer(spark, "bronze", output_root))
     paths["silver"] = tables.write_layer(silver, "silver", output_root, mode)
     gold = layers.build_gold(tables.read_layer(spark, "silver", output_root))

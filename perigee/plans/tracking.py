@@ -12,11 +12,12 @@ from perigee.operators.params import require_between
 
 
 def prepared(catalog: DataFrame) -> DataFrame:
-    """One propagation-ready row per satellite; of several copies the last counts.
+    """One propagation-ready row per satellite; of several copies the last counts:
+    the newest, then the later one in the payload where positions were kept.
 
     Every later stage generates rows per satellite, so copies must not multiply them.
     """
-    order = ["ingested_at", "object_name", "raw_record_json"]
+    order = ["ingested_at", *[c for c in ("record_position",) if c in catalog.columns], "object_name", "raw_record_json"]
     return ephemeris.prepare(cat.last_per_id(catalog, order))
 
 
@@ -33,16 +34,20 @@ def requested_positions(catalog: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def orbit_tracks(
-    catalog: DataFrame, start: datetime, end: datetime, step_seconds: int = 120
+    catalog: DataFrame,
+    start: datetime,
+    end: datetime,
+    step_seconds: int = 120,
+    max_points: int = fixed.MAX_TRACK_POINTS,
 ) -> DataFrame:
     """Track points of every satellite, the end instant always included."""
     require_between("step_seconds", step_seconds, *fixed.TRACK_STEP_SECONDS)
-    grid = timegrid.with_track_grid(prepared(catalog), start, end, step_seconds)
+    grid = timegrid.with_track_grid(prepared(catalog), start, end, step_seconds, max_points)
     return ephemeris.with_states(grid).withColumn("visualization_mode", F.lit(fixed.TRACK_MODE))
 
 
 def nest_tracks(points: DataFrame) -> DataFrame:
-    """One row per satellite with its ordered points; a track has at most 360."""
+    """One row per satellite with its ordered points, as many as ``orbit_tracks`` was allowed."""
     item = F.struct("sequence", "requested_at", "position_km", "velocity_km_s", "approximate_geodetic")
     return (
         ephemeris.nested(points)

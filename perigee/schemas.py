@@ -102,5 +102,6 @@ SNAPSHOT = _schema(
     ("epoch_age_hours", _d),
     ("freshness_status", _s),
     ("source_json", _s),
+    ("record_position", _l),
     ("run_id", _l),
 )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perigee.operators.joins import computed_once
 
+POSITION = "record_position"
 NOT_A_LIST = "payload_not_a_list"
 NOT_AN_OBJECT = "item_not_an_object"
 
@@ -21,22 +22,26 @@ def read_payload_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_record_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row ``record_text`` per line of JSON-lines files (splittable)."""
+    """One row ``record_text`` per line of JSON-lines files (splittable).
+
+    ``record_position`` grows along the lines of a file; it has gaps.
+    """
     lines = spark.read.text(path).withColumnRenamed("value", "record_text")
-    return lines.where(F.trim("record_text") != "")
+    return lines.withColumn(POSITION, F.monotonically_increasing_id()).where(F.trim("record_text") != "")
 
 
 def explode_payloads(payloads: DataFrame) -> DataFrame:
     """One row per array item with ``record_text``; a payload that is no array stays
-    one row with a reason, so nothing is lost. An empty array is a valid download."""
+    one row with a reason, so nothing is lost. An empty array is a valid download.
+    ``record_position`` is the item's place in its payload."""
     others = [c for c in payloads.columns if c != "payload"]
     parsed = computed_once(payloads, _items=F.from_json("payload", "array<string>"))
     is_list = F.coalesce(F.ltrim("payload").startswith("[") & F.col("_items").isNotNull(), F.lit(False))
     return parsed.select(
         *others,
-        F.explode(F.when(is_list, F.col("_items")).otherwise(F.array("payload"))).alias("record_text"),
+        F.posexplode(F.when(is_list, F.col("_items")).otherwise(F.array("payload"))).alias("_place", "record_text"),
         F.when(~is_list, F.lit(NOT_A_LIST)).alias("reject_reason"),
-    )
+    ).select(*others, "record_text", "reject_reason", F.col("_place").cast("bigint").alias(POSITION))
 
 
 def check_shape(records: DataFrame) -> DataFrame:

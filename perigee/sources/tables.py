@@ -11,7 +11,11 @@ LAYER_DIRECTORIES = {
     "bronze": "bronze_orbit_records",
     "silver": "silver_orbit_snapshots",
     "gold": "gold_orbit_freshness_metrics",
+    "rejects": "rejected_orbit_records",
 }
+# stored by date, so that reads of some dates leave the others alone
+PARTITIONED = {"bronze": "ingestion_date", "silver": "ingestion_date", "gold": "metric_date"}
+SCHEMAS = {"bronze": schemas.BRONZE, "silver": schemas.SILVER, "gold": schemas.GOLD}
 
 
 def layer_paths(root: str) -> dict[str, str]:
@@ -25,21 +29,18 @@ def write_layer(df: DataFrame, layer: str, root: str, mode: str = "overwrite") -
     distribution the last shuffle produced, and readers order what they show.
     """
     path = layer_paths(root)[layer]
-    df.write.mode(mode).parquet(path)
+    writer = df.write.mode(mode)
+    if layer in PARTITIONED:
+        writer = writer.partitionBy(PARTITIONED[layer])
+    writer.parquet(path)
     return path
 
 
 def read_layer(spark: SparkSession, layer: str, root: str) -> DataFrame:
-    return spark.read.parquet(layer_paths(root)[layer])
-
-
-def write_layers(
-    bronze: DataFrame, silver: DataFrame, gold: DataFrame, root: str, mode: str = "overwrite"
-) -> dict[str, str]:
-    return {
-        layer: write_layer(df, layer, root, mode)
-        for layer, df in (("bronze", bronze), ("silver", silver), ("gold", gold))
-    }
+    path = layer_paths(root)[layer]
+    if layer not in SCHEMAS:
+        return spark.read.parquet(path)
+    return spark.read.schema(SCHEMAS[layer]).parquet(path).select(*SCHEMAS[layer].fieldNames())
 
 
 def save_managed(df: DataFrame, table: str, mode: str = "overwrite") -> DataFrame:
@@ -51,29 +52,24 @@ def save_managed(df: DataFrame, table: str, mode: str = "overwrite") -> DataFram
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table with a known schema; no rows while nothing was written yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Add a run's records, one directory per run so that reads of a run prune.
+def replace_run(rows: DataFrame, schema: T.StructType, path: str, run_id: int) -> None:
+    """Store a run's rows, one directory per run so that reads of a run prune.
 
-    Only the run's own directory is replaced, so repeating a failed run is safe.
+    Only the run's own directory is replaced, so repeating a run is safe. A write by
+    partition touches no directory when there are no rows: then it is emptied by name.
     """
-    (
-        conform(snapshots, schemas.SNAPSHOT)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
-
-
-def append_runs(runs: DataFrame, path: str) -> None:
-    conform(runs, schemas.RUN).write.mode("append").parquet(path)
+    rows = conform(rows, schema)
+    if rows.isEmpty():
+        rows.drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+        return
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

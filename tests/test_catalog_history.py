@@ -6,9 +6,12 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from perigee import schemas
 from perigee.operators import catalog, history
+from perigee.plans import tracking
 from perigee.plans.history import CatalogHistory
-from tests.samples import INGESTED, ISS, NO_EPOCH, NOAA, record_rows
+from perigee.sources import tables
+from tests.samples import INGESTED, ISS, ISS_ELEMENTS, NO_EPOCH, OLD, record_rows
 
 ORDER = ["position"]
 
@@ -39,7 +42,7 @@ def test_ids_follow_integer_parsing(spark):
 
 
 def test_lookup_takes_the_last_copy_and_hides_raw(spark):
-    rows = catalog.good(normalized(spark, ISS, {**ISS, "OBJECT_NAME": "second"}, NOAA))
+    rows = catalog.good(normalized(spark, ISS, {**ISS, "OBJECT_NAME": "second"}, OLD))
     found = catalog.bounded(catalog.lookup(rows, 25544, ORDER)).collect()
     assert [r["object_name"] for r in found] == ["second"]
     assert found[0]["raw_record_available"] and "raw_record_json" not in found[0].asDict()
@@ -49,9 +52,9 @@ def test_lookup_takes_the_last_copy_and_hides_raw(spark):
 
 
 def test_search_and_totals(spark):
-    rows = catalog.good(normalized(spark, ISS, NOAA, NO_EPOCH))
+    rows = catalog.good(normalized(spark, ISS, OLD, NO_EPOCH))
     assert {r["norad_cat_id"] for r in catalog.search(rows, " zarya ", ORDER).collect()} == {25544}
-    assert {r["norad_cat_id"] for r in catalog.search(rows, "2009-005", ORDER).collect()} == {33591}
+    assert {r["norad_cat_id"] for r in catalog.search(rows, "2016-019", ORDER).collect()} == {40417}
     assert catalog.search(rows, "  ", ORDER).count() == 3
     assert catalog.search(rows, "", ORDER, limit=2).count() == 2
     assert catalog.totals(rows).collect()[0]["total_records"] == 3
@@ -60,7 +63,7 @@ def test_search_and_totals(spark):
 def test_history_round_trip(spark, tmp_path):
     store = CatalogHistory(spark, str(tmp_path))
     assert store.latest().count() == 0 and store.recent_runs().count() == 0
-    store.ingest(record_rows(spark, ISS, NOAA), INGESTED)
+    store.ingest(record_rows(spark, ISS, OLD), INGESTED)
     later = INGESTED + timedelta(hours=3)
     latest = store.ingest(record_rows(spark, {**ISS, "OBJECT_NAME": "ISS renamed"}), later)
     assert [r["object_name"] for r in latest.collect()] == ["ISS renamed"]
@@ -76,12 +79,52 @@ def test_history_round_trip(spark, tmp_path):
     # repeating a run replaces its own snapshots only
     store.ingest(record_rows(spark, ISS), later, run_id=2)
     assert store.snapshots().count() == 3
+    assert [r["run_id"] for r in store.recent_runs().collect()] == [3, 2, 1]
+    # also when there is nothing left of it
+    assert store.ingest(record_rows(spark, ISS).where("false"), later, run_id=2).count() == 0
+    assert [(r["run_id"], r["record_count"]) for r in store.recent_runs().collect()] == [(3, 0), (2, 0), (1, 2)]
+    assert store.snapshots().count() == 2
+
+
+def test_snapshots_of_a_run_that_was_cut_off_do_not_show(spark, tmp_path):
+    store = CatalogHistory(spark, str(tmp_path))
+    store.ingest(record_rows(spark, ISS), INGESTED)
+    rows = history.stored_row(catalog.good(normalized(spark, OLD))).withColumn("run_id", F.lit(2).cast("bigint"))
+    rows = rows.withColumn("record_position", F.lit(0).cast("bigint"))
+    tables.replace_run(rows, schemas.SNAPSHOT, store.snapshots_path, 2)
+    assert [r["norad_cat_id"] for r in store.satellites().collect()] == [25544]
+    assert store.snapshots().count() == 1
+
+
+def test_the_later_record_of_a_payload_wins(spark, tmp_path):
+    store = CatalogHistory(spark, str(tmp_path / "store"))
+    landed = tmp_path / "landed.json"
+    landed.write_text(json.dumps([{**ISS_ELEMENTS, "OBJECT_NAME": "zeta"}, OLD, {**ISS_ELEMENTS, "OBJECT_NAME": "alpha"}]))
+    found = store.refresh(str(landed), INGESTED)
+    assert [r["object_name"] for r in store.lookup(25544).collect()] == ["alpha"]
+    assert "raw_record_json" not in store.lookup(25544).columns
+    assert {r["norad_cat_id"]: r["object_name"] for r in store.satellites().collect()} == {25544: "alpha", 40417: "KESTREL 4"}
+    assert [r["object_name"] for r in tracking.prepared(found).collect()] == ["alpha"]
+    assert [r["object_name"] for r in store.search("ze").collect()] == ["zeta"]
+    assert store.totals().first()["total_records"] == 3
+
+
+def test_a_failed_refresh_is_logged(spark, tmp_path):
+    store = CatalogHistory(spark, str(tmp_path / "store"))
+    landed = tmp_path / "landed.json"
+    landed.write_text(json.dumps([ISS]))
+    store.refresh(str(landed), INGESTED)
+    landed.write_text(json.dumps([ISS, {**OLD, "NORAD_CAT_ID": None}]))
+    with pytest.raises(Exception, match="not_an_integer"):
+        store.refresh(str(landed), INGESTED + timedelta(hours=3))
+    assert [(r["run_id"], r["status"]) for r in store.recent_runs().collect()] == [(2, "error"), (1, "success")]
+    assert [r["norad_cat_id"] for r in store.latest().collect()] == [25544]
 
 
 def test_refresh_reuses_a_recent_catalog(spark, tmp_path):
     store = CatalogHistory(spark, str(tmp_path / "store"))
     landed = tmp_path / "landed.json"
-    landed.write_text(json.dumps([ISS, NOAA]))
+    landed.write_text(json.dumps([ISS, OLD]))
     after = lambda hours: INGESTED + timedelta(hours=hours)
     assert store.refresh(str(landed), INGESTED).count() == 2
     landed.write_text(json.dumps([ISS]))
@@ -96,7 +139,7 @@ def test_bad_record_fails_the_run_and_leaves_the_log_alone(spark, tmp_path):
     store = CatalogHistory(spark, str(tmp_path))
     store.ingest(record_rows(spark, ISS), INGESTED)
     with pytest.raises(Exception, match="not_an_integer"):
-        store.ingest(record_rows(spark, ISS, {**NOAA, "NORAD_CAT_ID": None}), INGESTED)
+        store.ingest(record_rows(spark, ISS, {**OLD, "NORAD_CAT_ID": None}), INGESTED)
     assert [r["run_id"] for r in store.runs().collect()] == [1]
 
 

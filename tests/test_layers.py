@@ -9,7 +9,7 @@ from perigee import schemas
 from perigee.operators import layers, metrics
 from perigee.plans import medallion
 from perigee.sources import payloads, tables
-from tests.samples import INGESTED, ISS, NO_EPOCH, NOAA, record_rows
+from tests.samples import INGESTED, ISS, NO_EPOCH, OLD, record_rows
 
 
 def bronze_of(spark, *records):
@@ -22,7 +22,7 @@ def silver_of(spark, *records):
 
 
 def test_bronze_keeps_source_shape_and_adds_lineage(spark):
-    bronze = bronze_of(spark, ISS, ISS, NOAA, NO_EPOCH)
+    bronze = bronze_of(spark, ISS, ISS, OLD, NO_EPOCH)
     assert [(f.name, f.dataType) for f in bronze.schema.fields] == [
         (f.name, f.dataType) for f in schemas.BRONZE.fields
     ]
@@ -36,21 +36,21 @@ def test_bronze_keeps_source_shape_and_adds_lineage(spark):
     assert list(json.loads(iss["raw_record_json"])) == sorted(ISS)
     assert iss["source_name"] == "CelesTrak GP active"
     assert str(iss["ingestion_date"]) == "2026-05-28"
-    missing = next(r for r in rows if r["norad_cat_id"] == "99901")
+    missing = next(r for r in rows if r["norad_cat_id"] == "81234")
     assert missing["epoch_raw"] is None and missing["mean_motion_raw"] is None
 
 
 def test_silver_types_labels_and_deduplicates(spark):
-    rows = silver_of(spark, ISS, ISS, NOAA, NO_EPOCH)
+    rows = silver_of(spark, ISS, ISS, OLD, NO_EPOCH)
     assert len(rows) == 3
     assert rows[25544]["epoch_text"].startswith("2026-05-28 02:50:05")
     assert rows[25544]["epoch_age_hours"] == pytest.approx(1.998611, abs=1e-6)
-    assert rows[33591]["epoch_age_hours"] == pytest.approx(100.833333, abs=1e-6)
+    assert rows[40417]["epoch_age_hours"] == pytest.approx(97.5, abs=1e-6)
     labels = {k: (r["freshness_status"], r["quality_status"]) for k, r in rows.items()}
     assert labels == {
         25544: ("fresh", "valid"),
-        33591: ("stale", "valid"),
-        99901: ("unknown", "invalid_missing_epoch"),
+        40417: ("stale", "valid"),
+        81234: ("unknown", "invalid_missing_epoch"),
     }
 
 
@@ -82,13 +82,13 @@ def test_raw_epoch_text_is_the_duplicate_key_and_the_newest_ingest_survives(spar
 
 def test_silver_ranks_before_the_shuffle(spark):
     """A group of copies reaches the shuffle as one row per map task."""
-    plan = layers.build_silver(bronze_of(spark, ISS, NOAA))._jdf.queryExecution().executedPlan().toString()
+    plan = layers.build_silver(bronze_of(spark, ISS, OLD))._jdf.queryExecution().executedPlan().toString()
     partial = plan.index("WindowGroupLimit", plan.index("Exchange"))
     assert partial > 0 and plan.count("Exchange") == 1
 
 
 def test_gold_counts(spark):
-    gold = layers.build_gold(layers.build_silver(bronze_of(spark, ISS, ISS, NOAA, NO_EPOCH)))
+    gold = layers.build_gold(layers.build_silver(bronze_of(spark, ISS, ISS, OLD, NO_EPOCH)))
     counts = {r["freshness_status"]: r["satellite_count"] for r in gold.collect()}
     assert counts == {"fresh": 1, "stale": 1, "unknown": 1}
     kpis = medallion.gold_kpis(gold)
@@ -130,18 +130,24 @@ def test_shape_check_splits_records(spark):
 
 def test_medallion_job_writes_three_layers(spark, tmp_path):
     landed = tmp_path / "landed.json"
-    landed.write_text(json.dumps([ISS, ISS, NOAA, NO_EPOCH], indent=2))
+    landed.write_text(json.dumps([ISS, ISS, OLD, NO_EPOCH], indent=2))
     paths = medallion.run_medallion(spark, str(landed), str(tmp_path / "out"), INGESTED)
     assert [spark.read.parquet(paths[k]).count() for k in ("bronze", "silver", "gold")] == [4, 3, 3]
     assert set(paths) == {"bronze", "silver", "gold"}
+    landed.write_text(json.dumps([ISS, 5, OLD]))
+    paths = medallion.run_medallion(spark, str(landed), str(tmp_path / "loose"), INGESTED, strict=False)
+    assert [spark.read.parquet(paths[k]).count() for k in ("bronze", "rejects")] == [2, 1]
+    assert spark.read.parquet(paths["rejects"]).first()["reject_reason"] == "item_not_an_object"
+    day = tables.read_layer(spark, "silver", str(tmp_path / "loose")).where("ingestion_date = date'2026-05-28'")
+    assert day.count() == 2 and "PartitionFilters: [isnotnull(ingestion_date" in day._jdf.queryExecution().executedPlan().toString()
     lines = tmp_path / "landed.jsonl"
-    lines.write_text("\n".join(json.dumps(r) for r in (ISS, NOAA)) + "\n")
+    lines.write_text("\n".join(json.dumps(r) for r in (ISS, OLD)) + "\n")
     paths = medallion.run_medallion(spark, str(lines), str(tmp_path / "out2"), INGESTED, lines=True)
     assert spark.read.parquet(paths["bronze"]).count() == 2
     loaded = metrics.load_gold(spark.read.parquet(paths["gold"]), str(tmp_path / "olap"))
+    assert loaded.count() == 2 and loaded.schema["loaded_at"].dataType.simpleString() == "timestamp_ntz"
     again = metrics.load_gold(spark.read.parquet(paths["gold"]), str(tmp_path / "olap"))
     assert again.count() == 2
-    assert loaded.count() == 2 and loaded.schema["loaded_at"].dataType.simpleString() == "timestamp_ntz"
 
 
 def test_managed_table(spark):
