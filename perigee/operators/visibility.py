@@ -20,9 +20,7 @@ CELL_DEG = 10
 BAND_TOPS_KM = [450.0, 700.0, 1000.0, 1500.0, 2500.0, 6000.0, 14000.0, 26000.0]
 # geodetic against geocentric verticals at both ends and at the horizon
 VERTICAL_SLACK_DEG = 0.7
-# one station covers at most cells x bands = 5,832 rows, in practice about a quarter
 SEGMENT_STEPS = 4096
-MAX_NESTED_SAMPLES = 100_000
 
 STATION_COLUMNS = ["station", "latitude_deg", "longitude_deg", "altitude_m"]
 
@@ -206,13 +204,12 @@ def contact_summary(satellites: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def nest_windows(windows: DataFrame, samples_per_pair: int) -> DataFrame:
+def nest_windows(windows: DataFrame) -> DataFrame:
     """Ordered window list per satellite and station, for the response edge.
 
-    The list cannot exceed the grid length, which is bounded here; longer ranges
-    stay flat rows.
+    A pair has at most one window for every two instants of the job's grid, whatever
+    the number of satellites and stations.
     """
-    require_between("samples_per_pair", samples_per_pair, 1, MAX_NESTED_SAMPLES)
     item = F.struct("start", "end", "peak_at", "duration_seconds", "max_elevation_deg")
     return windows.groupBy("norad_cat_id", "station").agg(
         F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(item)).alias("windows")
