@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ CHUNK = 1 << 14
 # wide similarity: minima a band, bands, and bits that filter before the exact check
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS, WIDE_BITS = 4, 16, 24
+# places of 64 in which signatures of alike texts agree (51 expected), and rows compared at once
+AGREE, BLOCK = 36, 2048
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -144,16 +147,26 @@ def near_duplicates(
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def band_values(hashes: np.ndarray) -> list[int]:
-    """A signed value for each band of minima over a set of shingles."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a set of shingles under each permutation, band by band."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     if len(hashes):
         for k in range(BANDS * ROWS):
             low[k] = ((hashes ^ _MIX[0, k]) * _MIX[1, k]).min()
+    return low
+
+
+def band_values(low: np.ndarray) -> list[int]:
+    """A signed value for each band of minima."""
     parts = low.reshape(BANDS, ROWS)
     return [np.uint64(xxhash.xxh64_intdigest(part.tobytes(), band)).astype(np.int64).item() for band, part in enumerate(parts)]
 
 
+def signature(low: np.ndarray) -> bytes:
+    """The last byte of each minimum: what two texts share of it estimates their similarity."""
+    return low.astype(np.uint8).tobytes()
+
+
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, words)]))
 
@@ -166,37 +179,82 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(node, id, fp, bands) of rows (node, id, text)."""
+    """(node, id, fp, bands, signature) of rows (node, id, text)."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
-        prints, bands = [], []
+        prints, bands, signatures = [], [], []
         for text in texts(batch):
             chunks = list(shingles(text, words))
+            low = minima(np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks])))
             prints.append(majority(chunks))
-            bands.append(band_values(np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks]))))
+            bands.append(band_values(low))
+            signatures.append(signature(low))
         fp = np.array(prints, np.uint64).view(np.int64)
-        return {"node": column(batch, "node"), "id": column(batch, "id"), "fp": pa.array(fp), "bands": bands}
-
-    return map_batches(rows, f"node bigint, id {id_type}, fp bigint, bands array<bigint>", work)
+        return {"node": column(batch, "node"), "id": column(batch, "id"), "fp": pa.array(fp), "bands": bands, "signature": signatures}
 
+    return map_batches(rows, f"node bigint, id {id_type}, fp bigint, bands array<bigint>, signature binary", work)
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(member, other): texts that share a band with its group's first or last text.
 
-    A group of n gives 2 n pairs at most; its first and last text are aggregated before
-    the join. Two texts that are alike and both unlike these meet in another band, whose
-    first and last text are others.
-    """
+def memberships(distinct: DataFrame) -> DataFrame:
+    """(band, value, node, fp, low, high, n): the texts of every group of a band with
+    its first and last text and its size. Texts alone in a group are left out."""
     banded = distinct.select("node", "fp", F.posexplode("bands").alias("band", "value"))
     text = F.struct("node", "fp")
-    groups = banded.groupBy("band", "value").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low.node <> high.node")
-    tips = groups.select("band", "value", F.explode(F.array("low", "high")).alias("tip"))
-    pairs = banded.join(tips, ["band", "value"]).where("node <> tip.node")
+    groups = banded.groupBy("band", "value").agg(F.min(text).alias("low"), F.max(text).alias("high"), F.count("*").alias("n"))
+    return banded.join(groups.where("low.node <> high.node"), ["band", "value"])
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(member, other): texts with the first and last text of their groups, 2 n pairs a group."""
+    pairs = members.withColumn("tip", F.explode(F.array("low", "high"))).where("node <> tip.node")
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("tip.fp"))) <= WIDE_BITS)
     return pairs.select(F.col("node").alias("member"), F.col("tip.node").alias("other")).distinct()
 
 
+def crossing(members: DataFrame, distinct: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(member, other): pairs of a group whose texts are not connected yet, and whose
+    signatures agree in `AGREE` places or more.
+
+    Texts that belong to the group's largest component are not compared with one
+    another. The rest meets the whole group in blocks of about `block` rows either way,
+    so a task holds two blocks, however large the group is.
+    """
+    known = members.where("n > 2").select("band", "value", "node").join(roots, "node", "left")
+    known = known.select("band", "value", "node", F.coalesce("root", "node").alias("root"))
+    sizes = known.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    groups = groups.where("n > most").select(
+        "band", "value", "main", F.ceil(F.col("n") / block).alias("whole"), F.ceil((F.col("n") - F.col("most")) / block).alias("rest")
+    )
+    rows = known.join(groups, ["band", "value"]).join(distinct.select("node", "signature"), "node")
+    own = F.xxhash64("node", F.lit(BANDS))
+
+    def places(mine: str, others: str) -> list[Column]:
+        """A row's own block, and all blocks of the other side."""
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias(f"{others}_block")
+        return [F.pmod(own, F.col(mine)).alias(f"{mine}_block"), every]
+
+    held = ["band", "value", "node", "root", "signature"]
+    asked = rows.where("root <> main").select(*held, *places("rest", "whole"), F.lit(True).alias("asked"))
+    asked = asked.unionByName(rows.select(*held, *places("whole", "rest"), F.lit(False).alias("asked")))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        marks = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
+        nodes, tops, asks = (frame[c].to_numpy() for c in ("node", "root", "asked"))
+        whole = np.flatnonzero(~asks)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(nodes[:0], nodes[:0])]
+        for k in np.flatnonzero(asks):
+            alike = (marks[whole] == marks[k]).sum(1) >= AGREE
+            found = nodes[whole[alike & (tops[whole] != tops[k])]]
+            out.append((found, np.full(len(found), nodes[k])))
+        member, other = (np.concatenate(side) for side in zip(*out, strict=True))
+        return pd.DataFrame({"member": np.maximum(member, other), "other": np.minimum(member, other)})
+
+    met = asked.groupBy("band", "value", "rest_block", "whole_block").applyInPandas(compare, "member bigint, other bigint")
+    return met.distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b): the candidate pairs whose shingle sets are alike enough, exactly."""
     wanted = pairs.select(F.explode(F.array("member", "other")).alias("node")).distinct()
@@ -215,6 +273,21 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> Dat
     return map_batches(joined, "a bigint, b bigint, alike boolean", work).where("alike").select("a", "b")
 
 
+def alike(distinct: DataFrame, rows: DataFrame, words: int, least: float, folder: str) -> DataFrame:
+    """(node, root) of the groups of alike texts.
+
+    Texts are compared with the first and last text of their groups, which connects
+    large groups of near copies at a cost of 2 n; then whatever shares a group and is
+    not connected yet is compared, so that no link between components is lost.
+    """
+    members = stored(memberships(distinct), f"{folder}/members")
+    pairs = stored(candidates(members), f"{folder}/pairs")
+    roots = stored(connected(verified(pairs, rows, words, least), f"{folder}/first"), f"{folder}/roots")
+    pairs = stored(crossing(members, distinct, roots), f"{folder}/crossing")
+    more = verified(pairs, rows, words, least)
+    return connected(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), f"{folder}/second")
+
+
 def one_of_each(
     documents: DataFrame,
     words: int = WORDS,
@@ -239,10 +312,9 @@ def one_of_each(
     node = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     rows = documents.select(node.alias("node"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = stored(sketches(rows, words), f"{folder}/sketches")
-    distinct = found.groupBy("node").agg(F.min("id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
-    distinct = stored(distinct, f"{folder}/texts")
-    pairs = stored(candidates(distinct), f"{folder}/pairs")
-    roots = connected(verified(pairs, rows, words, least), folder)
+    once = [F.any_value(name).alias(name) for name in ("fp", "bands", "signature")]
+    distinct = stored(found.groupBy("node").agg(F.min("id").alias("first"), *once), f"{folder}/texts")
+    roots = alike(distinct, rows, words, least, folder)
     grouped = distinct.select("node", "first").join(roots, "node", "left")
     # only members of groups are ranked; texts of their own stay as they are
     names = grouped.where("root is not null").select("root").distinct()

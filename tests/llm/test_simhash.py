@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from perigee.llm import components, simhash
 from perigee.llm.shared import shared_folder
@@ -128,3 +129,29 @@ def test_one_of_each_awkward(spark, awkward, nothing):
     assert sorted(tuple(r) for r in simhash.one_of_each(frame).collect()) == sorted([(4, one), rows[2]])
     both = spark.createDataFrame([(None, one), (None, f"{one} or not " * 9)], "doc_id bigint, text string")
     assert simhash.one_of_each(both).count() == 2
+
+
+def test_alike_texts_are_found_whatever_else_is_in_their_groups(spark, tmp_path):
+    """Texts share half their words with all others, and some with one other nearly all."""
+    rng = np.random.default_rng(11)
+    shared = " ".join(f"common{k}" for k in range(60))
+    rows = []
+    for number in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 10_000, 55)]
+        rows.append((number, f"{shared} {' '.join(own)}"))
+        if number % 3 == 0:
+            own[50] = "changed"
+            rows.append((1000 + number, f"{shared} {' '.join(own)}"))
+    groups = plain_groups([text for _, text in rows])
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = [r["doc_id"] for r in simhash.one_of_each(frame).collect()]
+    assert sorted(kept) == sorted({rows[g][0] for g in groups}) and len(kept) == 60
+
+    nodes = frame.select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("id"), "text")
+    distinct = simhash.sketches(nodes, 5).drop("id").cache()
+    none = spark.createDataFrame([], "node bigint, root bigint")
+    members = simhash.memberships(distinct).cache()
+    found = [
+        {tuple(r) for r in simhash.crossing(members, distinct, none, block).collect()} for block in (5, simhash.BLOCK)
+    ]
+    assert found[0] == found[1] and found[0]
