@@ -1,13 +1,15 @@
-"""Substring dedup by hashed lines: the earliest of equal units stays.
+"""Substring dedup by hashed runs of lines: the earliest of equal units stays.
 
-Long enough lines are normalised and hashed; digests are grouped globally, the earliest
-ranked occurrence of each is kept, and all others are removed. Original offsets of what
-is removed are retained.
+A unit is a shortest run of lines that holds enough words: a long enough line alone, or
+short lines together. Units are normalised and hashed; digests are grouped globally, the
+earliest ranked occurrence of each is kept, and all others are removed. Original offsets
+of what is removed are retained.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,16 +21,45 @@ MIN_WORDS = 25
 REMOVED = "array<struct<line:int,start:bigint,end:bigint>>"
 
 
-def units_of(text: bytes, min_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(line, start, end, digest) of each long enough line; offsets in code points."""
-    out, at = [], 0
+def _loops(run: list[bytes]) -> bool:
+    """Whether the lines of a run repeat with a period of half the run or less."""
+    return any(run[k:] == run[:-k] for k in range(1, len(run) // 2 + 1))
+
+
+def units_of(text: bytes, min_words: int) -> list[tuple[int, int, bool, bytes]]:
+    """(first line, last line, loops, digest) of the shortest runs of `min_words` words or
+    more that begin or end at a line. Blank lines do not break a run."""
+    held = [(number, words) for number, line in enumerate(text.split(b"\n")) if (words := line.lower().split())]
+    sizes = [0, *accumulate(len(words) for _, words in held)]
+    runs, at = set(), 0
+    for end in range(1, len(held) + 1):
+        first = at
+        while sizes[end] - sizes[at] >= min_words:
+            at += 1
+        # runs from `first` to before `at` end here at the earliest; the last of them is the shortest before `end`
+        runs.update((k, end) for k in range(first, at))
+        if at:
+            runs.add((at - 1, end))
+    out = []
+    for k, end in sorted(runs):
+        lines = [b" ".join(words) for _, words in held[k:end]]
+        digest = hashlib.blake2b(b" ".join(lines), digest_size=16).digest()
+        out.append((held[k][0], held[end - 1][0], _loops(lines), digest))
+    return out
+
+
+def without(text: bytes, gone: list[dict]) -> tuple[bytes, list[dict]]:
+    """The text less the runs of lines, and each line's number, start and end in code points."""
+    numbers = {k for run in gone for k in range(run["line"], run["last"] + 1)}
+    left, removed, at = [], [], 0
     for number, line in enumerate(text.split(b"\n")):
         size = len(line) if line.isascii() else len(line.decode("utf-8", "replace"))
-        words = line.lower().split()
-        if len(words) >= min_words:
-            out.append((number, at, at + size, hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
+        if number in numbers:
+            removed.append({"line": number, "start": at, "end": at + size})
+        else:
+            left.append(line)
         at += size + 1
-    return out
+    return b"\n".join(left), removed
 
 
 def _key(id_col: str, text_col: str):
@@ -38,7 +69,7 @@ def _key(id_col: str, text_col: str):
 
 
 def units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, line, start, end, digest) of the units of (id, text) rows."""
+    """(id, key, line, last, loops, digest) of the units of (id, text) rows."""
     frame = documents.select("id", _key("id", "text").alias("key"), "text").where(F.col("text").isNotNull())
     id_type = frame.schema["id"].dataType.simpleString()
 
@@ -50,12 +81,12 @@ def units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "id": column(batch, "id").take(owner),
             "key": column(batch, "key").take(owner),
             "line": [u[0] for u in flat],
-            "start": [u[1] for u in flat],
-            "end": [u[2] for u in flat],
+            "last": [u[1] for u in flat],
+            "loops": [u[2] for u in flat],
             "digest": [u[3] for u in flat],
         }
 
-    return map_batches(frame, f"id {id_type}, key string, line int, start bigint, end bigint, digest binary", work)
+    return map_batches(frame, f"id {id_type}, key string, line int, last int, loops boolean, digest binary", work)
 
 
 def deduplicate(
@@ -63,10 +94,13 @@ def deduplicate(
 ) -> DataFrame:
     """Every row as (id, text, removed): the text left, and the lines taken out of it.
 
-    Units are lines of `min_words` words or more, compared with A-Z lower-cased and
-    blanks (20, 09-0D) collapsed; shorter lines always stay. Occurrences rank by id
-    (nulls last), then by a hash of id and text, then by line. `removed` has line
-    number, start and end in the original text in order; the line's feed goes with it.
+    Units are the shortest runs of lines with `min_words` words or more, compared with
+    A-Z lower-cased and blanks (20, 09-0D, line feeds) collapsed; a short line goes only
+    within a repeated run of that many words. Runs in which a few short lines come again
+    and again are compared with other documents alone, so that such a loop stays where
+    it first stands. Occurrences rank by id (nulls last), then by a hash of id and text,
+    then by line. `removed` has line number, start and end in the original text in
+    order; the line's feed goes with it, and so do blank lines within a removed run.
     A null text stays null; rows that repeat whole are one document and fare alike; other
     columns are ignored.
     """
@@ -74,17 +108,19 @@ def deduplicate(
     rows = rows_of(documents, id=id_col, text=text_col)
     found = stored(units(rows, min_words), f"{folder}/units")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "line")
-    grouped = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("last"))
-    kept = grouped.where("kept <> last").select("digest", F.col("kept.key").alias("kept_key"), F.col("kept.line").alias("kept_line"))
-    gone = found.join(kept, "digest").where("key <> kept_key or line <> kept_line")
-    gone = gone.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("line", "start", "end"))).alias("removed"))
+    grouped = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("latest"))
+    kept = grouped.where("kept <> latest").select("digest", F.col("kept.key").alias("kept_key"), F.col("kept.line").alias("kept_line"))
+    gone = found.join(kept, "digest").where("key <> kept_key or (line <> kept_line and not loops)")
+    gone = gone.groupBy("key").agg(F.collect_set(F.struct("line", "last")).alias("gone"))
     gone = stored(gone, f"{folder}/removed")
-    out = rows.withColumn("key", _key("id", "text")).join(gone, "key", "left")
-    lines = F.split("text", "\n", -1)
-    numbers = F.transform("removed", lambda x: x["line"])
-    left = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(numbers, k)), "\n")
-    return out.select(
-        "id",
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.coalesce("removed", F.array().cast(REMOVED)).alias("removed"),
-    )
+    out = rows.withColumn("key", _key("id", "text")).join(gone, "key", "left").select("id", "text", "gone")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        left, removed = [], []
+        for text, runs in zip(texts(batch), column(batch, "gone").to_pylist(), strict=True):
+            rest, spans = without(text, runs) if runs else (text, [])
+            left.append(rest)
+            removed.append(spans)
+        return {"id": column(batch, "id"), "text": pa.array(left, pa.binary()).view(pa.string()), "removed": removed}
+
+    return map_batches(out, f"id {rows.schema['id'].dataType.simpleString()}, text string, removed {REMOVED}", work)

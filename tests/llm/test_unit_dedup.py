@@ -53,3 +53,48 @@ def test_offsets_point_into_the_original(spark):
     row = next(r for r in unit_dedup.deduplicate(docs).collect() if r["id"] == 2)
     span = row["removed"][0]
     assert text[span["start"] : span["end"]] == LONG and row["text"] == "é\nrest"
+
+
+def test_passages_of_short_lines(spark):
+    passage = [f"line {k} of a verse that stands in both texts" for k in range(6)]  # 10 words each
+    stanzas = [*passage[:3], "", *passage[3:]]
+    rows = [
+        (1, "\n".join(["first of all", *stanzas, "own end"])),
+        (2, "\n".join(["another", "beginning of its own", *stanzas, "", "and another end"])),
+        (3, "\n".join(["a lone line", passage[0], "between others", passage[4]])),
+        (4, "\n".join([*passage[2:5], "a tail"])),
+        (5, "\n".join([f"{LONG} ends", *passage[:2]])),
+        (6, "\n".join([f"{LONG} ends", *passage[:2], "a few words more"])),
+        (7, "\n".join(["once", *[f"item {k} of the list in one text" for k in range(5)]] * 2)),
+        (8, "\n".join(["short and again"] * 30)),
+        (9, "\n".join(["short and again"] * 30)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["id"]: r for r in unit_dedup.deduplicate(docs).collect()}
+    once = "\n".join(["once", *[f"item {k} of the list in one text" for k in range(5)]])
+    want = {
+        1: rows[0][1],
+        2: "another\nbeginning of its own\n\nand another end",
+        3: rows[2][1],
+        4: "a tail",
+        5: rows[4][1],
+        6: "a few words more",
+        7: once,
+        8: rows[7][1],
+        9: "",
+    }
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert [r["line"] for r in got[2]["removed"]] == list(range(2, 9))
+    for doc_id, text in rows:
+        lines = text.split("\n")
+        assert all(text[x["start"] : x["end"]] == lines[x["line"]] for x in got[doc_id]["removed"])
+
+
+def test_units_against_all_runs():
+    texts = ["\n".join(" ".join(["w"] * (n * 7 % 13)) for n in range(k, k + 30)) for k in range(13)]
+    for text in [*texts, LONG, "", f"a\n{LONG}\nb"]:
+        counts = [len(line.split()) for line in text.split("\n")]
+        held = [k for k, n in enumerate(counts) if n]
+        enough = {(a, b) for a in held for b in held if a <= b and sum(counts[a : b + 1]) >= 25}
+        least = {(a, b) for a, b in enough if b == min(y for x, y in enough if x == a) or a == max(x for x, y in enough if y == b)}
+        assert {u[:2] for u in unit_dedup.units_of(text.encode(), 25)} == least
