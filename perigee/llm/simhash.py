@@ -33,7 +33,7 @@ MAX_BITS = 2
 SEED = 42
 CHUNK = 1 << 14
 
-# wide similarity: minima a band, bands, and bits that filter before the exact check
+# wide similarity: minima a band, bands, and bits that filter groups of over two before the exact check
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS, WIDE_BITS = 4, 16, 24
 # places of 64 in which signatures of alike texts agree (51 expected), and rows compared at once
@@ -206,9 +206,14 @@ def memberships(distinct: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """(member, other): texts with the first and last text of their groups, 2 n pairs a group."""
+    """(member, other): texts with the first and last text of their groups, 2 n pairs a group.
+
+    Fingerprints count repeated shingles and similarity does not, so they leave out pairs
+    of larger groups only, which `crossing` takes up; the pair of a group of two passes.
+    """
     pairs = members.withColumn("tip", F.explode(F.array("low", "high"))).where("node <> tip.node")
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("tip.fp"))) <= WIDE_BITS)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("tip.fp"))) <= WIDE_BITS
+    pairs = pairs.where((F.col("n") == 2) | near)
     return pairs.select(F.col("node").alias("member"), F.col("tip.node").alias("other")).distinct()
 
 
@@ -301,7 +306,7 @@ def one_of_each(
     Two texts are alike if their sets of word shingles have a Jaccard similarity of
     `least` or more. At that distance fingerprints differ in about ten bits, where a
     popcount bound no longer tells pairs apart; candidates are found by bands of minima
-    over the shingles instead, filtered by the fingerprints and verified exactly.
+    over the shingles instead and verified exactly.
 
     Groups are connected over these links, and the row with the smallest id stays (an
     id before none, then the smallest text hash). Equal texts are one text; a null text

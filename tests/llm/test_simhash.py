@@ -155,3 +155,21 @@ def test_alike_texts_are_found_whatever_else_is_in_their_groups(spark, tmp_path)
         {tuple(r) for r in simhash.crossing(members, distinct, none, block).collect()} for block in (5, simhash.BLOCK)
     ]
     assert found[0] == found[1] and found[0]
+
+
+def test_a_repeated_line_does_not_hide_a_near_copy(spark):
+    """Fingerprints count repeats, similarity does not; the two texts share groups with each other alone."""
+    rng = np.random.default_rng(3)
+    rows, apart = [], 0
+    for number in range(20):
+        common = " ".join(f"w{x}" for x in rng.integers(0, 10_000, 300))
+        line = " ".join(f"l{x}" for x in rng.integers(0, 10_000, 12))
+        texts = [f"{common}\n{line}\n", f"{common}\n" + f"{line}\n" * 50]
+        one, two = (simhash.fingerprint(t.encode(), simhash.WORDS) for t in texts)
+        apart += (one ^ two).bit_count() > simhash.WIDE_BITS
+        rows += [(2 * number, texts[0]), (2 * number + 1, texts[1])]
+    assert apart
+    groups = plain_groups([text for _, text in rows])
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = [r["doc_id"] for r in simhash.one_of_each(frame).collect()]
+    assert sorted(kept) == sorted({rows[g][0] for g in groups}) and len(kept) == 20
