@@ -3,7 +3,8 @@
 A notice of n characters that stands in a text with at most k edits holds one of its
 k + 1 parts unchanged (pigeonhole). All parts of all notices are found at once by an
 Aho-Corasick automaton; around each find the regex library's bounded-error matching
-verifies the notice, counts the edits and gives the span.
+verifies the notice, counts the edits and gives the span; the best match of a stretch
+first, then those on either side of it.
 """
 
 from __future__ import annotations
@@ -87,9 +88,12 @@ class Searcher:
                     joined[-1][1] = max(joined[-1][1], high)
                 else:
                     joined.append([low, high])
-            for low, high in joined:
-                for match in self.patterns[k].finditer(text, low, high):
+            while joined:
+                low, high = joined.pop()
+                # the best match of a range may stand behind others: search on both sides of it
+                if match := self.patterns[k].search(text, low, high):
                     found.add((match.start(), k, match.end(), sum(match.fuzzy_counts)))
+                    joined += [[low, match.start()], [match.end(), high]]
         return [(k, start, end, edits) for start, k, end, edits in sorted(found)]
 
     def scan(self, text: bytes | None) -> tuple:
@@ -125,7 +129,8 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Words are counted from 0; `notices` has label, start and end word and edits of each
     fuzzy match, in order. `labels` joins the exact phrases' labels and the fuzzy ones;
     `score` is 1 for an exact phrase, else the best share of unedited characters, else
-    0. A null text counts as empty. Matches of one notice do not overlap. Rows may
+    0. A null text counts as empty. Matches of one notice do not overlap; of
+    overlapping ones that with the fewest edits counts. Rows may
     repeat; columns other than id and text are ignored.
     """
     searcher = searcher or Searcher()

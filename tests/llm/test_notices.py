@@ -71,3 +71,32 @@ def test_labels(spark):
 
 def test_empty(nothing):
     assert notices.scan(nothing).count() == 0
+
+
+def plain_best_first(text, notice, allowed):
+    """Edits of the notice's matches that do not overlap, the best first, in order of their place."""
+    spans = [
+        (n, start, end)
+        for start in range(len(text))
+        for end in range(start + len(notice) - allowed, min(len(text), start + len(notice) + allowed) + 1)
+        if (n := edits(notice, text[start:end])) <= allowed
+    ]
+    taken = []
+    for n, start, end in sorted(spans):
+        if all(end <= a or start >= b for _, a, b in taken):
+            taken.append((n, start, end))
+    return [n for n, start, _ in sorted(taken, key=lambda x: x[1])]
+
+
+def test_an_edited_notice_before_a_better_one():
+    searcher = notices.Searcher()
+    mit = next(k for k, (text, _) in enumerate(notices.NOTICES) if text == "licensed under the mit license")
+    good, bent, worse = "licensed under the mit license", "licensed under the mit licens", "lisensed under the mit licence"
+    for texts in ([bent, good], [bent, good, good, good], [good, bent], [worse, bent, good, worse, bent, good], [worse, good, bent]):
+        text = " ".join(texts)
+        found = [f for f in searcher.fuzzy(text) if f[0] == mit]
+        assert [f[3] for f in found] == plain_best_first(text, good, searcher.errors[mit]), texts
+        assert len(found) == len(texts)
+        assert all(edits(good, text[start:end]) == n for _, start, end, n in found)
+    spans = searcher.scan(f"{bent}\n{good}".encode())[7]
+    assert [(s["start"], s["end"], s["edits"]) for s in spans] == [(0, 5, 1), (5, 10, 0)]
