@@ -650,6 +650,20 @@ _oracle(
          round(altitude_km, 4) AS altitude_km
   FROM asked_geo""",
 )
+_oracle(
+    "answered_requests",
+    """
+  SELECT e.user_id AS norad_cat_id, e.event_id AS request_id, e.ts AS requested_at,
+         CASE WHEN r.norad_cat_id IS NULL THEN 'unknown_id'
+              WHEN r.node_deg IS NULL OR r.argp_deg IS NULL OR r.mean_deg IS NULL THEN 'missing_elements'
+              ELSE a.status END AS status,
+         (epoch_us(a.requested_at) - epoch_us(a.epoch)) / 6e7 AS time_delta_minutes_from_epoch,
+         round(x, 4) AS x_km, round(y, 4) AS y_km, round(z, 4) AS z_km,
+         round(wx, 4) AS vx_km_s, round(wy, 4) AS vy_km_s, round(wz, 4) AS vz_km_s,
+         round(latitude_deg, 4) AS latitude_deg, round(longitude_deg, 4) AS longitude_deg,
+         round(altitude_km, 4) AS altitude_km
+  FROM events e LEFT JOIN element_rows r ON r.norad_cat_id = e.user_id LEFT JOIN asked_geo a ON a.sequence = e.event_id""",
+)
 _oracle(
     "sgp4_ephemeris",
     """

@@ -17,22 +17,44 @@ def prepared(catalog: DataFrame) -> DataFrame:
 
     Every later stage generates rows per satellite, so copies must not multiply them.
     """
+    return ephemeris.prepare(_last_copies(catalog))
+
+
+def _last_copies(catalog: DataFrame) -> DataFrame:
     order = ["ingested_at", *[c for c in ("record_position",) if c in catalog.columns], "object_name", "raw_record_json"]
-    return ephemeris.prepare(cat.last_per_id(catalog, order))
+    return cat.last_per_id(catalog, order)
+
+
+def unprepared(catalog: DataFrame) -> DataFrame:
+    """One row per satellite that ``prepared`` leaves out; ``status`` says what it lacks."""
+    rows = ephemeris.not_ready(ephemeris.with_elements(_last_copies(catalog)))
+    return rows.select(*ephemeris.LABELS, F.col("reason").alias("status")).withColumnRenamed("epoch", "source_epoch")
 
 
 def positions(catalog: DataFrame, instants: list[datetime]) -> DataFrame:
-    """States of every satellite at the given instants."""
-    return ephemeris.with_states(timegrid.with_instants(prepared(catalog), instants))
+    """States of every satellite at the given instants; those that lack an epoch or
+    elements have a status and no position."""
+    states = ephemeris.with_states(timegrid.with_instants(prepared(catalog), instants))
+    return states.unionByName(timegrid.with_instants(unprepared(catalog), instants), allowMissingColumns=True)
 
 
 def requested_positions(catalog: DataFrame, requests: DataFrame) -> DataFrame:
-    """States for rows (norad_cat_id, requested_at); requests of one satellite may
-    be any share of the table: the skew join splits them."""
+    """States for rows (norad_cat_id, requested_at) of satellites that can be propagated;
+    requests of one satellite may be any share of the table: the skew join splits them.
+    ``answered_requests`` keeps the others too."""
     asked = requests.join(prepared(catalog), ["norad_cat_id"])
     return ephemeris.with_states(asked)
 
 
+def answered_requests(catalog: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requested_positions`` with every request: without a position where ``status`` is
+    unknown_id, missing_epoch or missing_elements."""
+    rest = requests.join(prepared(catalog).select("norad_cat_id"), ["norad_cat_id"], "left_anti")
+    rest = rest.join(unprepared(catalog), ["norad_cat_id"], "left")
+    rest = rest.withColumn("status", F.coalesce("status", F.lit("unknown_id")))
+    return requested_positions(catalog, requests).unionByName(rest, allowMissingColumns=True)
+
+
 def orbit_tracks(
     catalog: DataFrame,
     start: datetime,
@@ -64,9 +86,34 @@ def catalog_contact_windows(
     step_seconds: int = 60,
     min_elevation_deg: float = fixed.DEFAULT_MIN_ELEVATION_DEG,
 ) -> DataFrame:
-    """Contact windows of every satellite over every station."""
+    """Contact windows of every satellite over every station; ``catalog_contact_summary``
+    has what gave none."""
+    states = _contact_states(catalog, start, end, step_seconds)
+    return visibility.contact_windows(states.where(F.col("status") == "ok"), stations, min_elevation_deg)
+
+
+def _contact_states(catalog: DataFrame, start: datetime, end: datetime, step_seconds: int) -> DataFrame:
     require_between("step_seconds", step_seconds, *fixed.CONTACT_STEP_SECONDS)
     narrow = prepared(catalog).drop("object_name", "freshness_status", "epoch_age_hours")
-    grid = timegrid.with_grid(narrow, start, end, step_seconds)
-    states = ephemeris.with_states(grid).where(F.col("status") == "ok")
-    return visibility.contact_windows(states, stations, min_elevation_deg)
+    return ephemeris.with_states(timegrid.with_grid(narrow, start, end, step_seconds))
+
+
+def catalog_contact_summary(
+    catalog: DataFrame,
+    stations: DataFrame,
+    start: datetime,
+    end: datetime,
+    step_seconds: int = 60,
+    min_elevation_deg: float = fixed.DEFAULT_MIN_ELEVATION_DEG,
+) -> DataFrame:
+    """One row per satellite of the catalog, with or without windows: what it lacks or ok
+    (``status``), how many instants were tried and failed, and the windows' summary."""
+    windows = catalog_contact_windows(catalog, stations, start, end, step_seconds, min_elevation_deg)
+    tried = _contact_states(catalog, start, end, step_seconds).groupBy("norad_cat_id").agg(
+        F.lit("ok").alias("status"),
+        F.count(F.lit(1)).alias("instants"),
+        F.count_if(F.col("status") != "ok").alias("failed_instants"),
+    )
+    none = F.lit(0).cast("bigint")
+    lacking = unprepared(catalog).select("norad_cat_id", "status", none.alias("instants"), none.alias("failed_instants"))
+    return visibility.contact_summary(tried.unionByName(lacking), windows)

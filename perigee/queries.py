@@ -326,7 +326,7 @@ def sgp4_ephemeris(spark, sf_dir):
 
 @query
 def requested_positions(spark, sf_dir):
-    """Positions up to thirty days from epoch; requests for unknown satellites find none."""
+    """Positions up to thirty days from epoch, for the requests that have one."""
     asked = tracking.requested_positions(
         _element_catalog(spark, sf_dir), bindings.position_requests(spark, sf_dir)
     )
@@ -336,6 +336,18 @@ def requested_positions(spark, sf_dir):
     return rounded(states, 4, *STATE_COLUMNS)
 
 
+@query
+def answered_requests(spark, sf_dir):
+    """Every request with its position, or with the reason that it has none."""
+    asked = tracking.answered_requests(
+        _element_catalog(spark, sf_dir), bindings.position_requests(spark, sf_dir)
+    )
+    states = asked.select(
+        "norad_cat_id", "request_id", "requested_at", "status", "time_delta_minutes_from_epoch", *STATE_COLUMNS
+    )
+    return rounded(states, 4, *STATE_COLUMNS)
+
+
 @query
 def sgp4_contact_windows(spark, sf_dir):
     states = _sgp4_states(spark, sf_dir).where(F.col("status") == "ok")

@@ -330,3 +330,36 @@ def test_altitude_is_exact_over_the_pole(spark):
     assert placed[0]["altitude_km"] == pytest.approx(7150.0 - polar, abs=1e-6)
     assert placed[0]["latitude_deg"] == 90.0
     assert placed[1]["altitude_km"] == pytest.approx(7000.0 - polar, abs=1e-2)
+
+
+def test_nothing_asked_is_lost_without_a_status(spark):
+    rows = record_rows(
+        spark, ISS_ELEMENTS, {**ISS_ELEMENTS, "NORAD_CAT_ID": 2, "EPOCH": None}, {**ISS_ELEMENTS, "NORAD_CAT_ID": 3, "MEAN_ANOMALY": None}
+    )
+    # a record without an epoch does not pass as good, but a catalog may hold one
+    cat = catalog.normalize(rows, F.lit(INGESTED))
+    assert cat.count() == 3
+    start = utc(2026, 5, 28, 3)
+    asked = [(25544, start), (2, start), (3, start), (3, start), (77, start), (None, start)]
+    requests = spark.createDataFrame(asked, "norad_cat_id long, requested_at timestamp")
+    out = tracking.answered_requests(cat, requests).collect()
+    assert sorted(((r["norad_cat_id"], r["status"], r["x_km"] is None) for r in out), key=str) == sorted(
+        [
+            (25544, "ok", False),
+            (2, "missing_epoch", True),
+            (3, "missing_elements", True),
+            (3, "missing_elements", True),
+            (77, "unknown_id", True),
+            (None, "unknown_id", True),
+        ],
+        key=str,
+    )
+    states = {r["norad_cat_id"]: r["status"] for r in tracking.positions(cat, [start]).collect()}
+    assert states == {25544: "ok", 2: "missing_epoch", 3: "missing_elements"}
+    north = stations(spark, [("north", 80.0, 0.0, 0.0)])
+    summary = tracking.catalog_contact_summary(cat, north, start, start + timedelta(minutes=10), 60, 80.0).collect()
+    assert {r["norad_cat_id"]: (r["status"], r["instants"], r["failed_instants"], r["window_count"]) for r in summary} == {
+        25544: ("ok", 11, 0, 0),
+        2: ("missing_epoch", 0, 0, 0),
+        3: ("missing_elements", 0, 0, 0),
+    }
