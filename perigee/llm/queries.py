@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import blob_ledger, byte_cnn, fmindex, line_crf, link_graph, notices, piece_lattice, simhash, unit_dedup, warc
+from perigee.llm import (
+    blob_ledger,
+    byte_cnn,
+    fmindex,
+    hybrid_search,
+    line_crf,
+    link_graph,
+    notices,
+    piece_lattice,
+    simhash,
+    unit_dedup,
+    vector_codes,
+    warc,
+    word_merges,
+)
 from perigee.llm.shared import shared_folder
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_MODEL = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +110,31 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hybrid_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op12_word_merges(spark: SparkSession, sf_dir: str, path: str = WORD_MODEL) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = word_merges.encode(documents, path, ids_as=word_merges.BYTES).select("doc_id", "n_tokens", "ids")
+    return word_merges.decode(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda x: F.lower(F.lpad(F.hex(x), 2, "0")))
+    return vector_codes.label_errors(coded).select(
+        F.col("id").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +154,9 @@ QUERIES = {
         op8_fm_index,
         op9_line_crf,
         op10_unit_dedup,
+        op11_hybrid_search,
+        op12_word_merges,
+        op13_vector_codes,
         pipeline,
     )
 }
