@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perigee import fixed_values as fixed, schemas
 from perigee.operators import catalog as cat, history
 from perigee.operators.params import utc
-from perigee.sources import payloads, tables
+from perigee.sources import arrays, payloads, tables
 
 
 class CatalogHistory:
@@ -42,8 +42,7 @@ class CatalogHistory:
         return self.latest()
 
     def ingest_file(self, path: str, ingested_at: datetime, run_id: int | None = None) -> DataFrame:
-        payload = payloads.read_payload_files(self.spark, path)
-        return self.ingest(payloads.explode_payloads(payload), ingested_at, run_id)
+        return self.ingest(arrays.read_record_arrays(self.spark, path), ingested_at, run_id)
 
     def refresh(
         self,

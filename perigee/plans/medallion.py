@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perigee.operators import layers, metrics
 from perigee.operators.params import utc
 from perigee.session import configure
-from perigee.sources import payloads, tables
+from perigee.sources import arrays, payloads, tables
 
 
 def run_medallion(
@@ -31,7 +31,7 @@ def run_medallion(
     if lines:
         records = payloads.read_record_lines(spark, input_path)
     else:
-        records = payloads.explode_payloads(payloads.read_payload_files(spark, input_path))
+        records = arrays.read_record_arrays(spark, input_path)
     bronze = layers.build_bronze(records, F.lit(utc(ingested_at)), strict=strict)
     paths = {"bronze": tables.write_layer(bronze, "bronze", output_root, mode)}
     if not strict:
