@@ -11,7 +11,7 @@ from perigee.llm.shared import stored
 def connected(links: DataFrame, folder: str) -> DataFrame:
     """Map every linked node to the smallest node of its component.
 
-    `links` has long columns `a`, `b`. Returns (node, root) for all nodes but the roots
+    `links` has columns `a`, `b` of one ordered type. Returns (node, root) for all nodes but the roots
     themselves. Each round first hangs the larger neighbours of a node on its smallest
     neighbour, then the smaller ones; the graph ends as one star per component. Rounds
     grow with the logarithm of the longest path. Every round is a written table.

@@ -33,11 +33,11 @@ MAX_BITS = 2
 SEED = 42
 CHUNK = 1 << 14
 
-# wide similarity: minima a band, bands, and bits that filter groups of over two before the exact check
+# similarity of texts: words of a shingle, least share of shingles, minima a band, bands
 WORDS, SIMILARITY = 5, 0.8
-ROWS, BANDS, WIDE_BITS = 4, 16, 24
-# places of 64 in which signatures of alike texts agree (51 expected), and rows compared at once
-AGREE, BLOCK = 36, 2048
+ROWS, BANDS = 4, 16
+# distinct shingles of the texts that are compared at once
+BLOCK = 1 << 20
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -162,134 +162,155 @@ def band_values(low: np.ndarray) -> list[int]:
     return [np.uint64(xxhash.xxh64_intdigest(part.tobytes(), band)).astype(np.int64).item() for band, part in enumerate(parts)]
 
 
-def signature(low: np.ndarray) -> bytes:
-    """The last byte of each minimum: what two texts share of it estimates their similarity."""
-    return low.astype(np.uint8).tobytes()
-
-
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, words)]))
 
 
-def similarity(one: np.ndarray, two: np.ndarray) -> float:
-    """Jaccard similarity of two sets; two empty ones are alike."""
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    union = len(one) + len(two) - both
-    return both / union if union else 1.0
+class Sets:
+    """Shingle sets of a block of texts, by shingle: which texts hold it."""
 
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        values = np.concatenate([np.zeros(0, np.uint64), *sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
 
-def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(node, id, fp, bands, signature) of rows (node, id, text)."""
-    id_type = rows.schema["id"].dataType.simpleString()
+    def similarity(self, one: np.ndarray) -> np.ndarray:
+        """The Jaccard similarity of a set to each of the block's; two empty ones are alike."""
+        low = np.searchsorted(self.values, one, "left")
+        counts = np.searchsorted(self.values, one, "right") - low
+        place = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        both = np.bincount(self.owner[place], minlength=len(self.sizes))
+        union = len(one) + self.sizes - both
+        return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
-    def work(batch: pa.RecordBatch) -> dict:
-        prints, bands, signatures = [], [], []
-        for text in texts(batch):
-            chunks = list(shingles(text, words))
-            low = minima(np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks])))
-            prints.append(majority(chunks))
-            bands.append(band_values(low))
-            signatures.append(signature(low))
-        fp = np.array(prints, np.uint64).view(np.int64)
-        return {"node": column(batch, "node"), "id": column(batch, "id"), "fp": pa.array(fp), "bands": bands, "signature": signatures}
 
-    return map_batches(rows, f"node bigint, id {id_type}, fp bigint, bands array<bigint>, signature binary", work)
+class Forest:
+    """Which nodes are connected so far; joining two tells whether that was new."""
 
+    def __init__(self) -> None:
+        self.up: dict = {}
 
-def memberships(distinct: DataFrame) -> DataFrame:
-    """(band, value, node, fp, low, high, n): the texts of every group of a band with
-    its first and last text and its size. Texts alone in a group are left out."""
-    banded = distinct.select("node", "fp", F.posexplode("bands").alias("band", "value"))
-    text = F.struct("node", "fp")
-    groups = banded.groupBy("band", "value").agg(F.min(text).alias("low"), F.max(text).alias("high"), F.count("*").alias("n"))
-    return banded.join(groups.where("low.node <> high.node"), ["band", "value"])
+    def top(self, node):
+        while (parent := self.up.get(node, node)) != node:
+            self.up[node] = self.up.get(parent, parent)
+            node = parent
+        return node
 
+    def join(self, a, b) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
 
-def candidates(members: DataFrame) -> DataFrame:
-    """(member, other): texts with the first and last text of their groups, 2 n pairs a group.
 
-    Fingerprints count repeated shingles and similarity does not, so they leave out pairs
-    of larger groups only, which `crossing` takes up; the pair of a group of two passes.
-    """
-    pairs = members.withColumn("tip", F.explode(F.array("low", "high"))).where("node <> tip.node")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("tip.fp"))) <= WIDE_BITS
-    pairs = pairs.where((F.col("n") == 2) | near)
-    return pairs.select(F.col("node").alias("member"), F.col("tip.node").alias("other")).distinct()
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(node, id, size, bands) of rows (node, id, text); size: distinct shingles."""
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> dict:
+        sizes, bands = [], []
+        for text in texts(batch):
+            held = shingle_set(text, words)
+            sizes.append(len(held))
+            bands.append(band_values(minima(held)))
+        return {"node": column(batch, "node"), "id": column(batch, "id"), "size": sizes, "bands": bands}
 
+    return map_batches(rows, f"node binary, id {id_type}, size bigint, bands array<bigint>", work)
 
-def crossing(members: DataFrame, distinct: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(member, other): pairs of a group whose texts are not connected yet, and whose
-    signatures agree in `AGREE` places or more.
 
-    Texts that belong to the group's largest component are not compared with one
-    another. The rest meets the whole group in blocks of about `block` rows either way,
-    so a task holds two blocks, however large the group is.
+def memberships(distinct: DataFrame) -> DataFrame:
+    """(band, value, node, size, low): the texts of every group of a band with its first
+    text. Texts alone in a group are left out."""
+    banded = distinct.select("node", "size", F.posexplode("bands").alias("band", "value"))
+    groups = banded.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    return banded.join(groups.where("low <> high").drop("high"), ["band", "value"])
+
+
+def first_texts(members: DataFrame, block: int) -> DataFrame:
+    """(part, node, root, asked): what is compared first, the texts of each group with
+    the group's first text. A part holds texts of one first text, about `block` shingles
+    of them, and the first text itself (asked); texts that meet again come once."""
+    pairs = members.where("node <> low").select("low", "node", "size").distinct()
+    parts = pairs.groupBy("low").agg(F.ceil(F.sum("size") / block).alias("parts"))
+    placed = pairs.join(parts, "low").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))))
+    placed = placed.select(F.struct("low", "part").alias("part"), "low", "node")
+    asked = placed.select("part", F.col("low").alias("node")).distinct()
+    rows = placed.select("part", "node", F.col("node").alias("root"), F.lit(False).alias("asked"))
+    return rows.unionByName(asked.select("part", "node", F.col("node").alias("root"), F.lit(True).alias("asked")))
+
+
+def open_groups(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """(part, node, root, asked): texts of groups that are not connected throughout.
+
+    Texts of the group's largest component are not asked about. The rest is compared with
+    the whole group, in blocks of about `block` shingles either way, so that a task holds
+    two blocks, however large the group is.
     """
-    known = members.where("n > 2").select("band", "value", "node").join(roots, "node", "left")
-    known = known.select("band", "value", "node", F.coalesce("root", "node").alias("root"))
-    sizes = known.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    groups = groups.where("n > most").select(
-        "band", "value", "main", F.ceil(F.col("n") / block).alias("whole"), F.ceil((F.col("n") - F.col("most")) / block).alias("rest")
+    known = members.join(roots, "node", "left").select("band", "value", "node", "size", F.coalesce("root", "node").alias("root"))
+    sizes = known.groupBy("band", "value", "root").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    groups = sizes.groupBy("band", "value").agg(
+        F.max_by("root", F.struct("size", "n", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count("*").alias("tops")
+    )
+    blocks = lambda size: F.greatest(F.ceil(size / block), F.lit(1))
+    groups = groups.where("tops > 1").select(
+        "band", "value", "main", blocks(F.col("size")).alias("whole"), blocks(F.col("size") - F.col("most")).alias("rest")
     )
-    rows = known.join(groups, ["band", "value"]).join(distinct.select("node", "signature"), "node")
+    rows = known.join(groups, ["band", "value"])
     own = F.xxhash64("node", F.lit(BANDS))
 
-    def places(mine: str, others: str) -> list[Column]:
-        """A row's own block, and all blocks of the other side."""
+    def placed(mine: str, others: str, asked: bool) -> DataFrame:
+        """A row in its own block, once for every block of the other side."""
+        side = rows.where("root <> main") if asked else rows
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias(f"{others}_block")
-        return [F.pmod(own, F.col(mine)).alias(f"{mine}_block"), every]
-
-    held = ["band", "value", "node", "root", "signature"]
-    asked = rows.where("root <> main").select(*held, *places("rest", "whole"), F.lit(True).alias("asked"))
-    asked = asked.unionByName(rows.select(*held, *places("whole", "rest"), F.lit(False).alias("asked")))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        marks = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
-        nodes, tops, asks = (frame[c].to_numpy() for c in ("node", "root", "asked"))
-        whole = np.flatnonzero(~asks)
-        out: list[tuple[np.ndarray, np.ndarray]] = [(nodes[:0], nodes[:0])]
-        for k in np.flatnonzero(asks):
-            alike = (marks[whole] == marks[k]).sum(1) >= AGREE
-            found = nodes[whole[alike & (tops[whole] != tops[k])]]
-            out.append((found, np.full(len(found), nodes[k])))
-        member, other = (np.concatenate(side) for side in zip(*out, strict=True))
-        return pd.DataFrame({"member": np.maximum(member, other), "other": np.minimum(member, other)})
-
-    met = asked.groupBy("band", "value", "rest_block", "whole_block").applyInPandas(compare, "member bigint, other bigint")
-    return met.distinct()
-
-
-def verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (a, b): the candidate pairs whose shingle sets are alike enough, exactly."""
-    wanted = pairs.select(F.explode(F.array("member", "other")).alias("node")).distinct()
-    held = rows.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
-    joined = pairs.join(held.select(F.col("node").alias("member"), F.col("text").alias("text_a")), "member")
-    joined = joined.join(held.select(F.col("node").alias("other"), F.col("text").alias("text_b")), "other")
+        side = side.select("band", "value", "node", "root", F.pmod(own, F.col(mine)).alias(f"{mine}_block"), every)
+        return side.select(F.struct("band", "value", "rest_block", "whole_block").alias("part"), "node", "root", F.lit(asked).alias("asked"))
 
-    def work(batch: pa.RecordBatch) -> dict:
-        kept, last, one = [], None, None
-        for node, a, b in zip(column(batch, "other").to_pylist(), texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
-            if one is None or node != last:  # pairs mostly come by the text they share
-                last, one = node, shingle_set(b, words)
-            kept.append(similarity(one, shingle_set(a, words)) >= least)
-        return {"a": column(batch, "member"), "b": column(batch, "other"), "alike": kept}
+    return placed("rest", "whole", True).unionByName(placed("whole", "rest", False))
 
-    return map_batches(joined, "a bigint, b bigint, alike boolean", work).where("alike").select("a", "b")
 
+def compared(placed: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) between alike texts of a part that are not connected yet, exactly.
 
-def alike(distinct: DataFrame, rows: DataFrame, words: int, least: float, folder: str) -> DataFrame:
+    In a part every text asked about is compared with all others, one after the other,
+    unless it is connected with all of them by then. Links that add nothing to what is
+    connected are not returned: a part gives fewer links than it has texts.
+    """
+    held = rows.select("node", "text").join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sent = placed.join(held, "node")
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(text.encode(), words) for text in frame["text"]]
+        nodes, tops, asks = (frame[c].tolist() for c in ("node", "root", "asked"))
+        others = [k for k, asked in enumerate(asks) if not asked]
+        block, forest, out = Sets([sets[k] for k in others]), Forest(), []
+        for node, top in zip(nodes, tops, strict=True):
+            forest.join(node, top)
+        for k in (k for k, asked in enumerate(asks) if asked):
+            mine = forest.top(nodes[k])
+            if all(forest.top(nodes[i]) == mine for i in others):
+                continue
+            for i in np.flatnonzero(block.similarity(sets[k]) >= least).tolist():
+                if forest.join(nodes[k], nodes[others[i]]):
+                    out.append((nodes[k], nodes[others[i]]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return sent.groupBy("part").applyInPandas(work, "a binary, b binary")
+
+
+def alike(distinct: DataFrame, rows: DataFrame, words: int, least: float, folder: str, block: int = BLOCK) -> DataFrame:
     """(node, root) of the groups of alike texts.
 
-    Texts are compared with the first and last text of their groups, which connects
-    large groups of near copies at a cost of 2 n; then whatever shares a group and is
-    not connected yet is compared, so that no link between components is lost.
+    Texts are compared with the first text of their groups, at one comparison a text and
+    group; then whatever shares a group and is not connected yet is compared, so that no
+    link between components is lost.
     """
     members = stored(memberships(distinct), f"{folder}/members")
-    pairs = stored(candidates(members), f"{folder}/pairs")
-    roots = stored(connected(verified(pairs, rows, words, least), f"{folder}/first"), f"{folder}/roots")
-    pairs = stored(crossing(members, distinct, roots), f"{folder}/crossing")
-    more = verified(pairs, rows, words, least)
+    links = stored(compared(first_texts(members, block), rows, words, least), f"{folder}/first-links")
+    roots = stored(connected(links, f"{folder}/first"), f"{folder}/roots")
+    more = stored(compared(open_groups(members, roots, block), rows, words, least), f"{folder}/more-links")
     return connected(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), f"{folder}/second")
 
 
@@ -309,15 +330,15 @@ def one_of_each(
     over the shingles instead and verified exactly.
 
     Groups are connected over these links, and the row with the smallest id stays (an
-    id before none, then the smallest text hash). Equal texts are one text; a null text
-    counts as empty, and texts without words are alike. Rows may repeat, and so may ids:
+    id before none, then the smallest text hash). Equal texts (by 128-bit hashes) are one
+    text; a null text counts as empty, and texts without words are alike. Rows may repeat, and so may ids:
     rows are told apart by their text. An empty table stays empty.
     """
     folder = folder or shared_folder(documents.sparkSession)
-    node = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    node = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     rows = documents.select(node.alias("node"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = stored(sketches(rows, words), f"{folder}/sketches")
-    once = [F.any_value(name).alias(name) for name in ("fp", "bands", "signature")]
+    once = [F.any_value(name).alias(name) for name in ("size", "bands")]
     distinct = stored(found.groupBy("node").agg(F.min("id").alias("first"), *once), f"{folder}/texts")
     roots = alike(distinct, rows, words, least, folder)
     grouped = distinct.select("node", "first").join(roots, "node", "left")

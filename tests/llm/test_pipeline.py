@@ -46,5 +46,5 @@ def test_decisions(spark):
 
 def test_every_query_is_registered():
     numbers = {name.split("_")[0] for name in QUERIES}
-    assert numbers == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert numbers == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
     assert fmindex.WINDOW == 10

@@ -117,6 +117,14 @@ def test_one_of_each_against_all_pairs(spark):
     assert sorted(kept) == sorted({rows[g][0] for g in groups})
 
 
+def test_sets_of_a_block_against_each_other():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (0, 5, 30, 30, 200, 0)]
+    for one in sets:
+        plain = [len(set(one) & set(x)) / len(set(one) | set(x)) if len(one) or len(x) else 1.0 for x in sets]
+        assert simhash.Sets(sets).similarity(one).tolist() == plain
+
+
 def test_one_of_each_awkward(spark, awkward, nothing):
     out = simhash.one_of_each(awkward)
     assert out.columns == awkward.columns
@@ -147,28 +155,68 @@ def test_alike_texts_are_found_whatever_else_is_in_their_groups(spark, tmp_path)
     kept = [r["doc_id"] for r in simhash.one_of_each(frame).collect()]
     assert sorted(kept) == sorted({rows[g][0] for g in groups}) and len(kept) == 60
 
-    nodes = frame.select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("id"), "text")
-    distinct = simhash.sketches(nodes, 5).drop("id").cache()
-    none = spark.createDataFrame([], "node bigint, root bigint")
+    for block in (400, simhash.BLOCK):
+        rows_of, distinct, folder = prepared(spark, frame)
+        roots = {bytes(r["node"]): bytes(r["root"]) for r in simhash.alike(distinct, rows_of, 5, 0.8, folder, block).collect()}
+        nodes = {bytes(r["node"]) for r in distinct.select("node").collect()}
+        assert len({roots.get(n, n) for n in nodes}) == 60
+
+
+def prepared(spark, frame):
+    """(node, id, text) rows, their sketches, and a folder."""
+    rows = frame.select(F.unhex(F.md5("text")).alias("node"), F.col("doc_id").alias("id"), "text").cache()
+    return rows, simhash.sketches(rows, 5).drop("id").cache(), shared_folder(spark)
+
+
+def compared_in(spark, rows, block):
+    """Rows sent and links found in the first and in the second comparison, and components."""
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    texts_, distinct, folder = prepared(spark, frame)
     members = simhash.memberships(distinct).cache()
-    found = [
-        {tuple(r) for r in simhash.crossing(members, distinct, none, block).collect()} for block in (5, simhash.BLOCK)
-    ]
-    assert found[0] == found[1] and found[0]
+    first = simhash.first_texts(members, block)
+    links = simhash.compared(first, texts_, 5, 0.8).cache()
+    roots = components.connected(links, folder).cache()
+    second = simhash.open_groups(members, roots, block)
+    more = simhash.compared(second, texts_, 5, 0.8).cache()
+    ends = {bytes(r["node"]): bytes(r["root"]) for r in simhash.alike(distinct, texts_, 5, 0.8, folder, block).collect()}
+    nodes = {bytes(r["node"]) for r in distinct.select("node").collect()}
+    return first.count(), links.count(), second.count(), more.count(), len({ends.get(n, n) for n in nodes}), members.count()
+
+
+def test_a_large_group_of_unlike_texts_gives_no_rows(spark):
+    """Two thirds of the shingles are shared: all meet in bands, and no two are alike."""
+    shared = " ".join(f"common{k}" for k in range(240))
+    rows = [(k, f"{shared} " + " ".join(f"own{k}x{i}" for i in range(80))) for k in range(300)]
+    sent, links, again, more, left, members = compared_in(spark, rows, simhash.BLOCK)
+    assert members > 300 and (links, more, left) == (0, 0, 300)
+    assert sent <= 2 * members and again <= 2 * members
+
+
+def test_a_large_group_of_near_copies_gives_fewer_rows_than_texts(spark):
+    """Copies of one text with a tenth of its words changed: many pairs of them are unlike."""
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 400):
+        words = list(base)
+        for at in rng.integers(0, 60, 1).tolist():
+            words[at * 5 : at * 5 + 12] = [f"edit{k}x{i}" for i in range(12)]
+        rows.append((k, " ".join(words)))
+    sent, links, again, more, left, members = compared_in(spark, rows, 20_000)
+    parts = members // 10
+    assert left == len(set(plain_groups([text for _, text in rows]))) == 1
+    assert links < sent and links + more < 16 * 400 + parts and again <= 20 * members
 
 
 def test_a_repeated_line_does_not_hide_a_near_copy(spark):
     """Fingerprints count repeats, similarity does not; the two texts share groups with each other alone."""
     rng = np.random.default_rng(3)
-    rows, apart = [], 0
+    rows = []
     for number in range(20):
         common = " ".join(f"w{x}" for x in rng.integers(0, 10_000, 300))
         line = " ".join(f"l{x}" for x in rng.integers(0, 10_000, 12))
         texts = [f"{common}\n{line}\n", f"{common}\n" + f"{line}\n" * 50]
-        one, two = (simhash.fingerprint(t.encode(), simhash.WORDS) for t in texts)
-        apart += (one ^ two).bit_count() > simhash.WIDE_BITS
         rows += [(2 * number, texts[0]), (2 * number + 1, texts[1])]
-    assert apart
     groups = plain_groups([text for _, text in rows])
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     kept = [r["doc_id"] for r in simhash.one_of_each(frame).collect()]
