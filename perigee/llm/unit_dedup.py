@@ -1,16 +1,25 @@
-"""Substring dedup by hashed runs of lines: the earliest of equal units stays.
-
-A unit is a shortest run of lines that holds enough words: a long enough line alone, or
-short lines together. Units are normalised and hashed; digests are grouped globally, the
-earliest ranked occurrence of each is kept, and all others are removed. Original offsets
-of what is removed are retained.
+"""Substring dedup by hashed units of text: the earliest of equal units stays.
+
+There are units of two kinds. A unit of lines is a shortest run of lines that holds
+enough words: a long enough line alone, or short lines together. A unit within a
+paragraph begins where the text itself says so: at the place whose next words have the
+least hash of all places nearby; it holds as many words, whatever the line feeds. Two
+texts that share a passage cut it alike, so a shared passage of `min_words` + `REACH` - 1
+words or more has a unit in common, wherever it begins and ends in the lines of either.
+
+Units are normalised and hashed; digests are grouped globally, the earliest ranked
+occurrence of each is kept, and all others are removed. Original offsets of what is
+removed are retained.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +27,9 @@ from pyspark.sql import functions as F
 from perigee.llm.shared import column, map_batches, rows_of, shared_folder, stored, texts
 
 MIN_WORDS = 25
+# places among which the one with the least hash of its next HASHED words begins a unit
+REACH, HASHED = 26, 3
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 REMOVED = "array<struct<line:int,start:bigint,end:bigint>>"
 
 
@@ -48,72 +60,132 @@ def units_of(text: bytes, min_words: int) -> list[tuple[int, int, bool, bytes]]:
     return out
 
 
+def inner_units(text: bytes, min_words: int, reach: int = REACH) -> list[tuple[int, int, bool, bytes]]:
+    """(first word, last word, loops, digest) of the units that the words themselves cut.
+
+    Of equal hashes the first place counts, so of a loop every place may begin a unit.
+    """
+    words = text.lower().split()
+    places = len(words) - min_words + 1
+    if places < 1:
+        return []
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    mixed = np.zeros(places, np.uint64)
+    for k in range(min(HASHED, min_words)):
+        mixed = (mixed ^ each[k : k + places]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    if places <= reach:
+        chosen = [int(mixed.argmin())]
+    else:
+        near = np.lib.stride_tricks.sliding_window_view(mixed, reach)
+        chosen = np.unique(near.argmin(1) + np.arange(len(near))).tolist()
+    out = []
+    for at in chosen:
+        held = words[at : at + min_words]
+        digest = hashlib.blake2b(b" ".join(held), digest_size=16, person=b"inner").digest()
+        out.append((at, at + min_words - 1, _loops(held), digest))
+    return out
+
+
 def without(text: bytes, gone: list[dict]) -> tuple[bytes, list[dict]]:
-    """The text less the runs of lines, and each line's number, start and end in code points."""
-    numbers = {k for run in gone for k in range(run["line"], run["last"] + 1)}
-    left, removed, at = [], [], 0
-    for number, line in enumerate(text.split(b"\n")):
-        size = len(line) if line.isascii() else len(line.decode("utf-8", "replace"))
+    """The text less runs of lines and runs of words, and what was taken out of which
+    line: its number, start and end in code points. Whole lines go with their feeds."""
+    numbers = {k for run in gone if not run["inner"] for k in range(run["first"], run["last"] + 1)}
+    value = text.decode("utf-8", "replace")
+    spans = _spans(value, sorted((run["first"], run["last"]) for run in gone if run["inner"]))
+    left, removed, at, next_span = [], [], 0, 0
+    for number, line in enumerate(value.split("\n")):
+        end = at + len(line)
+        parts = []
+        while next_span < len(spans) and spans[next_span][0] < end:
+            start, stop = spans[next_span]
+            if max(start, at) < min(stop, end):
+                parts.append((max(start, at), min(stop, end)))
+            if stop > end:
+                break
+            next_span += 1
         if number in numbers:
-            removed.append({"line": number, "start": at, "end": at + size})
+            removed.append({"line": number, "start": at, "end": end})
+        else:
+            rest, done = [], at
+            for start, stop in parts:
+                removed.append({"line": number, "start": start, "end": stop})
+                rest.append(value[done:start])
+                done = stop
+            left.append("".join([*rest, value[done:end]]))
+        at = end + 1
+    return "\n".join(left).encode(), removed
+
+
+def _spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Start and end in the text of runs of words, runs that touch or overlap as one."""
+    merged: list[list[int]] = []
+    for first, last in runs:
+        if merged and first <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], last)
         else:
-            left.append(line)
-        at += size + 1
-    return b"\n".join(left), removed
+            merged.append([first, last])
+    if not merged:
+        return []
+    places = [m.span() for m in WORD.finditer(text)]
+    return [(places[first][0], places[last][1]) for first, last in merged]
 
 
-def _key(id_col: str, text_col: str):
-    """One key for a row's id and text: rows that repeat whole are one document."""
-    one = F.concat_ws("\x00", F.col(id_col).cast("string"), F.when(F.col(id_col).isNull(), "null"), F.md5(F.coalesce(text_col, F.lit(""))))
-    return F.md5(one)
+def _key(text_col: str):
+    """A row's text by a hash: with the id it is a document, of which rows may repeat."""
+    return F.xxhash64(F.coalesce(text_col, F.lit("")), F.col(text_col).isNull())
 
 
 def units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, line, last, loops, digest) of the units of (id, text) rows."""
-    frame = documents.select("id", _key("id", "text").alias("key"), "text").where(F.col("text").isNotNull())
+    """(id, key, inner, first, last, loops, digest) of the units of (id, text) rows: of
+    lines, counted by line, and of words (inner), counted by word."""
+    frame = documents.select("id", _key("text").alias("key"), "text").where(F.col("text").isNotNull())
     id_type = frame.schema["id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
-        found = [units_of(text, min_words) for text in texts(batch)]
-        owner = pa.array([row for row, x in enumerate(found) for _ in x], pa.int64())
-        flat = [u for x in found for u in x]
-        return {
-            "id": column(batch, "id").take(owner),
-            "key": column(batch, "key").take(owner),
-            "line": [u[0] for u in flat],
-            "last": [u[1] for u in flat],
-            "loops": [u[2] for u in flat],
-            "digest": [u[3] for u in flat],
-        }
+        flat, owner = [], []
+        for row, text in enumerate(texts(batch)):
+            found = [(False, *u) for u in units_of(text, min_words)] + [(True, *u) for u in inner_units(text, min_words)]
+            flat += found
+            owner += [row] * len(found)
+        owner = pa.array(owner, pa.int64())
+        made = list(zip(*flat, strict=True)) or [[]] * 5
+        names = ("inner", "first", "last", "loops", "digest")
+        return {"id": column(batch, "id").take(owner), "key": column(batch, "key").take(owner)} | dict(zip(names, map(list, made), strict=True))
 
-    return map_batches(frame, f"id {id_type}, key string, line int, last int, loops boolean, digest binary", work)
+    return map_batches(frame, f"id {id_type}, key bigint, inner boolean, first int, last int, loops boolean, digest binary", work)
 
 
 def deduplicate(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, folder: str | None = None
 ) -> DataFrame:
-    """Every row as (id, text, removed): the text left, and the lines taken out of it.
-
-    Units are the shortest runs of lines with `min_words` words or more, compared with
-    A-Z lower-cased and blanks (20, 09-0D, line feeds) collapsed; a short line goes only
-    within a repeated run of that many words. Runs in which a few short lines come again
-    and again are compared with other documents alone, so that such a loop stays where
-    it first stands. Occurrences rank by id (nulls last), then by a hash of id and text,
-    then by line. `removed` has line number, start and end in the original text in
-    order; the line's feed goes with it, and so do blank lines within a removed run.
-    A null text stays null; rows that repeat whole are one document and fare alike; other
+    """Every row as (id, text, removed): the text left, and what was taken out of its lines.
+
+    Units are the shortest runs of lines with `min_words` words or more, and runs of
+    `min_words` words that begin where their hash is least nearby, compared with A-Z
+    lower-cased and blanks (20, 09-0D, line feeds) collapsed; a short line goes only
+    within a repeated run of that many words. Runs in which a few short lines or words
+    come again and again are compared with other documents alone, so that such a loop
+    stays where it first stands. Occurrences rank by id (nulls last), then by a hash of
+    the text, then by place; an earliest one stays unless a unit that overlaps it goes.
+    `removed` has line number, start and end in the original text in order; a whole
+    line's feed goes with it, and so do blank lines within a removed run of lines. A null
+    text stays null; rows that repeat whole are one document and fare alike; other
     columns are ignored.
     """
     folder = folder or shared_folder(documents.sparkSession)
     rows = rows_of(documents, id=id_col, text=text_col)
     found = stored(units(rows, min_words), f"{folder}/units")
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "line")
-    grouped = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("latest"))
-    kept = grouped.where("kept <> latest").select("digest", F.col("kept.key").alias("kept_key"), F.col("kept.line").alias("kept_line"))
-    gone = found.join(kept, "digest").where("key <> kept_key or (line <> kept_line and not loops)")
-    gone = gone.groupBy("key").agg(F.collect_set(F.struct("line", "last")).alias("gone"))
-    gone = stored(gone, f"{folder}/removed")
-    out = rows.withColumn("key", _key("id", "text")).join(gone, "key", "left").select("id", "text", "gone")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "first")
+    grouped = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    kept = grouped.select("digest", *[F.col(f"kept.{x}").alias(f"kept_{x}") for x in ("id", "key", "first")])
+    other = ~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    gone = found.join(kept, "digest").where(other | ((F.col("first") != F.col("kept_first")) & ~F.col("loops")))
+    gone = gone.groupBy("id", "key").agg(F.collect_set(F.struct("inner", "first", "last")).alias("gone"))
+    gone = stored(gone, f"{folder}/removed").select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "gone")
+    keyed = rows.withColumn("key", _key("text"))
+    same = (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id"))
+    out = keyed.join(gone, same, "left").select("id", "text", "gone")
 
     def work(batch: pa.RecordBatch) -> dict:
         left, removed = [], []

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from perigee.llm import unit_dedup
 
 LONG = " ".join(f"word{k}" for k in range(60))
@@ -98,3 +100,45 @@ def test_units_against_all_runs():
         enough = {(a, b) for a in held for b in held if a <= b and sum(counts[a : b + 1]) >= 25}
         least = {(a, b) for a, b in enough if b == min(y for x, y in enough if x == a) or a == max(x for x, y in enough if y == b)}
         assert {u[:2] for u in unit_dedup.units_of(text.encode(), 25)} == least
+
+
+def test_passages_within_lines_of_any_length(spark):
+    """Passages of 50 words that begin and end within lines, with line feeds of their own."""
+    draw = random.Random(12)
+    rows, places = [], {}
+    for number in range(40):
+        passage = [f"p{number}w{draw.randrange(1000)}" for _ in range(50)]
+        for doc_id in (number, 100 + number):
+            words = [f"d{doc_id}x{k}" for k in range(60)]
+            at = draw.randrange(1, 50)
+            words[at:at] = passage
+            text = "".join(w + draw.choice([" ", " ", "  ", "\n", "\t"]) for w in words)
+            rows.append((doc_id, text))
+            places[doc_id] = set(passage)
+    got = {r["id"]: r for r in unit_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    for doc_id, text in rows:
+        gone = [text[x["start"] : x["end"]] for x in got[doc_id]["removed"]]
+        assert bool(gone) == (doc_id >= 100)
+        assert all(set(part.split()) <= places[doc_id] for part in gone)
+        if gone:
+            assert sum(len(part.split()) for part in gone) >= unit_dedup.MIN_WORDS
+            words = [w for part in gone for w in part.split()]
+            assert sorted([*got[doc_id]["text"].split(), *words]) == sorted(text.split())
+
+
+def test_a_shared_passage_of_fifty_words_has_a_unit_in_common():
+    draw = random.Random(13)
+    for _ in range(200):
+        passage = [f"w{draw.randrange(50)}" for _ in range(unit_dedup.MIN_WORDS + unit_dedup.REACH - 1)]
+        texts = [" ".join([f"a{k}" for k in range(draw.randrange(80))] + passage + [f"{side}{k}" for k in range(draw.randrange(80))]) for side in "bc"]
+        one, two = ({u[3] for u in unit_dedup.inner_units(t.encode(), unit_dedup.MIN_WORDS)} for t in texts)
+        assert one & two
+
+
+def test_short_texts_and_loops_of_words(spark):
+    assert unit_dedup.inner_units(b"a few words", 25) == []
+    assert len(unit_dedup.inner_units(" ".join(f"w{k}" for k in range(30)).encode(), 25)) == 1
+    loop = "again and " * 60
+    docs = spark.createDataFrame([(1, loop), (2, f"start {loop}")], "doc_id bigint, text string")
+    got = {r["id"]: r["text"] for r in unit_dedup.deduplicate(docs).collect()}
+    assert got[1] == loop and len(got[2].split()) <= unit_dedup.MIN_WORDS + 1
