@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterable
 from functools import cached_property
 from itertools import chain
 
@@ -32,6 +33,8 @@ UNKNOWN_COST = 10.0
 REMEMBERED = 250_000
 LONGEST_REMEMBERED = 40
 N_BEST = 3
+# characters of texts whose chunks are made distinct together
+TOGETHER = 1 << 20
 SAME = 6
 # piece kinds of the model format
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -121,6 +124,113 @@ class Pieces:
                     break
         return best, second, back
 
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+        """The tree of pieces as sorted keys (place in the tree, next character), where each
+        leads, and what piece ends there: its score (NaN: none) and number in a list."""
+        keys, to, place = [], [], {id(self.tree): 0}
+        score, number, ids = [np.nan], [0], [()]
+        level = [self.tree]
+        while level:
+            under = []
+            for node in level:
+                for character, (below, arc) in node.items():
+                    keys.append((place[id(node)] << 21) | ord(character))
+                    to.append(len(score))
+                    place[id(below)] = len(score)
+                    score.append(np.nan if arc is None else arc[0])
+                    number.append(len(ids) if arc else 0)
+                    if arc:
+                        ids.append(arc[1])
+                    under.append(below)
+            level = under
+        order = np.argsort(np.array(keys, np.int64)) if keys else np.zeros(0, np.int64)
+        return np.array(keys, np.int64)[order], np.array(to, np.int64)[order], np.array(score), np.array(number), ids
+
+    def arcs_of(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, score, piece) of all arcs in texts that lie one after the other.
+
+        text: characters; ends: where the text of each character ends. All places go down
+        the tree together. A character that is no piece has an arc of its own, piece 0.
+        """
+        keys, to, score, number, _ = self.steps
+        at, node, length = np.arange(len(text)), np.zeros(len(text), np.int64), 0
+        out, single = [], np.zeros(len(text), bool)
+        while len(at) and len(keys):
+            wanted = (node << 21) | text[at + length]
+            found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            on = keys[found] == wanted
+            at, node, length = at[on], to[found[on]], length + 1
+            piece = ~np.isnan(score[node])
+            out.append((at[piece], at[piece] + length, score[node[piece]], number[node[piece]]))
+            if length == 1:
+                single[at[piece]] = True
+            more = at + length < ends[at]
+            at, node = at[more], node[more]
+        other = np.flatnonzero(~single)
+        out.append((other, other + 1, np.full(len(other), self.worst), np.zeros(len(other), np.int64)))
+        return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+    def best_of(self, chunks: list[str]) -> list[tuple[float, float, tuple[int, ...]]]:
+        """`best` of many chunks at once: the forward scores of all of them grow together,
+        place by place of the chunks."""
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        text = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        start, end, cost, piece = self.arcs_of(text, np.repeat(first + lengths, lengths))
+        # a chunk of n characters has n + 1 places
+        owner = np.repeat(np.arange(len(chunks)), lengths)[start]
+        start, end = start + owner, end + owner
+        best, second = np.full(len(text) + len(chunks), NEVER), np.full(len(text) + len(chunks), NEVER)
+        back = np.zeros(len(best), np.int64)
+        base = first + np.arange(len(chunks))
+        best[base] = 0.0
+        column = end - base[owner]
+        order = np.lexsort((start, end, column))
+        start, end, cost, piece, column = (x[order] for x in (start, end, cost, piece, column))
+        edges = np.searchsorted(column, np.arange(1, int(lengths.max(initial=0)) + 2)).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            goal = end[a:b]
+            heads = np.flatnonzero(np.concatenate(([True], goal[1:] != goal[:-1])))
+            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, b - a)))
+            score = best[start[a:b]] + cost[a:b]
+            most = np.maximum.reduceat(score, heads)
+            winners = np.flatnonzero(score == most[group])
+            winners = winners[np.concatenate(([True], np.diff(group[winners]) > 0))]
+            best[goal[heads]], back[goal[heads]] = most, winners + a
+            score[winners] = NEVER
+            others = np.maximum(score, second[start[a:b]] + cost[a:b])
+            second[goal[heads]] = np.maximum.reduceat(others, heads)
+        last = base + lengths
+        ids = self._along(chunks, base, last, start, piece, back)
+        return list(zip(best[last].tolist(), (best[last] - second[last]).tolist(), ids, strict=True))
+
+    def _along(self, chunks: list[str], base: np.ndarray, last: np.ndarray, start: np.ndarray, piece: np.ndarray, back: np.ndarray) -> list[tuple[int, ...]]:
+        """The ids of every chunk's best path, all paths walked back together."""
+        place, owner, walked = last.copy(), np.arange(len(chunks)), []
+        while len(place):
+            arc = back[place]
+            walked.append((owner, arc))
+            place = start[arc]
+            on = place > base[owner]
+            place, owner = place[on], owner[on]
+        if not walked:
+            return []
+        owner, arc = (np.concatenate(x)[::-1] for x in zip(*walked, strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner, arc = owner[order], arc[order]
+        parts, starts, ends = piece[arc].tolist(), start[arc].tolist(), np.cumsum(np.bincount(owner, minlength=len(chunks))).tolist()
+        ids, single, out, a = self.steps[4], np.array([x[0] if x else -1 for x in self.steps[4]])[piece[arc]].tolist(), [], 0
+        unknown = set(owner[piece[arc] == 0].tolist())
+        for k, b in enumerate(ends):
+            if k in unknown:
+                found = (ids[parts[i]] or self.fallback(chunks[k][starts[i] - int(base[k])])[1] for i in range(a, b))
+                out.append(tuple(chain.from_iterable(found)))
+            else:
+                out.append(tuple(single[a:b]))
+            a = b
+        return out
+
     def best(self, chunk: str) -> tuple[float, float, tuple[int, ...]]:
         """Score, loss of the second path (infinite if there is none), best ids."""
         best, second, back = self.forward(chunk)
@@ -158,9 +268,12 @@ class Pieces:
                 heapq.heappush(agenda, (-round(best[i] + score, SAME), i, order, score, (arc[1], path)))
         return out
 
+    def content_of(self, ids: Iterable[int]) -> str:
+        return b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; one leading space, set when encoding, is taken off."""
-        text = b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")
+        text = self.content_of(ids)
         return text[1:] if text[:1] == " " else text
 
 
@@ -178,42 +291,66 @@ class Encoder:
 
         Each of these is its score and its edits: `n` pieces from `at` on are replaced.
         """
-        if not text:
-            return 0.0, [], []
-        chunks = CHUNKS.findall(SPACE + text.replace(" ", SPACE))
-        known = list(map(self.chunks.get, chunks))
-        if None in known:
-            for i, found in enumerate(known):
-                if found is None:
-                    known[i] = self._new(chunks[i])
-        ids = list(chain.from_iterable([k[2] for k in known]))
-        total = sum([k[0] for k in known])
-        losses = [k[1] for k in known]
-        weakest = heapq.nsmallest(self.n - 1, range(len(losses)), key=losses.__getitem__)
+        scores, sizes, ids, more, _ = self.encode_all([text])
+        return scores[0], ids.tolist(), more[0]
+
+    def encode_all(self, values: list[str]) -> tuple[list[float], np.ndarray, np.ndarray, list[list[dict]], list[bool]]:
+        """(scores, numbers of pieces, ids one text after the other, next best, round trip).
+
+        The chunks of all texts are made distinct first: the lattice of each is looked at
+        once, and so is what its ids decode to; texts gather from the distinct ones.
+        """
+        split = [CHUNKS.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in values]
+        coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self._known(distinct)
+        best = np.array([k[0] for k in known], float)
+        loss = np.array([k[1] for k in known], float)
+        right = np.array([k[3] for k in known], bool)
+        size = np.array([len(k[2]) for k in known], np.int64)
+        flat = np.fromiter(chain.from_iterable([k[2] for k in known]), np.int32, int(size.sum()))
+        best, loss, right, held = best[number], loss[number], right[number], size[number]
+        shift = np.repeat((np.cumsum(size) - size)[number] - (np.cumsum(held) - held), held)
+        ids = flat[shift + np.arange(len(shift))]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in split]))).tolist()
+        scores, sizes, more, back = [], [], [], []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            scores.append(float(best[a:b].sum()))
+            sizes.append(int(held[a:b].sum()))
+            back.append(bool(right[a:b].all()))
+            more.append(self._next_best(scores[-1], loss[a:b], held[a:b], lambda i, a=a: known[number[a + i]][0], lambda i, a=a: distinct[number[a + i]]))
+        return scores, np.array(sizes, np.int64), ids, more, back
+
+    def _next_best(self, total: float, losses: np.ndarray, sizes: np.ndarray, score_of, chunk_of) -> list[dict]:
+        weakest = np.argsort(losses, kind="stable")[: self.n - 1].tolist()
         combined = [(0.0, ())]
         for i in weakest:
             if losses[i] == float("inf"):
                 continue
-            other = self._others(chunks[i])
-            joined = [(loss + known[i][0] - score, edits + ((i, path),) * (k > 0)) for loss, edits in combined for k, (score, path) in enumerate(other)]
+            other = self._others(chunk_of(i))
+            joined = [(loss + score_of(i) - score, edits + ((i, path),) * (k > 0)) for loss, edits in combined for k, (score, path) in enumerate(other)]
             combined = heapq.nsmallest(self.n, joined, key=lambda x: x[0])
         more = []
-        if len(combined) > 1:
-            sizes = [len(k[2]) for k in known]
-            for loss, edits in combined[1:]:
-                more.append({"score": total - loss, "edits": [{"at": sum(sizes[:i]), "n": sizes[i], "ids": list(path)} for i, path in sorted(edits)]})
-        return total, ids, more
-
-    def _new(self, chunk: str) -> tuple:
-        """A chunk's best path; chunks not used since the memory last filled are forgotten."""
-        found = self.chunks.get(chunk) or self.older.get(chunk)
-        if found is None:
-            found = self.pieces.best(chunk)
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks, self.older = {}, self.chunks
-            self.chunks[chunk] = found
-        return found
+        for loss, edits in combined[1:]:
+            changed = [{"at": int(sizes[:i].sum()), "n": int(sizes[i]), "ids": list(path)} for i, path in sorted(edits)]
+            more.append({"score": total - loss, "edits": changed})
+        return more
+
+    def _known(self, distinct: list[str]) -> list[tuple]:
+        """Each chunk's best path, and whether it decodes to the chunk; chunks not used
+        since the memory last filled are forgotten."""
+        known = [self.chunks.get(chunk) or self.older.get(chunk) for chunk in distinct]
+        new = [k for k, found in enumerate(known) if found is None]
+        short = [k for k in new if len(distinct[k]) <= LONGEST_REMEMBERED]
+        for k, found in zip(short, self.pieces.best_of([distinct[k] for k in short]), strict=True):
+            known[k] = found
+        for k in new:
+            score, loss, ids = known[k] or self.pieces.best(distinct[k])
+            known[k] = score, loss, ids, self.pieces.content_of(ids) == distinct[k].replace(SPACE, " ")
+        if len(self.chunks) >= REMEMBERED:
+            self.chunks, self.older = {}, self.chunks
+        self.chunks.update((c, found) for c, found in zip(distinct, known, strict=True) if len(c) <= LONGEST_REMEMBERED)
+        return known
 
     def _others(self, chunk: str) -> list:
         found = self.others.get(chunk)
@@ -234,6 +371,18 @@ ENCODED = (
 )
 
 
+def _together(batch: Iterable[bytes | None]) -> Iterable[list[str | None]]:
+    """The texts in lists of about `TOGETHER` characters."""
+    held, size = [], 0
+    for text in batch:
+        held.append(None if text is None else text.decode())
+        size += len(text or b"")
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def encode(documents: DataFrame, model_path: str, n: int = N_BEST, text_col: str = "text") -> DataFrame:
     """`documents` with n_pieces, score, ids, next_best and round_trip.
 
@@ -252,20 +401,19 @@ def encode(documents: DataFrame, model_path: str, n: int = N_BEST, text_col: str
         encoder = ENCODERS.get((model_path, n))
         if encoder is None:
             encoder = ENCODERS.setdefault((model_path, n), Encoder(pieces, n))
-        scores, more, back, sizes, flat = [], [], [], [0], []
-        for text in texts(batch, text_col):
-            if text is None:
-                scores.append(None), more.append(None), back.append(None), sizes.append(sizes[-1])
-                continue
-            value = text.decode()
-            score, ids, others = encoder.encode(value)
-            scores.append(score), more.append(others)
-            back.append(pieces.decode(ids) == value.replace(SPACE, " "))
-            flat.append(np.array(ids, np.int32))
-            sizes.append(sizes[-1] + len(ids))
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+        scores, more, back, sizes, flat = [], [], [], [0], [np.zeros(0, np.int32)]
+        for values in _together(texts(batch, text_col)):
+            there = [v for v in values if v is not None]
+            found = encoder.encode_all(there)
+            flat.append(found[2])
+            rows = zip(found[0], found[1].tolist(), found[3], found[4], strict=True)
+            for value in values:
+                score, size, others, right = (None, 0, None, None) if value is None else next(rows)
+                scores.append(score), more.append(others), back.append(right)
+                sizes.append(sizes[-1] + size)
         missing = np.array([s is None for s in scores] + [False])
         offsets = pa.array(np.array(sizes, np.int32), mask=missing)
+        values = pa.array(np.concatenate(flat))
         out = {x: column(batch, x) for x in names}
         return out | {
             "n_pieces": np.diff(sizes).tolist(),

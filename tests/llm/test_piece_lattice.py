@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 
@@ -76,3 +77,29 @@ def test_awkward(awkward, nothing):
         else:
             assert r["round_trip"] and r["n_pieces"] == len(r["ids"])
     assert piece_lattice.encode(nothing, MODEL).count() == 0
+
+
+def test_many_chunks_at_once_equal_one_at_a_time():
+    draw = random.Random(2)
+    pieces = piece_lattice.Pieces(SMALL)
+    chunks = ["".join(draw.choice("ab▁x") for _ in range(draw.randrange(1, 9))) for _ in range(300)] + ["a" * 40]
+    real = piece_lattice.Pieces.load(MODEL)
+    words = ["▁" + "".join(draw.choice("etaoinshé🙂ツ") for _ in range(draw.randrange(12))) for _ in range(400)] + ["\n", "▁▁▁▁"]
+    for model, several in ((pieces, chunks), (real, words)):
+        for chunk, (score, loss, ids) in zip(several, model.best_of(several), strict=True):
+            want = model.best(chunk)
+            assert (score, loss) == pytest.approx(want[:2]) and ids == want[2]
+    assert pieces.best_of([]) == []
+
+
+def test_texts_together_equal_texts_alone(monkeypatch):
+    pieces = piece_lattice.Pieces.load(MODEL)
+    texts = ["one two two", "", "x" * 300, "a ▁ b\n\n", "one  two"]
+    scores, sizes, ids, more, back = piece_lattice.Encoder(pieces).encode_all(texts)
+    ends = [0, *itertools.accumulate(sizes.tolist())]
+    alone = [piece_lattice.Encoder(pieces).encode(t) for t in texts]
+    assert [(s, ids[a:b].tolist(), m) for s, a, b, m in zip(scores, ends[:-1], ends[1:], more, strict=True)] == alone
+    assert back == [True] * 5
+    monkeypatch.setattr(piece_lattice, "TOGETHER", 4)
+    held = list(piece_lattice._together(iter([b"ab", None, b"cdef", b"g"])))
+    assert held == [["ab", None, "cdef"], ["g"]]
