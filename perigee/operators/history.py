@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.operators.params import require_between
+from perigee.schemas import SATELLITE
 
 
 def success_run(run_id: int, at: Column, snapshots: DataFrame) -> DataFrame:
@@ -115,6 +116,34 @@ def upsert_satellites(existing: DataFrame, batch: DataFrame, order: list[Column]
     )
 
 
+SATELLITE_BUCKETS = 64
+
+
+def bucket_of(norad_cat_id: Column) -> Column:
+    return F.pmod(F.xxhash64(norad_cat_id), F.lit(SATELLITE_BUCKETS)).cast("int")
+
+
+def sightings(snapshots: DataFrame, order: list[Column]) -> DataFrame:
+    """A run's contribution to the satellite table: SATELLITE rows, one per id it holds."""
+    runs = snapshots.groupBy("norad_cat_id").agg(F.max("run_id").alias("last_run_id"))
+    seen = satellites_seen(snapshots, order).join(runs.withColumnRenamed("norad_cat_id", "_id"), F.col("norad_cat_id").eqNullSafe(F.col("_id")))
+    return seen.withColumn("bucket", bucket_of(F.col("norad_cat_id"))).select(*SATELLITE.fieldNames())
+
+
+def merged_sightings(rows: DataFrame) -> DataFrame:
+    """SATELLITE rows of any number of runs as one row per id: the first and last sighting
+    of all, the names of the run that saw it last (of equal instants the higher run).
+
+    The order of the runs and the grouping of earlier merges don't matter, so runs may
+    add their rows side by side.
+    """
+    names = F.max_by(F.struct("object_name", "object_id", "source_name", "last_run_id"), F.struct("last_seen_at", "last_run_id"))
+    merged = rows.groupBy("norad_cat_id", "bucket").agg(
+        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), names.alias("_names")
+    )
+    return merged.select("*", "_names.*").select(*SATELLITE.fieldNames())
+
+
 def stored_row(catalog: DataFrame) -> DataFrame:
     """CATALOG rows as stored: the source struct as JSON text."""
     return catalog.withColumn("source_json", F.to_json("source")).drop("source")

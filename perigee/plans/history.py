@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from perigee import fixed_values as fixed, schemas
 from perigee.operators import catalog as cat, history
@@ -13,16 +13,25 @@ from perigee.sources import arrays, payloads, tables
 
 
 class CatalogHistory:
-    """Runs and snapshots under one root folder of the cluster's storage.
-
-    Snapshots are partitioned by run, so the latest catalog reads one directory.
-    The satellite table is derived from the snapshots, not stored twice.
+    """Runs, snapshots and satellites under one root folder of the cluster's storage.
+
+    Snapshots are partitioned by run, so the latest catalog reads one directory. Every run
+    adds its sightings to the satellite table, in the buckets of the ids it holds; they
+    count once the run is logged. Several writers may ingest at the same time: each has
+    claimed its run id, writes directories of its own, and sightings merge in any order.
+    From time to time ``compact_satellites`` folds the sightings into a base; a reader
+    merges the base with the runs that are not in it.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.runs_path = f"{root.rstrip('/')}/ingestion_runs"
         self.snapshots_path = f"{root.rstrip('/')}/orbit_snapshots"
+        self.claims_path = f"{root.rstrip('/')}/run_claims"
+        self.sightings_path = f"{root.rstrip('/')}/satellite_sightings"
+        self.bases_path = f"{root.rstrip('/')}/satellite_bases"
+        self.base_log_path = f"{root.rstrip('/')}/satellite_base_log"
+        self.base_claims_path = f"{root.rstrip('/')}/satellite_base_claims"
 
     def ingest(self, records: DataFrame, ingested_at: datetime, run_id: int | None = None) -> DataFrame:
         """Normalize, store the snapshots, then log the run; returns the latest catalog.
@@ -38,6 +47,7 @@ class CatalogHistory:
         stored = history.stored_row(rows).withColumn("run_id", F.lit(run_id).cast("bigint"))
         tables.replace_run(stored, schemas.SNAPSHOT, self.snapshots_path, run_id)
         written = self._stored().where(F.col("run_id") == run_id)
+        self._store_sightings(written, run_id)
         tables.replace_run(history.success_run(run_id, at, written), schemas.RUN, self.runs_path, run_id)
         return self.latest()
 
@@ -63,8 +73,15 @@ class CatalogHistory:
         return self.latest()
 
     def next_run_id(self) -> int:
-        """One above the highest logged run; ingests of one store run one at a time."""
-        return (self.runs().agg(F.max("run_id")).first()[0] or 0) + 1
+        """A run id of one's own, by a claim that only one writer can make."""
+        return tables.claim_number(self.spark, self.claims_path)
+
+    def _store_sightings(self, snapshots: DataFrame, run_id: int) -> None:
+        rows = history.sightings(_with_source_name(snapshots), [F.col(c) for c in SIGHTING_ORDER])
+        tables.replace_part(rows, schemas.SATELLITE, self.sightings_path, "run", run_id, "bucket")
+        if run_id in self._base()[1]:
+            # a base holds what this run was before: a new one without runs makes all be merged anew
+            self._log_base(tables.claim_number(self.spark, self.base_claims_path), [])
 
     def log_failure(
         self, at: datetime, message: str, http_status: int | None = None, run_id: int | None = None
@@ -107,6 +124,47 @@ class CatalogHistory:
     def ingest_due(self, now: datetime, ttl_hours: float) -> DataFrame:
         return history.ingest_due(self.runs(), F.lit(utc(now)), ttl_hours)
 
-    def satellites(self) -> DataFrame:
-        seen = self.snapshots().withColumn("source_name", F.col("source.name"))
-        return history.satellites_seen(seen, [F.col(c) for c in ("ingested_at", "run_id", payloads.POSITION, "raw_record_json")])
+    def satellites(self, norad_cat_id: int | None = None) -> DataFrame:
+        """First and last sighting and latest names of every satellite, or of one, of which
+        only the bucket is read. Reads no snapshots."""
+        base_id, included = self._base()
+        logged = [r["run_id"] for r in history.successful(self.runs()).select("run_id").collect()]
+        added = tables.read_parts(self.spark, schemas.SATELLITE, self.sightings_path, "run", sorted(set(logged) - included))
+        base = tables.read_parts(self.spark, schemas.SATELLITE, self.bases_path, "base", [base_id] if included else [])
+        rows = base.unionByName(added)
+        if norad_cat_id is not None:
+            wanted = F.lit(norad_cat_id).cast("bigint")
+            rows = rows.where((F.col("bucket") == history.bucket_of(wanted)) & (F.col("norad_cat_id") == wanted))
+        return history.merged_sightings(rows).drop("last_run_id", "bucket")
+
+    def compact_satellites(self) -> int:
+        """Fold the sightings of all logged runs into a new base; readers use it once it is
+        logged. Returns the base's number."""
+        _, included = self._base()
+        logged = {r["run_id"] for r in history.successful(self.runs()).select("run_id").collect()}
+        base_id = tables.claim_number(self.spark, self.base_claims_path)
+        old, _ = self._base()
+        base = tables.read_parts(self.spark, schemas.SATELLITE, self.bases_path, "base", [old] if included else [])
+        added = tables.read_parts(self.spark, schemas.SATELLITE, self.sightings_path, "run", sorted(logged - included))
+        merged = history.merged_sightings(base.unionByName(added))
+        tables.replace_part(merged, schemas.SATELLITE, self.bases_path, "base", base_id, "bucket")
+        self._log_base(base_id, sorted(logged | included))
+        return base_id
+
+    def _base(self) -> tuple[int, set[int]]:
+        """The newest logged base and the runs it holds: numbers of runs, as many as were ingested."""
+        row = tables.read_or_empty(self.spark, self.base_log_path, BASE_LOG).orderBy(F.col("base_id").desc()).first()
+        return (row["base_id"], set(row["run_ids"])) if row else (0, set())
+
+    def _log_base(self, base_id: int, run_ids: list[int]) -> None:
+        row = self.spark.createDataFrame([(run_ids, base_id)], "run_ids array<bigint>, base_id bigint")
+        row.coalesce(1).write.mode("append").parquet(self.base_log_path)
+
+
+BASE_LOG = T.StructType([T.StructField("run_ids", T.ArrayType(T.LongType())), T.StructField("base_id", T.LongType())])
+# of an id's records in a run the latest counts, then the later one in the payload
+SIGHTING_ORDER = ("ingested_at", "run_id", payloads.POSITION, "raw_record_json")
+
+
+def _with_source_name(snapshots: DataFrame) -> DataFrame:
+    return history.restored_row(snapshots).withColumn("source_name", F.col("source.name"))

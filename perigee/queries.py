@@ -172,7 +172,8 @@ def satellite_upsert(spark, sf_dir):
     order = [F.col("ingested_at"), F.col("snapshot_id")]
     earlier = snapshots.join(runs.select("run_id"), "run_id", "left_semi").join(latest, "run_id", "left_anti")
     batch = snapshots.join(latest, "run_id", "left_semi")
-    return history.upsert_satellites(history.satellites_seen(earlier, order), batch, order)
+    rows = history.sightings(earlier, order).unionByName(history.sightings(batch, order))
+    return history.merged_sightings(rows).drop("last_run_id", "bucket")
 
 
 # --- telemetry alerts -------------------------------------------------------

@@ -70,6 +70,18 @@ RUN = _schema(
     ("error_message", _s),
 )
 
+# one row per satellite as stored: the run that saw it last decides its names
+SATELLITE = _schema(
+    ("norad_cat_id", _l),
+    ("object_name", _s),
+    ("object_id", _s),
+    ("source_name", _s),
+    ("first_seen_at", _ts),
+    ("last_seen_at", _ts),
+    ("last_run_id", _l),
+    ("bucket", _i),
+)
+
 POLICY = _schema(
     ("policy", _s),
     ("measurement_name", _s),

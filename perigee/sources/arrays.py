@@ -11,6 +11,7 @@ from its parts. Texts of whole items are never shuffled.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perigee.sources import payloads
 
 # the scan travels with the job: executors need only numpy, pandas and pyarrow
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LINE_END = "}"
 NOT_JSON = "item_not_json"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -72,6 +75,77 @@ def replace_run(rows: DataFrame, schema: T.StructType, path: str, run_id: int) -
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def replace_part(rows: DataFrame, schema: T.StructType, path: str, key: str, value: int, by: str) -> None:
+    """Store one numbered part of a table, a directory of its own below ``path``, split by
+    the column ``by``: only the directories of values the rows hold are made."""
+    rows = conform(rows, schema).repartition(by)
+    rows.write.mode("overwrite").partitionBy(by).parquet(f"{path}/{key}={value}")
+
+
+def read_parts(spark: SparkSession, schema: T.StructType, path: str, key: str, values: list[int]) -> DataFrame:
+    """The rows of the numbered parts; parts without rows, or never written, have none.
+
+    Listing prunes to the parts, and a filter on the column they are split by to its
+    directories.
+    """
+    found = spark.createDataFrame([], schema)
+    there = [f"{path}/{key}={value}" for value in values if has_files(spark, f"{path}/{key}={value}")]
+    if not there:
+        return found
+    return spark.read.schema(schema).option("basePath", path).parquet(*there).select(*schema.fieldNames())
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a directory holds anything but its marks of completion."""
+    return any(not name.startswith(("_", ".")) for name in names_in(spark, path))
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a directory, none while it does not exist."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(place)]
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Put an empty file where none is; only one of several callers gets True.
+
+    Rests on the file system's create-if-absent, which Hadoop's client for local files
+    does not keep apart from a test before; these are made by the operating system.
+    """
+    system, place = _file_system(spark, path)
+    if system.getUri().getScheme() == "file":
+        local = Path(place.toUri().getPath())
+        local.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            local.touch(exist_ok=False)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        return system.createNewFile(place)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in str(error.java_exception.getClass()):
+            raise
+        return False
+
+
+def claim_number(spark: SparkSession, path: str) -> int:
+    """A number that no other caller has: the next one above those claimed, or the first
+    above that which nobody else takes meanwhile."""
+    number = max([int(name) for name in names_in(spark, path) if name.isdigit()], default=0) + 1
+    while not claim(spark, f"{path}/{number}"):
+        number += 1
+    return number
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project to a schema's columns and types."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
 import pytest
@@ -173,3 +174,88 @@ def test_upsert_keeps_first_sighting(spark):
     assert {k: r["object_name"] for k, r in rows.items()} == {1: "new name", 2: "fresh", 3: "kept"}
     assert rows[1]["last_seen_at"] - rows[1]["first_seen_at"] == timedelta(days=9)
     assert rows[2]["last_seen_at"] == rows[2]["first_seen_at"]
+
+
+def plain(frame):
+    return sorted(tuple(r[c] for c in sorted(frame.columns)) for r in frame.collect())
+
+
+def derived(store):
+    """The satellite table from all visible snapshots, as it was before it was stored."""
+    seen = store.snapshots().withColumn("source_name", F.col("source.name"))
+    return history.satellites_seen(seen, [F.col(c) for c in ("ingested_at", "run_id", "record_position", "raw_record_json")])
+
+
+def buckets_of(path, part):
+    return {p.name for p in (path / part).iterdir() if p.is_dir()}
+
+
+def test_satellites_are_stored_by_bucket_and_merged_by_readers(spark, tmp_path):
+    store = CatalogHistory(spark, str(tmp_path))
+    assert store.satellites().count() == 0
+    catalog_rows = [{**ISS, "NORAD_CAT_ID": k, "OBJECT_NAME": f"object {k}"} for k in range(40)]
+    store.ingest(record_rows(spark, *catalog_rows), INGESTED)
+    store.ingest(record_rows(spark, {**OLD, "NORAD_CAT_ID": 7}, {**OLD, "NORAD_CAT_ID": 99}), INGESTED + timedelta(hours=1))
+    assert plain(store.satellites()) == plain(derived(store)) and store.satellites().count() == 41
+    # the second run touched the buckets of its two ids only
+    assert 1 <= len(buckets_of(tmp_path / "satellite_sightings", "run=2")) <= 2
+    one = store.satellites(7)
+    assert [(r["object_name"], r["last_seen_at"] - r["first_seen_at"]) for r in one.collect()] == [("KESTREL 4", timedelta(hours=1))]
+    used = {str(p).split("satellite_sightings/")[1].split("/part")[0] for p in one.inputFiles()}
+    assert all("bucket" in u for u in used)
+    assert all("/satellite_sightings/" in p and "/orbit_snapshots/" not in p for p in store.satellites().inputFiles())
+
+
+def test_compaction_changes_no_row_and_later_runs_merge_with_it(spark, tmp_path):
+    store = CatalogHistory(spark, str(tmp_path))
+    store.ingest(record_rows(spark, ISS, OLD), INGESTED)
+    store.ingest(record_rows(spark, {**ISS, "OBJECT_NAME": "second"}), INGESTED + timedelta(hours=1))
+    before = plain(store.satellites())
+    store.compact_satellites()
+    assert plain(store.satellites()) == before
+    assert "run=" not in str(store.satellites().inputFiles())
+    store.ingest(record_rows(spark, NO_EPOCH, {**ISS, "OBJECT_NAME": "third"}), INGESTED + timedelta(hours=2))
+    assert plain(store.satellites()) == plain(derived(store)) and store.satellites().count() == 3
+    store.compact_satellites()
+    # a run that is repeated after a base took it in counts as it is now
+    store.ingest(record_rows(spark, {**OLD, "OBJECT_NAME": "anew"}), INGESTED + timedelta(hours=1), run_id=2)
+    assert plain(store.satellites()) == plain(derived(store))
+
+
+def test_an_interrupted_update_shows_the_old_table(spark, tmp_path, monkeypatch):
+    store = CatalogHistory(spark, str(tmp_path))
+    store.ingest(record_rows(spark, ISS), INGESTED)
+    before = plain(store.satellites())
+    monkeypatch.setattr(history, "success_run", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.ingest(record_rows(spark, {**ISS, "OBJECT_NAME": "never logged"}, OLD), INGESTED + timedelta(hours=1))
+    assert plain(store.satellites()) == before and store.snapshots().count() == 1
+    monkeypatch.undo()
+    # the same for a base that was written and not logged
+    monkeypatch.setattr(store, "_log_base", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.compact_satellites()
+    assert plain(store.satellites()) == before
+
+
+def test_writers_at_the_same_time_get_ids_of_their_own(spark, tmp_path, monkeypatch):
+    one, two = (CatalogHistory(spark, str(tmp_path)) for _ in "ab")
+    assert [one.next_run_id(), two.next_run_id()] == [1, 2]
+    # both see the same claims, so both reach for the same number
+    monkeypatch.setattr(tables, "names_in", lambda *a: ["1", "2"])
+    assert [one.next_run_id(), two.next_run_id()] == [3, 4]
+    monkeypatch.undo()
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda _: CatalogHistory(spark, str(tmp_path)).next_run_id(), range(12)))
+    assert sorted(ids) == list(range(5, 17))
+
+
+def test_two_ingests_at_once_are_both_kept(spark, tmp_path):
+    stores = [CatalogHistory(spark, str(tmp_path)) for _ in "ab"]
+    rows = [record_rows(spark, ISS, {**OLD, "OBJECT_NAME": "from one"}), record_rows(spark, NO_EPOCH, {**OLD, "OBJECT_NAME": "from two"})]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: stores[k].ingest(rows[k], INGESTED + timedelta(minutes=k)), range(2)))
+    assert sorted(r["run_id"] for r in stores[0].runs().collect()) == [1, 2]
+    names = {r["norad_cat_id"]: r["object_name"] for r in stores[0].satellites().collect()}
+    assert names == {25544: "ISS (ZARYA)", 81234: "UNDATED 7", 40417: "from two"}
+    assert plain(stores[0].satellites()) == plain(derived(stores[1]))
