@@ -273,13 +273,13 @@ def open_groups(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
 
 def compared(placed: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) between alike texts of a part that are not connected yet, exactly.
+    `rows` has each text once: (node, text).
 
     In a part every text asked about is compared with all others, one after the other,
     unless it is connected with all of them by then. Links that add nothing to what is
     connected are not returned: a part gives fewer links than it has texts.
     """
-    held = rows.select("node", "text").join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sent = placed.join(held, "node")
+    sent = placed.join(rows, "node")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(text.encode(), words) for text in frame["text"]]
@@ -300,6 +300,11 @@ def compared(placed: DataFrame, rows: DataFrame, words: int, least: float) -> Da
     return sent.groupBy("part").applyInPandas(work, "a binary, b binary")
 
 
+def _copy(id_column: Column) -> Column:
+    """An id as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("+"), id_column.cast("string")), F.lit("-"))
+
+
 def alike(distinct: DataFrame, rows: DataFrame, words: int, least: float, folder: str, block: int = BLOCK) -> DataFrame:
     """(node, root) of the groups of alike texts.
 
@@ -308,6 +313,11 @@ def alike(distinct: DataFrame, rows: DataFrame, words: int, least: float, folder
     link between components is lost.
     """
     members = stored(memberships(distinct), f"{folder}/members")
+    # the texts in groups, each once; all others are not sent again
+    chosen = members.select("node").distinct().join(distinct.select("node", "first"), "node")
+    chosen = chosen.select("node", _copy(F.col("first")).alias("copy"))
+    rows = rows.select("node", _copy(F.col("id")).alias("copy"), "text").join(chosen, ["node", "copy"], "left_semi")
+    rows = stored(rows.dropDuplicates(["node", "copy"]).drop("copy"), f"{folder}/grouped-texts")
     links = stored(compared(first_texts(members, block), rows, words, least), f"{folder}/first-links")
     roots = stored(connected(links, f"{folder}/first"), f"{folder}/roots")
     more = stored(compared(open_groups(members, roots, block), rows, words, least), f"{folder}/more-links")
@@ -331,8 +341,8 @@ def one_of_each(
 
     Groups are connected over these links, and the row with the smallest id stays (an
     id before none, then the smallest text hash). Equal texts (by 128-bit hashes) are one
-    text; a null text counts as empty, and texts without words are alike. Rows may repeat, and so may ids:
-    rows are told apart by their text. An empty table stays empty.
+    text; a null text counts as empty, and texts without words are alike. Rows may
+    repeat, and so may ids: rows are told apart by their text. An empty table stays empty.
     """
     folder = folder or shared_folder(documents.sparkSession)
     node = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
@@ -350,7 +360,8 @@ def one_of_each(
     best = several.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
     dropped = several.join(best, "root").where("node <> best.node").select("node")
     kept = stored(distinct.select("node", "first").join(dropped, "node", "left_anti"), f"{folder}/kept")
-    kept = kept.select(F.col("node").alias("_node"), F.col("first").alias("_first"))
-    chosen = documents.withColumn("_text_node", node)
-    on = (F.col("_text_node") == F.col("_node")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_first"))
-    return chosen.join(kept, on, "left_semi").dropDuplicates(["_text_node"]).drop("_text_node")
+    kept = kept.select(F.col("node").alias("_text_node"), _copy(F.col("first")).alias("_text_copy"))
+    # one shuffle of the rows: copies of a text lie apart by their ids, rows that repeat meet
+    chosen = documents.withColumns({"_text_node": node, "_text_copy": _copy(F.col(f"`{id_col}`"))})
+    chosen = chosen.join(kept, ["_text_node", "_text_copy"], "left_semi").dropDuplicates(["_text_node", "_text_copy"])
+    return chosen.select(*[f"`{c}`" for c in documents.columns])

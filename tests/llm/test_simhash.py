@@ -165,7 +165,7 @@ def test_alike_texts_are_found_whatever_else_is_in_their_groups(spark, tmp_path)
 def prepared(spark, frame):
     """(node, id, text) rows, their sketches, and a folder."""
     rows = frame.select(F.unhex(F.md5("text")).alias("node"), F.col("doc_id").alias("id"), "text").cache()
-    return rows, simhash.sketches(rows, 5).drop("id").cache(), shared_folder(spark)
+    return rows, simhash.sketches(rows, 5).withColumnRenamed("id", "first").cache(), shared_folder(spark)
 
 
 def compared_in(spark, rows, block):
