@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from perigee import fixed_values as fixed
 from perigee.functions import labels, parsing
-from perigee.schemas import BRONZE, SILVER
+from perigee.schemas import BRONZE, GOLD, SILVER
 from perigee.sources import payloads
 
 
@@ -55,13 +55,13 @@ def build_rejects(records: DataFrame) -> DataFrame:
     return payloads.rejected(payloads.check_shape(records))
 
 
-def build_silver(bronze: DataFrame, tie_break: list[Column] | None = None) -> DataFrame:
+def build_silver(bronze: DataFrame, tie_break: list[Column] | None = None, keep: list[str] | None = None) -> DataFrame:
     """BRONZE to SILVER: typed, one row per (typed id, raw epoch text), labelled.
 
     The survivor of a duplicate group is the newest ingest, then ``tie_break``
     (raw record text by default). Spark trims each map task to its first row per
     key before the shuffle (window group limit), so a group of copies holding a
-    third of the input still arrives as one row per map task.
+    third of the input still arrives as one row per map task. ``keep`` carries extra columns.
     """
     order = [F.col("ingested_at").desc(), *(tie_break or [F.col("raw_record_json").asc()])]
     typed = bronze.withColumn("norad_cat_id", parsing.long_or_null(F.col("norad_cat_id")))
@@ -84,7 +84,7 @@ def build_silver(bronze: DataFrame, tie_break: list[Column] | None = None) -> Da
                 "quality_status": labels.quality(F.col("epoch"), F.col("norad_cat_id")),
             }
         )
-        .select(*SILVER.fieldNames())
+        .select(*SILVER.fieldNames(), *(keep or []))
     )
 
 
@@ -106,5 +106,46 @@ def build_gold(silver: DataFrame) -> DataFrame:
     )
 
 
+LABELS = ["metric_date", "source_name", "freshness_status", "quality_status"]
+GOLD_STATE = T.StructType(
+    [
+        *[f for f in GOLD.fields if f.name in LABELS],
+        T.StructField("satellite_count", T.LongType()),
+        T.StructField("aged_count", T.LongType()),
+        T.StructField("age_sum", T.DoubleType()),
+        T.StructField("age_min", T.DoubleType()),
+        T.StructField("age_max", T.DoubleType()),
+        T.StructField("batch", T.StringType()),
+    ]
+)
+
+
+def gold_state(silver: DataFrame) -> DataFrame:
+    """What gold needs of the silver rows of a ``batch``, per label: mergeable figures."""
+    age = "epoch_age_hours"
+    return (
+        silver.withColumn("metric_date", F.col("ingestion_date"))
+        .groupBy(*LABELS, "batch")
+        .agg(
+            F.count(F.lit(1)).alias("satellite_count"),
+            F.count(age).alias("aged_count"),
+            F.sum(age).alias("age_sum"),
+            F.min(age).alias("age_min"),
+            F.max(age).alias("age_max"),
+        )
+        .select(*GOLD_STATE.fieldNames())
+    )
+
+
+def folded_gold(state: DataFrame) -> DataFrame:
+    """GOLD from the states of any number of batches."""
+    return state.groupBy(*LABELS).agg(
+        F.sum("satellite_count").alias("satellite_count"),
+        F.try_divide(F.sum("age_sum"), F.sum("aged_count")).alias("avg_epoch_age_hours"),
+        F.min("age_min").alias("min_epoch_age_hours"),
+        F.max("age_max").alias("max_epoch_age_hours"),
+    )
+
+
 def ordered_gold(gold: DataFrame) -> DataFrame:
     return gold.orderBy("metric_date", "source_name", "freshness_status", "quality_status")

@@ -110,6 +110,7 @@ GOLD_ROUNDED = """
          round(max_epoch_age_hours, 6) AS max_epoch_age_hours
   FROM gold_rows"""
 _oracle("gold_freshness_metrics", GOLD_ROUNDED + " ORDER BY 1, 2, 3, 4")
+_oracle("gold_incremental", GOLD_ROUNDED + " ORDER BY 1, 2, 3, 4")
 _oracle("gold_load_contract", GOLD_ROUNDED)
 _oracle(
     "kpi_freshness_by_date",

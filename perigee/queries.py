@@ -10,8 +10,9 @@ from perigee import bindings
 from perigee.functions import frames
 from perigee.operators import alerts, catalog, ephemeris, history, layers, metrics, timegrid, visibility
 from perigee.plans import tracking
+from perigee.plans.layered import LayerStore
 from perigee.session import configure
-from perigee.sources import payloads
+from perigee.sources import payloads, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +98,18 @@ def kpi_freshness_pivot(spark, sf_dir):
     return metrics.freshness_pivot(_gold(spark, sf_dir))
 
 
+@query
+def gold_incremental(spark, sf_dir):
+    """Gold of three batches that share copies, landed one after the other, the second
+    one twice: once with the records of the third."""
+    records = bindings.raw_orbit_records(spark, sf_dir)
+    store = LayerStore(spark, tables.scratch_folder(spark))
+    part = lambda k: records.where(F.col("event_id") % 3 == k)
+    for batch, rows in (("first", part(0)), ("second", part(2)), ("third", part(2)), ("second", part(1))):
+        store.land(rows, bindings.INGESTED_AT, batch)
+    return layers.ordered_gold(rounded(store.gold(), 6, *AGES))
+
+
 @query
 def gold_load_contract(spark, sf_dir):
     return rounded(metrics.gold_load_rows(_gold(spark, sf_dir)).drop("loaded_at"), 6, *AGES)

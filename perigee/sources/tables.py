@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -95,6 +97,20 @@ def read_parts(spark: SparkSession, schema: T.StructType, path: str, key: str, v
     return spark.read.schema(schema).option("basePath", path).parquet(*there).select(*schema.fieldNames())
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, and the master is local, a temporary folder is set and used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="perigee-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/perigee-{uuid.uuid4().hex}"
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
