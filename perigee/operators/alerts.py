@@ -17,7 +17,7 @@ the last severity) is computed on one summary row per segment and joined back.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from perigee import fixed_values as fixed
 from perigee.functions import labels, parsing
@@ -93,10 +93,30 @@ def cuts(samples: DataFrame, segment_rows: int) -> DataFrame:
     return sizes.where(F.col("_n") > segment_rows).select(*ENTITY, kept.alias("_cuts"))
 
 
+# what a series carries from one slice of telemetry to the next, per policy and metric: the
+# counters and the last qualified severity since its last info sample, and the place of its
+# last sample; with no metric, how many events the series has had under the policy
+STATE = T.StructType(
+    [
+        T.StructField("entity_id", T.LongType()),
+        T.StructField("scenario", T.StringType()),
+        T.StructField("policy", T.StringType()),
+        T.StructField("measurement_name", T.StringType()),
+        T.StructField("n_warning", T.LongType()),
+        T.StructField("n_critical", T.LongType()),
+        T.StructField("severity", T.StringType()),
+        T.StructField("last_sequence_count", T.LongType()),
+        T.StructField("last_sample_ordinal", T.LongType()),
+        T.StructField("events", T.LongType()),
+    ]
+)
+
+
 def threshold_events(
-    samples: DataFrame, policies: DataFrame, segment_rows: int = SEGMENT_ROWS
+    samples: DataFrame, policies: DataFrame, segment_rows: int = SEGMENT_ROWS, state: DataFrame | None = None
 ) -> DataFrame:
-    """Alert events of every entity under every policy.
+    """Alert events of every entity under every policy; after ``state``, if that is given,
+    as if the samples behind it came before.
 
     A sample counts when its severity was reached ``required_persistence`` times
     since the metric's last ``info`` sample (not necessarily in a row), and an event
@@ -104,13 +124,59 @@ def threshold_events(
     same stretch. Measures entity sizes first (one narrow aggregation) to decide
     whether any series has to be cut.
     """
+    graded, cut = _graded(samples, policies, segment_rows, state is not None)
+    emitted = _severity_changes(graded, cut, state)
+    return _describe(_number(emitted, cut, state))
+
+
+def alert_state(
+    samples: DataFrame, policies: DataFrame, events: DataFrame, state: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """STATE behind the samples, of which ``events`` were the events; one row per series,
+    policy and metric, and one per series and policy that had events. Series without new
+    samples keep theirs."""
+    graded, _ = _graded(samples, policies, segment_rows, True)
+    by_series = Window.partitionBy(*SERIES).orderBy(F.col("segment").desc())
+    last = _summaries(_stretches(graded, True), state).withColumn("_rank", F.row_number().over(by_series)).where("_rank = 1")
+    metrics = last.select(
+        *SERIES,
+        F.col("out_warning").alias("n_warning"),
+        F.col("out_critical").alias("n_critical"),
+        F.col("out_severity").alias("severity"),
+        F.col("out_last.sequence_count").alias("last_sequence_count"),
+        F.col("out_last.sample_ordinal").alias("last_sample_ordinal"),
+    )
+    counts = events.groupBy(*ENTITY, "policy").agg(F.count(F.lit(1)).alias("events"))
+    if state is not None:
+        earlier = state.where("measurement_name is null").select(*ENTITY, "policy", "events")
+        counts = counts.unionByName(earlier).groupBy(*ENTITY, "policy").agg(F.sum("events").alias("events"))
+    return conform(metrics.unionByName(counts, allowMissingColumns=True), STATE)
+
+
+def late_samples(samples: DataFrame, state: DataFrame) -> DataFrame:
+    """Samples that are not behind the last one of their series and metric that ``state`` knows."""
+    last = state.where("measurement_name is not null").groupBy(*ENTITY, "measurement_name").agg(
+        F.max(F.struct("last_sequence_count", "last_sample_ordinal")).alias("_last")
+    )
+    place = F.struct("sequence_count", "sample_ordinal")
+    return _watched_form(samples).join(last, [*ENTITY, "measurement_name"]).where(place <= F.col("_last")).drop("_last")
+
+
+def _watched_form(samples: DataFrame) -> DataFrame:
     samples = _with_scenario(samples).select(*SAMPLE_COLUMNS)
-    samples = samples.withColumn("scenario", F.coalesce("scenario", F.lit(fixed.DEFAULT_SCENARIO)))
+    return samples.withColumn("scenario", F.coalesce("scenario", F.lit(fixed.DEFAULT_SCENARIO)))
+
+
+def _graded(samples: DataFrame, policies: DataFrame, segment_rows: int, segments: bool) -> tuple[DataFrame, bool]:
+    """Watched samples with their severity under each policy, placed by series (and by
+    segment, if a series has to be cut or ``segments`` asks for it)."""
+    samples = _watched_form(samples)
     thresholds = hinted(policies.select(*THRESHOLD_COLUMNS))
     watched = samples.join(hinted(policies.select("measurement_name")), ["measurement_name"], "left_semi")
     hot = cuts(watched, segment_rows)
-    cut = not at_most(hot, 0)
-    if cut:
+    long_series = not at_most(hot, 0)
+    cut = long_series or segments
+    if long_series:
         here = F.struct("sequence_count", "sample_ordinal")
         segment = F.size(F.filter("_cuts", lambda place: place <= here))
         watched = watched.join(hot, ENTITY, "left")
@@ -128,8 +194,7 @@ def threshold_events(
         .withColumn("threshold", labels.threshold_hit(F.col("severity"), F.col("warning"), F.col("critical")))
         .drop("direction", "warning", "critical")
     )
-    emitted = _severity_changes(graded, cut)
-    return _describe(_number(emitted, cut))
+    return graded, cut
 
 
 def _with_scenario(samples: DataFrame) -> DataFrame:
@@ -145,19 +210,23 @@ def _order() -> list[Column]:
 SERIES = [*ENTITY, "policy", "measurement_name"]
 
 
-def _severity_changes(graded: DataFrame, cut: bool) -> DataFrame:
-    series = [*SERIES, "segment"] if cut else SERIES
-    by_series = Window.partitionBy(*series).orderBy(*_order())
-    # stretches between info samples; those samples only delimit
+def _stretches(graded: DataFrame, cut: bool) -> DataFrame:
+    """Number the stretches between info samples; those samples only delimit."""
+    by_series = Window.partitionBy(*([*SERIES, "segment"] if cut else SERIES)).orderBy(*_order())
     so_far = by_series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stretches = graded.withColumn("stretch", F.count_if(F.col("severity") == "info").over(so_far))
+    return graded.withColumn("stretch", F.count_if(F.col("severity") == "info").over(so_far))
+
+
+def _severity_changes(graded: DataFrame, cut: bool, state: DataFrame | None) -> DataFrame:
+    series = [*SERIES, "segment"] if cut else SERIES
+    stretches = _stretches(graded, cut)
     alerting = stretches.where(F.col("severity") != "info")
     reached = F.row_number().over(Window.partitionBy(*series, "stretch", "severity").orderBy(*_order()))
     before = F.lit(None).cast("string")
     if cut:
         alerting = _attach(
             alerting,
-            _carry(stretches),
+            _carry(_summaries(stretches, state)),
             ["policy", "measurement_name"],
             ["carry_warning", "carry_critical", "carry_severity"],
         )
@@ -178,9 +247,9 @@ def _severity_changes(graded: DataFrame, cut: bool) -> DataFrame:
     )
 
 
-def _carry(stretches: DataFrame) -> DataFrame:
-    """What each segment inherits: counters and last qualified severity of the
-    stretch still open at its start. One row per series and segment."""
+def _summaries(stretches: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Counters and last qualified severity of the stretch that is open at the end of each
+    segment. One row per series and segment; what ``state`` carries in is segment -1."""
     at = F.struct("sequence_count", "sample_ordinal")
     is_warning, is_critical = F.col("severity") == "warning", F.col("severity") == "critical"
     # per stretch first, so the open (last) stretch of the segment can be picked
@@ -190,13 +259,25 @@ def _carry(stretches: DataFrame) -> DataFrame:
         F.max(F.when(is_warning, at)).alias("at_warning"),
         F.max(F.when(is_critical, at)).alias("at_critical"),
         F.max("required_persistence").alias("required"),
+        F.max(at).alias("last"),
     )
     open_stretch = per_stretch.groupBy(*SERIES, "segment").agg(
         F.max_by(
-            F.struct("n_warning", "n_critical", "at_warning", "at_critical", "required", "stretch"), "stretch"
+            F.struct("n_warning", "n_critical", "at_warning", "at_critical", "required", "stretch", "last"), "stretch"
         ).alias("t")
     )
-    summary = open_stretch.select(*SERIES, "segment", "t.*")
+    summary = open_stretch.select(*SERIES, "segment", "t.*").withColumn("before", F.lit(None).cast("string"))
+    if state is not None:
+        carried = state.where("measurement_name is not null").select(
+            *SERIES,
+            F.lit(-1).alias("segment"),
+            "n_warning",
+            "n_critical",
+            F.lit(0).cast("bigint").alias("stretch"),
+            F.struct(F.col("last_sequence_count").alias("sequence_count"), F.col("last_sample_ordinal").alias("sample_ordinal")).alias("last"),
+            F.col("severity").alias("before"),
+        )
+        summary = summary.unionByName(carried, allowMissingColumns=True)
     by_segment = Window.partitionBy(*SERIES).orderBy("segment")
     # consecutive segments without info share one open stretch
     summary = summary.withColumn(
@@ -221,10 +302,19 @@ def _carry(stretches: DataFrame) -> DataFrame:
         .when(last_critical.isNull() | (last_warning > last_critical), "warning")
         .otherwise("critical")
     )
-    summary = summary.withColumn("segment_severity", latest)
-    summary = summary.withColumn(
-        "out_severity", F.last("segment_severity", ignorenulls=True).over(in_run)
+    summary = summary.withColumn("segment_severity", F.coalesce("before", latest))
+    summary = summary.withColumns(
+        {
+            "out_severity": F.last("segment_severity", ignorenulls=True).over(in_run),
+            "out_last": F.max("last").over(by_segment),
+        }
     )
+    return summary
+
+
+def _carry(summary: DataFrame) -> DataFrame:
+    """What each segment inherits from the one before it."""
+    by_segment = Window.partitionBy(*SERIES).orderBy("segment")
     return summary.select(
         *SERIES,
         "segment",
@@ -250,7 +340,7 @@ def _attach(rows: DataFrame, summary: DataFrame, by: list[str], values: list[str
     return found.withColumns({v: F.col(f"_found.{v}") for v in values}).drop("_folded", "_found")
 
 
-def _number(events: DataFrame, cut: bool) -> DataFrame:
+def _number(events: DataFrame, cut: bool, state: DataFrame | None) -> DataFrame:
     """Number a series' events under a policy in emission order over all metrics."""
     if not cut:
         numbering = Window.partitionBy(*ENTITY, "policy").orderBy(*_order())
@@ -261,11 +351,11 @@ def _number(events: DataFrame, cut: bool) -> DataFrame:
         .orderBy("segment")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        events.groupBy(*ENTITY, "policy", "segment")
-        .count()
-        .select(*ENTITY, "policy", "segment", F.sum("count").over(earlier).alias("earlier"))
-    )
+    counts = events.groupBy(*ENTITY, "policy", "segment").agg(F.count(F.lit(1)).alias("n"))
+    if state is not None:
+        had = state.where("measurement_name is null")
+        counts = counts.unionByName(had.select(*ENTITY, "policy", F.lit(-1).alias("segment"), F.col("events").alias("n")))
+    offsets = counts.select(*ENTITY, "policy", "segment", F.sum("n").over(earlier).alias("earlier"))
     numbered = _attach(events, offsets, ["policy"], ["earlier"])
     return numbered.withColumn("event_no", (local + F.coalesce("earlier", F.lit(0))).cast("int")).drop("earlier")
 
@@ -343,7 +433,9 @@ def policy_facts(events: DataFrame) -> DataFrame:
 
 def policy_comparison(samples: DataFrame, events: DataFrame, policies: DataFrame) -> DataFrame:
     """One row per entity and policy, entities and policies without events included."""
-    guidance = policies.select("policy", "recommended_action", "notes").distinct()
+    # one row a policy: where its rows differ in their guidance, the first in order counts
+    one = F.min(F.struct("recommended_action", "notes")).alias("_one")
+    guidance = policies.groupBy("policy").agg(one).select("policy", "_one.*")
     entities = _with_scenario(samples).select(
         "entity_id", F.coalesce("scenario", F.lit(fixed.DEFAULT_SCENARIO)).alias("scenario")
     )

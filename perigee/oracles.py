@@ -308,6 +308,7 @@ _oracle(
          true AS is_simulated
   FROM alert_rows""",
 )
+ORACLES["threshold_events_sliced"] = ORACLES["threshold_events"]
 FRAGMENTS["comparison_rows"] = """
   SELECT e.user_id AS entity_id, e.scenario, p.policy,
          count(a.event_no) AS event_count, count(*) FILTER (a.severity = 'critical') AS critical_count,

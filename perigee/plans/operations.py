@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from perigee.operators import alerts
+from perigee.sources import tables
 
 
 def compare_policies(
@@ -27,3 +28,33 @@ def compare_policies(
         "comparison": comparison,
         "runbook": alerts.runbook_summary(comparison),
     }
+
+
+def continue_events(
+    samples: DataFrame, policies: DataFrame, root: str, slice_number: int, segment_rows: int = alerts.SEGMENT_ROWS
+) -> DataFrame:
+    """Events of the next slice of telemetry, numbered and judged as in one pass over all.
+
+    Slices come in order of time, from 1 on. Each one stores its events and the state of
+    all series behind it; the state of the slice before is all that is read of the past.
+    Running a slice again replaces what it stored. Samples that should have been in an
+    earlier slice are an error, as the events behind them are out already.
+    """
+    spark = samples.sparkSession
+    state_path, events_path = f"{root.rstrip('/')}/alert_state", f"{root.rstrip('/')}/alert_events"
+    state = None
+    if slice_number > 1:
+        before = f"{state_path}/slice={slice_number - 1}"
+        if not tables.names_in(spark, before):
+            raise ValueError(f"slice {slice_number - 1} has not been run")
+        state = spark.read.schema(alerts.STATE).parquet(before)
+        late = alerts.late_samples(samples, state).limit(1).count()
+        if late:
+            raise ValueError("samples come late: their series was judged beyond them")
+    path = f"{events_path}/slice={slice_number}"
+    events = alerts.threshold_events(samples, policies, segment_rows, state)
+    events.write.mode("overwrite").parquet(path)
+    events = spark.read.schema(events.schema).parquet(path)
+    behind = alerts.alert_state(samples, policies, events, state, segment_rows)
+    behind.write.mode("overwrite").parquet(f"{state_path}/slice={slice_number}")
+    return events

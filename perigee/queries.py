@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from perigee import bindings
 from perigee.functions import frames
 from perigee.operators import alerts, catalog, ephemeris, history, layers, metrics, timegrid, visibility
-from perigee.plans import tracking
+from perigee.plans import operations, tracking
 from perigee.plans.layered import LayerStore
 from perigee.session import configure
 from perigee.sources import payloads, tables
@@ -215,6 +215,18 @@ def threshold_events(spark, sf_dir):
     return _events(spark, sf_dir)
 
 
+@query
+def threshold_events_sliced(spark, sf_dir):
+    """The events of three slices of time, one after the other."""
+    root = tables.scratch_folder(spark)
+    telemetry = bindings.telemetry(spark, sf_dir)
+    policies = bindings.telemetry_policies(spark)
+    day = F.dayofmonth("source_event_time")
+    slices = [day <= 10, (day > 10) & (day <= 20), day > 20]
+    events = [operations.continue_events(telemetry.where(part), policies, root, k + 1) for k, part in enumerate(slices)]
+    return events[0].unionByName(events[1]).unionByName(events[2])
+
+
 @query
 def policy_comparison(spark, sf_dir):
     return _comparison(spark, sf_dir)

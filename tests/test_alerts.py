@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perigee.functions import parsing
 from perigee.operators import alerts
-from perigee.plans.operations import compare_policies
+from perigee.plans.operations import compare_policies, continue_events
 from tests.samples import utc
 
 START = utc(2026, 5, 28, 2, 50, 5)
@@ -93,6 +93,56 @@ def test_windows_equal_the_loop_whole_and_cut(spark, seed, segment_rows):
     assert spark_events(samples(spark, rows), policies, rows, segment_rows=segment_rows) == expected
 
 
+@pytest.mark.parametrize(("seed", "segment_rows"), [(4, 1_000_000), (5, 11)])
+def test_slices_of_time_give_the_events_of_one_pass(spark, tmp_path, seed, segment_rows):
+    rng = random.Random(seed)
+    rows, ordinal = [], 0
+    for entity, steps in ((1, 60), (2, 24), (3, 4)):
+        hot = 0
+        for seq in range(steps):
+            hot = hot - 1 if hot else (rng.randint(5, 25) if rng.random() < 0.2 else 0)
+            for metric in ("temp", "volt"):
+                level = rng.choice("wc" if hot else "iwc")
+                value = {"i": 7, "w": 12, "c": 25}[level] if metric == "temp" else {"i": 7, "w": 4, "c": 1}[level]
+                rows.append((entity, seq, ordinal, metric, metric, value))
+                ordinal += 1
+    policies = alerts.policy_table(spark, POLICIES)
+    pick = ["entity_id", "policy", "event_no", "event_id", "event_time", "triggered_by", "severity"]
+    expected = alerts.threshold_events(samples(spark, rows), policies).select(*pick).collect()
+    found = []
+    # the second slice has no sample of entity 3, and the fourth none of entity 2
+    for number, (low, high) in enumerate(((0, 9), (9, 13), (13, 30), (30, 60))):
+        part = samples(spark, [r for r in rows if low <= r[1] < high])
+        found += continue_events(part, policies, str(tmp_path), number + 1, segment_rows).select(*pick).collect()
+    assert sorted(found) == sorted(expected) and len(expected) == len(loop_events(rows, POLICIES)) > 30
+    state = spark.read.parquet(f"{tmp_path}/alert_state/slice=4")
+    assert state.where("measurement_name is not null").count() == 3 * 4
+
+
+def test_slices_are_stored_and_repeated(spark, tmp_path):
+    policies = alerts.policy_table(spark, POLICIES)
+    rows = [(1, k, k, "t", "temp", (7, 12, 25)[k * 7 % 3]) for k in range(30)]
+    expected = sorted(alerts.threshold_events(samples(spark, rows), policies).collect())
+    part = lambda a, b: samples(spark, rows[a:b])
+    run = lambda number, a, b: continue_events(part(a, b), policies, str(tmp_path), number)
+    first = run(1, 0, 11).collect()
+    with pytest.raises(ValueError, match="has not been run"):
+        run(3, 11, 30)
+    second = run(2, 11, 30).collect()
+    assert sorted(first + second) == expected
+    assert sorted(first + run(2, 11, 30).collect()) == expected
+    with pytest.raises(ValueError, match="late"):
+        run(3, 29, 30)
+    assert run(3, 0, 0).count() == 0
+
+
+def test_guidance_is_one_row_a_policy(spark):
+    policies = alerts.policy_table(spark, [(*p[:7], f"note {k}") for k, p in enumerate(POLICIES[:2])])
+    frame = samples(spark, [(1, 0, 0, "t", "temp", 25.0)])
+    rows = alerts.policy_comparison(frame, alerts.threshold_events(frame, policies), policies).collect()
+    assert [(r["policy"], r["notes"], r["event_count"]) for r in rows] == [("eager", "note 0", 1)]
+
+
 @pytest.mark.parametrize("segment_rows", [1_000_000, 5])
 def test_scenarios_are_series_of_their_own(spark, segment_rows):
     rng = random.Random(11)
