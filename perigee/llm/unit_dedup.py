@@ -179,6 +179,8 @@ def deduplicate(
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "first")
     grouped = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
     kept = grouped.select("digest", *[F.col(f"kept.{x}").alias(f"kept_{x}") for x in ("id", "key", "first")])
+    # written, so that both sides of the join are plain shuffles and a hot digest can be split
+    kept = stored(kept, f"{folder}/kept")
     other = ~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
     gone = found.join(kept, "digest").where(other | ((F.col("first") != F.col("kept_first")) & ~F.col("loops")))
     gone = gone.groupBy("id", "key").agg(F.collect_set(F.struct("inner", "first", "last")).alias("gone"))
