@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from math import pi
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from perigee.functions import frames
 from perigee.operators import timegrid
@@ -239,3 +239,29 @@ def position_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         F.col("user_id").alias("norad_cat_id"), F.col("event_id").alias("request_id"), F.col("ts").alias("requested_at")
     )
+
+
+def landed_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as landed station rows, some of them out of range or without a value."""
+    k = F.col("n_nationkey").cast("bigint")
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("station"),
+        (F.lit(-84.0) + k * 9).alias("latitude_deg"),
+        F.when(k % 11 != 5, (k * 37 % 400 - F.lit(180.0))).alias("longitude_deg"),
+        F.when(k % 7 == 3, F.lit(float("nan"))).otherwise((k * 500).cast("double")).alias("altitude_m"),
+    )
+
+
+RECORDS_PER_FILE = 50_000
+
+
+def landed_array_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Orbit records of the events as files of one JSON array each, of bounded size."""
+    records = raw_orbit_records(spark, sf_dir).where(F.col("copy") == 1)
+    marked = records.withColumn("file", F.floor(F.col("event_id") / RECORDS_PER_FILE))
+    with_id = F.concat(F.lit('{"EVENT_ID": '), "event_id", F.lit(", "), F.expr("substring(record_text, 2)"))
+    in_file = Window.partitionBy("file").orderBy("event_id")
+    first = F.row_number().over(in_file) == 1
+    last = F.lead("event_id").over(in_file).isNull()
+    line = F.concat(F.when(first, "[").otherwise(" ,"), with_id, F.when(last, "]").otherwise(""))
+    marked.select("file", line.alias("value")).write.partitionBy("file").text(folder)

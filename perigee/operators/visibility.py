@@ -6,13 +6,14 @@ longitude_deg, altitude_km. Stations are rows of ``schemas.STATION``.
 
 from __future__ import annotations
 
+from datetime import datetime
 from math import acos, cos, degrees, radians, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.functions import frames
-from perigee.operators.params import require_between
+from perigee.operators.params import require_between, utc_micros
 
 # Cells of the sub-satellite point used as a join key, and the altitude bands a
 # station's reach is computed for (the last one has no upper end).
@@ -214,3 +215,19 @@ def nest_windows(windows: DataFrame) -> DataFrame:
     return windows.groupBy("norad_cat_id", "station").agg(
         F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(item)).alias("windows")
     )
+
+
+def page_windows(windows: DataFrame, origin: datetime, page_seconds: int) -> DataFrame:
+    """Ordered window lists per satellite, station and page of time, for responses of any
+    length: page ``n`` holds the windows that start in the n-th ``page_seconds`` from
+    ``origin`` on. A row holds one window for every two instants of its page at most,
+    however long the job's grid is; a hot pair is spread over its pages.
+    """
+    if page_seconds <= 0:
+        raise ValueError("a page needs more than zero seconds")
+    since = F.unix_micros("start") - F.lit(utc_micros(origin))
+    page = F.floor(since / F.lit(page_seconds * 1_000_000)).cast("bigint")
+    item = F.struct("start", "end", "peak_at", "duration_seconds", "max_elevation_deg")
+    return windows.groupBy("norad_cat_id", "station", page.alias("page")).agg(
+        F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(item)).alias("windows")
+    )

@@ -684,3 +684,55 @@ _oracle(
     "sgp4_contact_windows",
     "SELECT * REPLACE (round(max_elevation_deg, 4) AS max_elevation_deg) FROM sgp_windows",
 )
+
+# --- arrays, codec, pages and checks ----------------------------------------
+_oracle(
+    "landed_array_items",
+    """
+  SELECT event_id, row_number() OVER (PARTITION BY event_id // 50000 ORDER BY event_id) - 1 AS record_position,
+         id_text AS norad_cat_id, epoch_raw, motion_text AS mean_motion_raw, NULL::VARCHAR AS reject_reason
+  FROM raw_records WHERE copy = 1""",
+)
+FRAGMENTS["canonical_rows"] = """
+  SELECT event_id, copy,
+         '{"ECCENTRICITY":"' || eccentricity_text || '"'
+           || CASE WHEN epoch_raw IS NULL THEN '' ELSE ',"EPOCH":"' || epoch_raw || '"' END
+           || ',"INCLINATION":' || inclination_text || ',"MEAN_MOTION":"' || motion_text
+           || '","NORAD_CAT_ID":"' || id_text || '","OBJECT_ID":"' || object_id
+           || '","OBJECT_NAME":"' || object_name || '"}' AS canonical_text
+  FROM raw_records"""
+_oracle(
+    "canonical_records",
+    """
+  SELECT event_id, copy, canonical_text, sha256(canonical_text) AS digest, false AS drifts, NULL::VARCHAR AS reject_reason
+  FROM canonical_rows""",
+)
+_oracle(
+    "stored_row_round_trip",
+    """
+  SELECT event_id, copy,
+         '{"name":"' || source_name || '","url":"' || source_url || '","type":"' || source_type || '"}' AS source_json,
+         true AS same
+  FROM (SELECT event_id, copy, """
+    + SOURCE.format(p="source_")
+    + """ FROM raw_records)""",
+)
+_oracle(
+    "nested_windows",
+    """
+  SELECT norad_cat_id, station, page, count(*) AS "count", count(*) AS list_size, min("start") AS first_start,
+         max("start") AS last_start, max("end") AS last_end
+  FROM (SELECT *, (epoch_us("start") - epoch_us(TIMESTAMP '2024-01-01')) // 1800000000 AS page FROM circular_windows)
+  GROUP BY norad_cat_id, station, page""",
+)
+_oracle(
+    "station_quarantine",
+    """
+  SELECT station, status, count(*) OVER () AS row_count, count(*) FILTER (status = 'ok') OVER () AS kept_count,
+         count(*) FILTER (status <> 'ok') OVER () AS rejected_count, true AS complete
+  FROM (SELECT n_name AS station,
+               CASE WHEN NOT (-84 + n_nationkey * 9 BETWEEN -90 AND 90) THEN 'latitude_deg_out_of_range'
+                    WHEN n_nationkey % 11 = 5 OR NOT (n_nationkey * 37 % 400 - 180 BETWEEN -180 AND 180) THEN 'longitude_deg_out_of_range'
+                    WHEN n_nationkey % 7 = 3 OR n_nationkey * 500 > 10000 THEN 'altitude_m_out_of_range'
+                    ELSE 'ok' END AS status FROM nation)""",
+)

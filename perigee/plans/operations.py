@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from perigee.operators import alerts
+from perigee.operators import alerts, checks
 from perigee.sources import tables
 
 
@@ -13,11 +13,14 @@ def compare_policies(
 ) -> dict[str, DataFrame]:
     """Events, comparison and runbook for telemetry under the given policies.
 
-    With ``events_path`` the events are written there once and read back for the
+    Policy rows that can't be judged by take no part and are returned with what is wrong
+    (``rejected_policies``). With ``events_path`` the events are written there once and read back for the
     rest, so the telemetry is not worked through again for each result.
     """
     spark = samples.sparkSession
     policies = policies if policies is not None else alerts.default_policies(spark)
+    checked = checks.with_policy_status(policies)
+    policies = checked.where(F.col("status") == checks.OK).drop("status")
     events = alerts.threshold_events(samples, policies)
     if events_path is not None:
         events.write.mode("overwrite").parquet(events_path)
@@ -27,6 +30,7 @@ def compare_policies(
         "events": events,
         "comparison": comparison,
         "runbook": alerts.runbook_summary(comparison),
+        "rejected_policies": checked.where(F.col("status") != checks.OK),
     }
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from perigee import fixed_values as fixed
-from perigee.operators import catalog as cat, ephemeris, timegrid, visibility
+from perigee.operators import catalog as cat, checks, ephemeris, timegrid, visibility
 from perigee.operators.params import require_between
 
 
@@ -87,7 +87,8 @@ def catalog_contact_windows(
     min_elevation_deg: float = fixed.DEFAULT_MIN_ELEVATION_DEG,
 ) -> DataFrame:
     """Contact windows of every satellite over every station; ``catalog_contact_summary``
-    has what gave none."""
+    has what gave none. Stations out of range have none: ``checks.quarantined`` lists them."""
+    stations, _ = checks.quarantined(stations)
     states = _contact_states(catalog, start, end, step_seconds)
     return visibility.contact_windows(states.where(F.col("status") == "ok"), stations, min_elevation_deg)
 

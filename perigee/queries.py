@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from perigee import bindings
 from perigee.functions import frames
-from perigee.operators import alerts, catalog, ephemeris, history, layers, metrics, timegrid, visibility
+from perigee.operators import alerts, catalog, checks, codec, ephemeris, history, layers, metrics, timegrid, visibility
 from perigee.plans import operations, tracking
 from perigee.plans.layered import LayerStore
 from perigee.session import configure
-from perigee.sources import payloads, tables
+from perigee.sources import arrays, payloads, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +73,33 @@ def bronze_rejects(spark, sf_dir):
     return layers.build_rejects(records).select("event_id", "record_text", "reject_reason")
 
 
+@query
+def landed_array_items(spark, sf_dir):
+    """Items of landed JSON arrays with their places, cut by byte ranges."""
+    folder = tables.scratch_folder(spark)
+    bindings.landed_array_files(spark, sf_dir, folder)
+    items = arrays.read_record_arrays(spark, f"{folder}/file=*")
+    field = lambda name: F.get_json_object("record_text", f"$.{name}")
+    return items.select(
+        field("EVENT_ID").cast("bigint").alias("event_id"),
+        "record_position",
+        field("NORAD_CAT_ID").alias("norad_cat_id"),
+        field("EPOCH").alias("epoch_raw"),
+        field("MEAN_MOTION").alias("mean_motion_raw"),
+        "reject_reason",
+    )
+
+
+@query
+def canonical_records(spark, sf_dir):
+    return codec.canonical_records(bindings.raw_orbit_records(spark, sf_dir), ["event_id", "copy"])
+
+
+@query
+def stored_row_round_trip(spark, sf_dir):
+    return codec.round_trips(_catalog(spark, sf_dir), ["event_id", "copy"])
+
+
 @query
 def silver_orbit_snapshots(spark, sf_dir):
     return rounded(_silver(spark, sf_dir).drop("raw_record_json"), 6, "epoch_age_hours")
@@ -288,6 +315,33 @@ def contact_windows(spark, sf_dir):
     return rounded(_windows(spark, sf_dir), 5, "max_elevation_deg")
 
 
+@query
+def nested_windows(spark, sf_dir):
+    """Contact windows in pages of half an hour: their sizes and both ends."""
+    pages = visibility.page_windows(_windows(spark, sf_dir), bindings.GRID_START, 1800)
+    ends = [F.element_at("windows", place).getField("start") for place in (1, -1)]
+    return pages.select(
+        "norad_cat_id",
+        "station",
+        "page",
+        "count",
+        F.size("windows").cast("bigint").alias("list_size"),
+        ends[0].alias("first_start"),
+        ends[1].alias("last_start"),
+        F.element_at("windows", -1).getField("end").alias("last_end"),
+    )
+
+
+@query
+def station_quarantine(spark, sf_dir):
+    """Stations in range and those put aside, with the counts they come to."""
+    landed = bindings.landed_stations(spark, sf_dir)
+    kept, rejected = checks.quarantined(landed)
+    rows = kept.withColumn("status", F.lit(checks.OK)).unionByName(rejected)
+    counts = checks.reconciled(landed, kept, rejected)
+    return rows.select("station", "status").crossJoin(F.broadcast(counts))
+
+
 @query
 def contact_summary(spark, sf_dir):
     satellites = bindings.circular_orbits(spark, sf_dir).select("norad_cat_id", "object_name")
