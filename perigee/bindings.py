@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from math import pi
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from perigee.functions import frames
 from perigee.operators import timegrid
@@ -265,3 +265,45 @@ def landed_array_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
     last = F.lead("event_id").over(in_file).isNull()
     line = F.concat(F.when(first, "[").otherwise(" ,"), with_id, F.when(last, "]").otherwise(""))
     marked.select("file", line.alias("value")).write.partitionBy("file").text(folder)
+
+
+def circular_motion(orbits: DataFrame, seconds: Column) -> DataFrame:
+    """Positions and velocities on circular orbits, ``seconds`` after the grid's start."""
+    df = orbits.withColumns(
+        {
+            "_u": frames.radians(F.col("start_deg")) + F.col("rate_rad_s") * seconds,
+            "_o": frames.radians(F.col("node_deg")),
+            "_i": frames.radians(F.col("inclination_deg")),
+        }
+    )
+
+    def axes(prefix: str, unit: str, size: Column, along: Column, across: Column) -> dict[str, Column]:
+        return {
+            f"{prefix}x_{unit}": size * (F.cos("_o") * along - F.sin("_o") * across * F.cos("_i")),
+            f"{prefix}y_{unit}": size * (F.sin("_o") * along + F.cos("_o") * across * F.cos("_i")),
+            f"{prefix}z_{unit}": size * across * F.sin("_i"),
+        }
+
+    radius = F.col("radius_km")
+    places = axes("", "km", radius, F.cos("_u"), F.sin("_u"))
+    speeds = axes("v", "km_s", radius * F.col("rate_rad_s"), -F.sin("_u"), F.cos("_u"))
+    return df.withColumns({**places, **speeds}).drop("_u", "_o", "_i")
+
+
+def moving_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States with velocities over the test grid; epochs lie up to a day before it."""
+    grid = timegrid.with_grid(circular_orbits(spark, sf_dir), GRID_START, GRID_END, GRID_STEP_SECONDS)
+    moved = circular_motion(grid, F.col("sequence") * F.lit(float(GRID_STEP_SECONDS)))
+    epoch = F.timestamp_micros(F.unix_micros(F.lit(GRID_START)) - F.col("norad_cat_id") % 24 * 3_600_000_000)
+    return moved.withColumn("source_epoch", epoch)
+
+
+def instant_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows as requests for a position within the two hours of the grid and a minute more."""
+    since = F.unix_micros("ts") % 7_260_000_000
+    return events(spark, sf_dir).select(
+        F.col("user_id").alias("norad_cat_id"),
+        F.col("event_id").alias("request_id"),
+        F.timestamp_micros(F.unix_micros(F.lit(GRID_START)) + since).alias("requested_at"),
+        (since / F.lit(1e6)).alias("seconds"),
+    )

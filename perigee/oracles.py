@@ -736,3 +736,48 @@ _oracle(
                     WHEN n_nationkey % 7 = 3 OR n_nationkey * 500 > 10000 THEN 'altitude_m_out_of_range'
                     ELSE 'ok' END AS status FROM nation)""",
 )
+
+# --- positions between given states -----------------------------------------
+FRAGMENTS["asked"] = """
+  SELECT e.event_id AS request_id, e.user_id AS norad_cat_id, epoch_us(e.ts) % 7260000000 AS us,
+         TIMESTAMP '2024-01-01' + to_microseconds(epoch_us(e.ts) % 7260000000) AS requested_at, o.* EXCLUDE (norad_cat_id),
+         o.norad_cat_id IS NOT NULL AS known,
+         radians(o.node_deg) AS om, radians(o.inclination_deg) AS inc
+  FROM events e LEFT JOIN orbits o ON o.norad_cat_id = e.user_id"""
+FRAGMENTS["between"] = """
+  SELECT *, us % 60000000 / 6e7 AS f, radians(start_deg) + rate * ((us // 60000000) * 60)::DOUBLE AS u0,
+         radians(start_deg) + rate * ((us // 60000000 + 1) * 60)::DOUBLE AS u1
+  FROM asked WHERE known AND us <= 7200000000"""
+_PLACE = {
+    "x": "radius_km * (cos(om) * cos({u}) - sin(om) * sin({u}) * cos(inc))",
+    "y": "radius_km * (sin(om) * cos({u}) + cos(om) * sin({u}) * cos(inc))",
+    "z": "radius_km * sin({u}) * sin(inc)",
+}
+_SPEED = {
+    "x": "radius_km * rate * (-cos(om) * sin({u}) - sin(om) * cos({u}) * cos(inc))",
+    "y": "radius_km * rate * (-sin(om) * sin({u}) + cos(om) * cos({u}) * cos(inc))",
+    "z": "radius_km * rate * cos({u}) * sin(inc)",
+}
+_CUBIC = (
+    "(2 * f ** 3 - 3 * f ** 2 + 1) * ({p0}) + (f ** 3 - 2 * f ** 2 + f) * 60 * ({v0})"
+    " + (-2 * f ** 3 + 3 * f ** 2) * ({p1}) + (f ** 3 - f ** 2) * 60 * ({v1}) AS {a}"
+)
+FRAGMENTS["between_xyz"] = "SELECT *, " + ", ".join(
+    _CUBIC.format(a=a, p0=_PLACE[a].format(u="u0"), v0=_SPEED[a].format(u="u0"), p1=_PLACE[a].format(u="u1"), v1=_SPEED[a].format(u="u1"))
+    for a in "xyz"
+) + " FROM between"
+_geodetic("between", "between_xyz")
+_oracle(
+    "instant_positions",
+    """
+  SELECT a.norad_cat_id, a.request_id, a.requested_at,
+         CASE WHEN g.request_id IS NOT NULL THEN TIMESTAMP '2024-01-01' - to_hours((a.norad_cat_id % 24)::INTEGER) END AS source_epoch,
+         CASE WHEN NOT a.known THEN 'unknown_id' WHEN a.us > 7200000000 THEN 'outside_states' ELSE 'ok' END AS status,
+         round(g.x, 5) + 0.0 AS x_km, round(g.y, 5) + 0.0 AS y_km, round(g.z, 5) + 0.0 AS z_km,
+         round(g.latitude_deg, 5) + 0.0 AS latitude_deg, round(g.longitude_deg, 5) + 0.0 AS longitude_deg,
+         round(g.altitude_km, 5) AS altitude_km,
+         CASE WHEN g.request_id IS NOT NULL THEN (a.us + (a.norad_cat_id % 24) * 3600000000) / 6e7 END AS time_delta_minutes_from_epoch,
+         'cubic between given states' AS propagator, 'TEME' AS coordinate_frame, true AS is_approximate,
+         CASE WHEN g.request_id IS NOT NULL THEN true END AS within_a_metre
+  FROM asked a LEFT JOIN between_geo g USING (request_id)""",
+)
