@@ -773,9 +773,9 @@ _oracle(
   SELECT a.norad_cat_id, a.request_id, a.requested_at,
          CASE WHEN g.request_id IS NOT NULL THEN TIMESTAMP '2024-01-01' - to_hours((a.norad_cat_id % 24)::INTEGER) END AS source_epoch,
          CASE WHEN NOT a.known THEN 'unknown_id' WHEN a.us > 7200000000 THEN 'outside_states' ELSE 'ok' END AS status,
-         round(g.x, 5) + 0.0 AS x_km, round(g.y, 5) + 0.0 AS y_km, round(g.z, 5) + 0.0 AS z_km,
-         round(g.latitude_deg, 5) + 0.0 AS latitude_deg, round(g.longitude_deg, 5) + 0.0 AS longitude_deg,
-         round(g.altitude_km, 5) AS altitude_km,
+         round(g.x, 3) + 0.0 AS x_km, round(g.y, 3) + 0.0 AS y_km, round(g.z, 3) + 0.0 AS z_km,
+         round(g.latitude_deg, 4) + 0.0 AS latitude_deg, round(g.longitude_deg, 4) + 0.0 AS longitude_deg,
+         round(g.altitude_km, 3) AS altitude_km,
          CASE WHEN g.request_id IS NOT NULL THEN (a.us + (a.norad_cat_id % 24) * 3600000000) / 6e7 END AS time_delta_minutes_from_epoch,
          'cubic between given states' AS propagator, 'TEME' AS coordinate_frame, true AS is_approximate,
          CASE WHEN g.request_id IS NOT NULL THEN true END AS within_a_metre

@@ -361,7 +361,7 @@ def instant_positions(spark, sf_dir):
     off = F.sqrt(sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in states.AXES))
     errors = true.select("request_id", (off < 0.001).alias("within_a_metre"))
     out = found.join(errors, "request_id", "left").drop("seconds")
-    return rounded(out, 5, *states.AXES, "latitude_deg", "longitude_deg", "altitude_km")
+    return rounded(rounded(out, 3, *states.AXES, "altitude_km"), 4, "latitude_deg", "longitude_deg")
 
 
 # --- elements and propagation -----------------------------------------------
