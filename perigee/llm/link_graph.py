@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from perigee.llm.shared import rows_of, shared_folder, stored
 
 DAMPING = 0.85
-ROUNDS = 12
+TOLERANCE = 1e-5  # far under MARGIN * (1 - DAMPING)
+ROUNDS_PER_TABLE = 3
 MARGIN = 0.5
 DIGITS = 9
 
@@ -83,13 +84,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionAll(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, folder: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, folder: str, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from hosts with seed weights `good` and `bad`.
 
-    Scores are the fixed number of rounds of personalised PageRank, times the number of
-    seeds' weight, so that a lone seed without links has 1 - damping. Both directions
-    run in one pass: a row of an edge carries trust forwards and distrust backwards.
-    Every third round is a written table.
+    Scores are personalised PageRank times the number of seeds' weight, so that a lone
+    seed without links has 1 - damping. Each round passes on only what the round before
+    added to a host (hosts to which nothing was added send nothing), and rounds go on
+    until no host gains `tolerance` or more. What is passed on shrinks by the damping in
+    every round, so they end. Both directions run in one pass: a row of an edge carries
+    trust forwards and distrust backwards. Every third round is a written table.
     """
     out_of = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("in"))
@@ -104,19 +107,25 @@ def propagate(hosts: DataFrame, edges: DataFrame, folder: str, rounds: int = ROU
     nodes = hosts.select("host", "good", "bad").unionAll(
         edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"))
     )
-    nodes = stored(nodes.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), f"{folder}/nodes")
-    base = nodes.select("host", (F.lit(1 - damping) * F.col("good")).alias("trust"), (F.lit(1 - damping) * F.col("bad")).alias("distrust"))
-    scores = base
-    for step in range(1, rounds + 1):
-        moved = ways.join(scores, ways["a"] == scores["host"]).select(
+    nodes = nodes.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    trust, distrust = F.lit(1 - damping) * F.col("good"), F.lit(1 - damping) * F.col("bad")
+    added = [trust.alias("more_trust"), distrust.alias("more_distrust")]
+    scores = stored(nodes.select("host", trust.alias("trust"), distrust.alias("distrust"), *added), f"{folder}/scores-0")
+    step, largest = 0, tolerance
+    while largest >= tolerance:
+        step += 1
+        moved = ways.join(scores.where("more_trust > 0 or more_distrust > 0"), F.col("a") == F.col("host")).select(
             F.col("b").alias("host"),
-            (F.lit(damping) * F.col("t") * F.col("trust")).alias("trust"),
-            (F.lit(damping) * F.col("d") * F.col("distrust")).alias("distrust"),
+            (F.lit(damping) * F.col("t") * F.col("more_trust")).alias("trust"),
+            (F.lit(damping) * F.col("d") * F.col("more_distrust")).alias("distrust"),
         )
-        scores = base.unionAll(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if step % 3 == 0 or step == rounds:
+        before = scores.select("host", "trust", "distrust", F.lit(0.0).alias("more_trust"), F.lit(0.0).alias("more_distrust"))
+        scores = before.unionAll(moved.select("*", "trust", "distrust")).groupBy("host")
+        scores = scores.agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "more_trust", "more_distrust")])
+        if step % ROUNDS_PER_TABLE == 0:
             scores = stored(scores, f"{folder}/scores-{step}")
-    return scores
+            largest = scores.agg(F.max(F.greatest("more_trust", "more_distrust"))).first()[0] or 0.0
+    return scores.select("host", "trust", "distrust")
 
 
 def judge(
