@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from perigee.llm.shared import rows_of
 
 SPANS = "array<struct<start:bigint,place:int,kind:string,end:bigint>>"
+STORED = "array<struct<rule:string,start:bigint,end:bigint>>"  # as the ledger has them
 
 
 def either_case(word: str) -> str:
@@ -66,7 +67,7 @@ RULES = BASE + MORE
 _HINTS = {"hex": "[0-9a-f]{24}", "access": "AKIA[A-Z0-9]{16}"}
 
 
-def spans(text: Column, rule: Rule, place: int) -> Column:
+def spans(text: Column, rule: Rule) -> Column:
     """All matches of a rule: leftmost, not overlapping, the short ones dropped."""
     hits = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
     groups = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(rule.group + 1))
@@ -76,24 +77,51 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
         F.transform(hits, lambda x: F.length(x).cast("long")).alias("size"),
         F.transform(groups, lambda x: F.length(x).cast("long")).alias("group"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(STORED).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
-        here = F.struct(begin.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (begin + x["size"]).alias("end"))
+        here = F.struct(F.lit(rule.name).alias("rule"), begin.alias("start"), (begin + x["size"]).alias("end"))
         out = F.when(x["group"] >= rule.least, F.concat(state["out"], F.array(here))).otherwise(state["out"])
         return F.struct((begin + x["size"]).alias("at"), out.alias("out"))
 
     found = F.aggregate(lengths, start, step, lambda s: s["out"])
-    return F.when(text.rlike(_HINTS.get(rule.kind, rule.pattern)), found).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(_HINTS.get(rule.kind, rule.pattern)), found).otherwise(F.array().cast(STORED))
 
 
-def _ledger(spark, folder: str) -> DataFrame | None:
-    """The runs written so far, or None before the first."""
+def _runs(spark, folder: str) -> list[str]:
+    """The directories of the finished runs."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/runs")
-    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        return None
-    return spark.read.schema(f"blob string, rules array<string>, found {SPANS}").parquet(f"{folder}/runs/*")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "*/_SUCCESS"))
+    return sorted(status.getPath().getParent().toString() for status in done or [])
+
+
+def _ledger(spark, folder: str) -> DataFrame | None:
+    """What the finished runs wrote, or None before the first."""
+    runs = _runs(spark, folder)
+    return spark.read.schema(f"blob string, rules array<string>, found {STORED}").parquet(*runs) if runs else None
+
+
+def _append(rows: DataFrame, folder: str) -> None:
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{folder}/runs/run={uuid.uuid4().hex}")
+
+
+def compact(spark, folder: str) -> None:
+    """Fold the finished runs into one with a row for each blob, then remove them.
+
+    A scan before or after gives the same result; so does a ledger that holds the old
+    runs beside the new one, as after a break between the two steps. Not to be run while
+    a scan reads the same folder.
+    """
+    old = _runs(spark, folder)
+    if len(old) < 2:
+        return
+    every = lambda name: F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
+    _append(_ledger(spark, folder).groupBy("blob").agg(every("rules"), every("found")), folder)
+    for run in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(run)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scan(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -102,8 +130,9 @@ def scan(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path
     `folder` holds the ledger and may be empty or absent; a run adds one directory with
     the pairs it scanned, complete or not at all. Rows that repeat and versions with
     equal texts are one blob. A null text counts as empty. Spans are ordered by start,
-    then rule order; start and end are code points, end exclusive. Findings of rule
-    versions other than those asked for stay in the ledger and out of the result.
+    then rule order; start and end are code points, end exclusive. Every finding is held
+    with its rule and version: those of others than asked for stay in the ledger and out
+    of the result.
     """
     spark = versions.sparkSession
     keys = {f"path{k}": name for k, name in enumerate(path_cols)}
@@ -115,22 +144,30 @@ def scan(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path
     if before is None:
         todo = blobs.withColumn("todo", F.lit(None).cast("array<string>"))
     else:
-        done = before.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+        done = before.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"))
         lacking = F.array_except(F.array(*map(F.lit, names)), F.coalesce("done", F.array().cast("array<string>")))
         todo = blobs.join(done, "blob", "left").withColumn("todo", lacking).where(F.size("todo") > 0)
     parts = []
-    for place, rule in enumerate(rules):
+    for rule in rules:
         due = F.col("todo").isNull() | F.array_contains("todo", rule.name)
-        parts.append(F.when(due, spans(F.col("text"), rule, place)).otherwise(F.array().cast(SPANS)))
+        parts.append(F.when(due, spans(F.col("text"), rule)).otherwise(F.array().cast(STORED)))
     scanned = todo.select(
         "blob",
         F.coalesce("todo", F.array(*map(F.lit, names))).alias("rules"),
         F.concat(*parts).alias("found"),
     )
-    scanned.write.parquet(f"{folder}/runs/run={uuid.uuid4().hex}")
-    wanted = F.filter(F.col("found"), lambda s: F.array_contains(F.array(*map(F.lit, [r.kind for r in rules])), s["kind"]))
-    current = F.size(F.array_intersect("rules", F.array(*map(F.lit, names)))) > 0
-    found = _ledger(spark, folder).where(current & (F.size("found") > 0)).select("blob", F.explode(wanted).alias("span"))
+    _append(scanned, folder)
+    asked = F.array(*map(F.lit, names))
+    wanted = F.transform(
+        F.filter("found", lambda s: F.array_contains(asked, s["rule"])),
+        lambda s: F.struct(
+            s["start"],
+            F.array_position(asked, s["rule"]).cast("int").alias("place"),
+            F.substring_index(s["rule"], "@", 1).alias("kind"),
+            s["end"],
+        ),
+    )
+    found = _ledger(spark, folder).where(F.size("found") > 0).select("blob", F.explode(wanted).alias("span"))
     found = found.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("found"))
     out = rows.drop("text").join(found, "blob", "left")
     return out.select(*[F.col(k).alias(n) for k, n in keys.items()], "blob", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
