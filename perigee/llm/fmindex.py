@@ -7,9 +7,10 @@ numbers and indexed: suffix order, a wavelet matrix over the transform, and ever
 `SAMPLE`-th suffix position. All phrases are searched backwards at once, and matches
 are located by walking to the next sampled position.
 
-The test set is taken in blocks of bounded size; each block is shipped to the tasks and
-adds its spans to those of the blocks before it. So neither its size nor the number of
-blocks is tied to a task's memory.
+The test set is taken in blocks of bounded size. The driver holds one block (and one
+partition of the test set) at a time; it is shipped to the tasks, which add its spans to
+those of the blocks before, and what they return is written before the next block is
+taken. So neither its size nor the number of blocks is tied to anyone's memory.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from perigee.llm.shared import column, texts
+from perigee.llm.shared import column, shared_folder, stored, texts
 
 WINDOW = 10
 SAMPLE = 8
@@ -170,8 +173,9 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _search(documents: DataFrame, text_col: str, items: list[tuple], width: int, item_type: str) -> DataFrame:
+def _search(documents: DataFrame, text_col: str, items: list[tuple], width: int, item: DataType) -> DataFrame:
     phrases = Phrases(items, width)
+    item_type, arrow_item = item.simpleString(), to_arrow_type(item)
     names = [n for n in documents.columns if n not in ("n_words", "hit_spans", "hit_items")]
     schema = ", ".join(f"`{n}` {documents.schema[n].dataType.simpleString()}" for n in names)
     schema += f", n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<{item_type}>"
@@ -190,7 +194,7 @@ def _search(documents: DataFrame, text_col: str, items: list[tuple], width: int,
             def flush(runs, spans=spans, found=found):
                 for text, position, phrase in zip(*(x.tolist() for x in matches(runs, phrases)), strict=True):
                     spans[text].append((position, position + int(phrases.lengths[phrase])))
-                    found[text].update(phrases.items[phrase])
+                    found[text].update(item for item in phrases.items[phrase] if item is not None)
 
             number = phrases.vocabulary.get
             for row, text in enumerate(texts(batch, text_col)):
@@ -202,11 +206,14 @@ def _search(documents: DataFrame, text_col: str, items: list[tuple], width: int,
                 stops = np.concatenate(([-1], np.flatnonzero(numbers == 0), [len(numbers)]))
                 for gap in np.flatnonzero(np.diff(stops) > phrases.shortest):
                     start, end = int(stops[gap]) + 1, int(stops[gap + 1])
-                    runs.append((row, start, numbers[start:end]))
-                    held += end - start
-                if held >= SHARD_WORDS:
-                    flush(runs)
-                    runs, held = [], 0
+                    # a long run is cut; what is cut shares a window less one word
+                    for at in range(start, max(start + 1, end - width + 1), SHARD_WORDS):
+                        part = numbers[at : min(end, at + SHARD_WORDS + width - 1)]
+                        runs.append((row, at, part))
+                        held += len(part)
+                        if held >= SHARD_WORDS:
+                            flush(runs)
+                            runs, held = [], 0
             flush(runs)
             spans = [merged([s for s, _ in x], [e for _, e in x]) for x in spans]
             arrays = [column(batch, n) for n in names]
@@ -214,26 +221,29 @@ def _search(documents: DataFrame, text_col: str, items: list[tuple], width: int,
             arrays += [
                 pa.array(count, pa.int64()),
                 pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], struct),
-                pa.array([sorted(x) for x in found], pa.list_(ITEM_TYPES.get(item_type, pa.int64()))),
+                pa.array([sorted(x) for x in found], pa.list_(arrow_item)),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "hit_spans", "hit_items"])
 
     return documents.select(*[f"`{n}`" for n in names], *(["n_words", "hit_spans", "hit_items"] if more else [])).mapInArrow(run, schema)
 
 
-ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, width: int):
+    """The test items in blocks of about `block_words` words, one at a time on the driver.
 
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
-    """The test items in blocks of about `block_words` words, never all on the driver."""
-    rows = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text is not null and item is not null")
+    A longer item is cut into parts that share a window less one word.
+    """
+    rows = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     held, size = [], 0
     for item, text in rows.toLocalIterator():
-        held.append((item, text.encode()))
-        size += text.count(" ") + 1
-        if size >= block_words:
-            yield held
-            held, size = [], 0
+        words = words_of(text.encode())
+        for at in range(0, max(1, len(words) - width + 1), block_words):
+            part = words[at : at + block_words + width - 1]
+            held.append((item, b" ".join(part)))
+            size += len(part)
+            if size >= block_words:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -246,22 +256,26 @@ def contaminated_spans(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    folder: str | None = None,
 ) -> DataFrame:
     """`documents` with n_words, hit_spans (merged word spans) and hit_items (sorted).
 
     A phrase is any `window` consecutive words of a test item, or the whole item where
-    it has fewer. Null and wordless texts have no words and no hits; null items and
-    null item ids are left out; an empty test set hits nothing. Rows may repeat. An
-    input column that has the name of an output column is replaced by it.
+    it has fewer. Null and wordless texts have no words and no hits; null items are
+    left out, items without an id hit but are not listed; an empty test set hits nothing.
+    Rows may repeat. An input column that has the name of an output column is replaced by
+    it. Item ids may be of any type that has an order. `folder` takes what is written
+    between blocks.
     """
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    out = documents.drop("n_words", "hit_spans", "hit_items")
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    for block in blocks:
-        out = _search(out, text_col, block, window, item_type)
-    if "hit_spans" not in out.columns:
-        out = _search(out, text_col, [], window, item_type)
-    return out
+    item = benchmark.schema[item_col].dataType
+    out, searched = documents.drop("n_words", "hit_spans", "hit_items"), 0
+    for block in _blocks(benchmark, item_col, item_text_col, block_words, window):
+        if searched:
+            folder = folder or shared_folder(documents.sparkSession)
+            out = stored(out, f"{folder}/block-{searched}")
+        out = _search(out, text_col, block, window, item)
+        searched += 1
+    return out if searched else _search(out, text_col, [], window, item)
 
 
 def n_hit() -> Column:
