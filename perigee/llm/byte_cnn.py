@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import column, map_batches, texts
+from perigee.llm.shared import column, map_batches, smallest, texts
 
 UNKNOWN = "und"
 LENGTH = 192
@@ -162,25 +162,26 @@ def _gradients(p: dict, x: np.ndarray, y: np.ndarray) -> dict:
 
 
 def sample(documents: DataFrame, training: Column, text_col: str, label_col: str, id_col: str, per_label: int) -> list:
-    """At most `per_label` labelled texts of each label, chosen by the hash of the id.
+    """Windows of at most `per_label` labelled texts of each label, with their labels.
 
-    Of each text, the bytes of the windows that training takes are enough.
+    Texts are chosen by the hash of id and text. Of each, WINDOWS_PER_TEXT windows are
+    taken, spread evenly from the text's beginning to its end.
     """
-    size = LENGTH * 64
-    rows = documents.where(training & F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(LETTER)).select(
-        F.substring(F.col(f"`{text_col}`"), 1, size).alias("text"),
+    text = F.col(f"`{text_col}`")
+    rows = documents.where(training & F.col(f"`{label_col}`").isNotNull() & text.rlike(LETTER)).select(
+        text.alias("text"),
         F.col(f"`{label_col}`").alias("label"),
-        F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("order"),
+        F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("order"),
     )
-    # the hashes are ranked alone; texts are read again for those within the limit
-    ranks = Window.partitionBy("label").orderBy("order")
-    limits = rows.select("label", "order").withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= per_label)
-    limits = limits.groupBy("label").agg(F.max("order").alias("most"))
-    # a row for each label, and the network has an output for each
-    near = rows.join(F.broadcast(limits), "label").where("order <= most")
-    by_text = Window.partitionBy("label").orderBy("order", "text")
-    chosen = near.withColumn("rank", F.row_number().over(by_text)).where(F.col("rank") <= per_label).orderBy("label", "rank")
-    return [(r["text"].encode(), r["label"]) for r in chosen.select("text", "label").collect()]
+    room = F.greatest(F.length("text") - LENGTH, F.lit(0))
+    places = [F.substring("text", F.floor(room * k / (WINDOWS_PER_TEXT - 1)).cast("int") + 1, F.lit(LENGTH)) for k in range(WINDOWS_PER_TEXT)]
+    near = smallest(rows, "label", "order", per_label).select("label", "order", F.array_distinct(F.array(*places)).alias("windows"))
+    # rows that repeat are counted before they meet, and no more than the limit come back
+    near = near.groupBy("label", "order", "windows").agg(F.count("*").alias("n"))
+    near = near.select("label", "order", "windows", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(per_label)))).alias("copy"))
+    ranks = Window.partitionBy("label").orderBy("order", "windows", "copy")
+    chosen = near.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= per_label).orderBy("label", "rank")
+    return [(w.encode()[:LENGTH], r["label"]) for r in chosen.select("windows", "label").collect() for w in r["windows"]]
 
 
 def held_out(id_col: str) -> Column:
@@ -232,10 +233,10 @@ def identify(
 ) -> DataFrame:
     """`documents` with lang_pred and score, learned from its labelled `training` rows.
 
-    The fit takes at most `per_label` texts of each label, and of each the first
-    64 windows at most; prediction takes every text whole. Null texts, and those
+    The fit takes at most `per_label` texts of each label, and of each WINDOWS_PER_TEXT
+    windows spread over the whole text; prediction takes every text whole. Null texts, and those
     without a letter, are `und` with score zero, as is everything where there is
-    nothing to learn from. Ids are only used to choose the sample; labels, sources and
+    nothing to learn from. Ids only serve to choose the sample; labels, sources and
     ids are no input of a prediction. Rows may repeat; an input column with the name
     of an output column is replaced by it.
     """

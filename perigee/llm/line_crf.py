@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import column, map_batches, rows_of, texts
+from perigee.llm.shared import column, map_batches, rows_of, smallest, texts
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -29,7 +29,7 @@ WINDOW = 5
 KEEP_SHARE = 0.5
 SAMPLE_PER_CLASS = 300
 SAMPLE_LINES = 60
-SAMPLE_BYTES = 20_000
+STRETCHES = 3
 EPOCHS = 6
 RATE = 0.1
 DECAY = 1e-4
@@ -184,25 +184,42 @@ def lines_of(text: bytes) -> tuple[list[list[int]], list[int], int]:
     return lines, counts, again
 
 
-def sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> list[tuple[bytes, int]]:
-    """At most `per_class` texts of either quality, chosen by the hash of the id.
+def spread(lines: list) -> list:
+    """SAMPLE_LINES lines at most: stretches at even distances over the whole text."""
+    if len(lines) <= SAMPLE_LINES:
+        return lines
+    size = SAMPLE_LINES // STRETCHES
+    starts = np.linspace(0, len(lines) - size, STRETCHES).astype(int).tolist()
+    return [line for start in starts for line in lines[start : start + size]]
 
-    Only their first SAMPLE_BYTES characters are taken: the fit needs lines, not texts.
+
+def sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> list[tuple[list, int]]:
+    """Lines of at most `per_class` texts of either quality, chosen by the hash of the id.
+
+    Features are those of the whole text, found where the text is; of each text only the
+    lines of `spread` leave the task.
     """
     good = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    picked = smallest(good.withColumn("order", F.xxhash64(F.col("doc_id").cast("string"))), "quality", "order", per_class)
+    ranks = Window.partitionBy("quality").orderBy("order", "doc_id")
+    picked = picked.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= per_class)
     rows = rows_of(documents, id=id_col, text=text_col).where("id is not null and text is not null")
-    rows = rows.select("id", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    picked = good.withColumn("order", F.xxhash64(F.col("doc_id").cast("string")))
-    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("quality").orderBy("order"))).where(F.col("rank") <= per_class)
-    first = rows.join(F.broadcast(picked), rows["id"] == picked["doc_id"]).groupBy("id", "quality", "rank").agg(F.min("text").alias("text"))
-    return [(r["text"].encode(), int(r["quality"])) for r in first.orderBy("quality", "rank").select("text", "quality").collect()]
+    # twice `per_class` rows at most
+    rows = rows.join(F.broadcast(picked), rows["id"] == picked["doc_id"]).select("quality", "rank", "text")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {n: column(batch, n) for n in ("quality", "rank")} | {"lines": [spread(lines_of(text)[0]) for text in texts(batch)]}
+
+    described = map_batches(rows, "quality int, rank int, lines array<array<int>>", work)
+    described = described.groupBy("quality", "rank").agg(F.min("lines").alias("lines")).orderBy("quality", "rank")
+    return [(r["lines"], int(r["quality"])) for r in described.collect()]
 
 
-def train(samples: list[tuple[bytes, int]]) -> Chain | None:
-    """A fitted chain, or None unless there are texts of either quality."""
+def train(samples: list[tuple[list, int]]) -> Chain | None:
+    """A fitted chain, or None unless there are lines of either quality."""
     by = {0: [], 1: []}
-    for text, quality in samples:
-        if lines := lines_of(text)[0][:SAMPLE_LINES]:
+    for lines, quality in samples:
+        if lines:
             by[quality].append(lines)
     if not by[0] or not by[1]:
         return None
@@ -237,8 +254,8 @@ def label_lines(
     """Counts and verdict of every row: id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, content_share.
 
-    The chain is fitted on at most `per_class` texts of each quality, of each its first
-    SAMPLE_BYTES characters and SAMPLE_LINES lines; texts are judged whole. Where one of
+    The chain is fitted on at most `per_class` texts of each quality, of each at most
+    SAMPLE_LINES lines in stretches over the whole text; texts are judged whole. Where one of
     the qualities has no text, all lines are content. A text that is null or blank has
     no words and fails. Ties in decoding go to content. Rows may repeat; columns other
     than id and text are ignored.

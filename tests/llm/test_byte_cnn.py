@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perigee.llm import byte_cnn
+from perigee.llm.shared import smallest
 
 DATA = "/root/testdata/sf0.001/documents.parquet"
 
@@ -29,6 +30,25 @@ def test_tables_equal_the_convolution(network):
     assert np.allclose(network.scores(windows), expected, atol=1e-4)
 
 
+def test_sample_takes_the_smallest_hashes_and_windows_of_the_whole_text(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id % 10 = 0, 'x', 'y') AS label", "xxhash64(id) AS order")
+    rows = rows.unionAll(rows.where("id = 7")).unionAll(spark.createDataFrame([(1, "z", 5)], rows.schema))
+    got = {(r["label"], r["id"], r["order"]) for r in smallest(rows, "label", "order", 50).collect()}
+    every = sorted((r["label"], r["order"], r["id"]) for r in rows.collect())
+    for label in "xyz":
+        mine = [(label, i, o) for x, o, i in every if x == label]
+        kept = [r for r in mine if r in got]
+        assert len(kept) >= min(50, len(mine)) and set(mine[:50]) <= got and len(kept) <= 60
+    with pytest.raises(ValueError):
+        smallest(rows, "label", "order", 50, most_groups=1)
+    text = "a" * 500 + "m" * 500 + "z" * 500
+    docs = spark.createDataFrame([(1, text, "en"), (1, text, "en"), (2, "short", "de"), (None, "é" * 300, "de")], "doc_id bigint, text string, lang string")
+    found = byte_cnn.sample(docs, F.lit(True), "text", "lang", "doc_id", 5)
+    assert sorted(w[:1] for w, label in found if label == "en") == [b"a", b"a", b"m", b"m", b"z", b"z"]
+    assert all(0 < len(w) <= byte_cnn.LENGTH for w, _ in found) and (b"short", "de") in found
+    assert len(byte_cnn.sample(docs, F.lit(True), "text", "lang", "doc_id", 1)) == 3 + 1
+
+
 def test_windows_hold_the_whole_text():
     text = bytes(range(97, 123)) * 40
     assert byte_cnn.cut(text).tobytes().rstrip(b"\0") == text

@@ -39,6 +39,17 @@ def test_repeats_with_many_words():
     assert line_crf.n_repeat_words(words) == 60
 
 
+def test_sample_lines_come_from_the_whole_text(spark):
+    lines = [[k] for k in range(1000)]
+    got = [k for (k,) in line_crf.spread(lines)]
+    assert len(got) == line_crf.SAMPLE_LINES and got[0] == 0 and got[-1] == 999 and 500 in got
+    assert line_crf.spread(lines[:60]) == lines[:60]
+    docs = spark.createDataFrame([(k, "a b\n" * k) for k in range(1, 9)] + [(3, None), (3, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 9)], LABELS)
+    found = line_crf.sample(docs, labels, "doc_id", "text", 3)
+    assert sorted(q for _, q in found) == [0, 0, 0, 1, 1, 1] and all(1 <= len(x) <= 8 for x, _ in found)
+
+
 def random_chain(seed):
     rng = np.random.default_rng(seed)
     chain = line_crf.Chain()
