@@ -1,5 +1,48 @@
 """Independent DuckDB SQL for the training-data queries that SQL can express."""
 
+OP1 = """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, strlen(html)::BIGINT AS n, max(page_id) OVER (PARTITION BY html) AS latest FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM d"""
+
+OP8 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark WHERE text IS NOT NULL
+),
+windows AS (
+    SELECT DISTINCT item_id, width, array_to_string(words[i : i + width - 1], ' ') AS phrase
+    FROM (SELECT *, least(len(words), 10) AS width, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i
+          FROM b WHERE len(words) > 0)
+),
+places AS (
+    SELECT rid, i, width, array_to_string(words[i : i + width - 1], ' ') AS phrase
+    FROM (SELECT d.rid, d.words, w.width, unnest(range(1, len(d.words) - w.width + 2)) AS i
+          FROM d, (SELECT DISTINCT width FROM windows) w WHERE len(d.words) >= w.width)
+),
+found AS (SELECT rid, i, width, item_id FROM places JOIN windows USING (width, phrase)),
+hit AS (
+    SELECT rid, count(DISTINCT word) AS n_hit
+    FROM (SELECT rid, unnest(range(i, i + width)) AS word FROM (SELECT DISTINCT rid, i, width FROM found)) GROUP BY rid
+),
+items AS (
+    SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+
 OP11 = r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id,
@@ -89,4 +132,4 @@ FROM labelled, digest"""
     )
 
 
-ORACLES: dict[str, str] = {"op11_hybrid_search": OP11, "op13_vector_codes": _op13()}
+ORACLES: dict[str, str] = {"op1_warc_captures": OP1, "op8_fm_index": OP8, "op11_hybrid_search": OP11, "op13_vector_codes": _op13()}
