@@ -1,4 +1,4 @@
-"""Building blocks for plans: a bounded count and columns computed once."""
+"""Building blocks for plans: a bounded count, columns computed once, joins without broadcast."""
 
 from __future__ import annotations
 
@@ -30,3 +30,12 @@ def hinted(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     keys (skew join). The join and its rows are the same either way.
     """
     return F.broadcast(dimension) if at_most(dimension, rows) else dimension
+
+
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of an equi-join that is never broadcast: both sides are shuffled and sorted.
+
+    For rows generated from few bytes, such as grids: Spark sizes them by the table they
+    come from, plans a broadcast, and keeps it however many rows there turn out to be.
+    """
+    return side.hint("merge")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.functions import frames
+from perigee.operators.joins import shuffled
 
 AXES = ("x_km", "y_km", "z_km")
 SPEEDS = ("vx_km_s", "vy_km_s", "vz_km_s")
@@ -43,15 +44,16 @@ def positions_at(requests: DataFrame, states: DataFrame, largest_gap_seconds: in
     ``outside_states`` where its instant lies before, behind or in a gap of them; those
     have no position. Minutes from the source epoch and provenance are attached. Requests
     may repeat and may ask for one satellite in any share: the skew join splits them.
+    States are shuffled like the requests, never broadcast.
     """
     found = intervals(states, largest_gap_seconds).withColumnRenamed("norad_cat_id", "_id")
     at = F.unix_micros("requested_at")
     asked = requests.withColumn("_stretch", F.floor(at / F.lit(largest_gap_seconds * 1_000_000)))
     inside = (at >= F.col("first.at")) & ((at < F.col("last.at")) | ((at == F.col("first.at")) & (F.col("first.at") == F.col("last.at"))))
     on = (F.col("norad_cat_id") == F.col("_id")) & (F.col("_stretch") == F.col("stretch")) & inside
-    joined = asked.join(found, on, "left").drop("_id", "stretch", "_stretch")
+    joined = asked.join(shuffled(found), on, "left").drop("_id", "stretch", "_stretch")
     known = states.select(F.col("norad_cat_id").alias("_known")).distinct()
-    joined = joined.join(known, F.col("norad_cat_id") == F.col("_known"), "left")
+    joined = joined.join(shuffled(known), F.col("norad_cat_id") == F.col("_known"), "left")
     status = F.when(F.col("first").isNotNull(), "ok").when(F.col("_known").isNull(), "unknown_id").otherwise("outside_states")
     axes = {name: _between(name, speed, at) for name, speed in zip(AXES, SPEEDS, strict=True)}
     placed = joined.withColumns({"status": status, **axes}).drop("first", "last", "_known")

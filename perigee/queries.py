@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from perigee import bindings
 from perigee.functions import frames
 from perigee.operators import alerts, catalog, checks, codec, ephemeris, history, layers, metrics, states, timegrid, visibility
+from perigee.operators.joins import shuffled
 from perigee.plans import operations, tracking
 from perigee.plans.layered import LayerStore
 from perigee.session import configure
@@ -355,12 +356,12 @@ def instant_positions(spark, sf_dir):
     found = states.positions_at(bindings.instant_requests(spark, sf_dir), bindings.moving_states(spark, sf_dir))
     orbits = bindings.circular_orbits(spark, sf_dir).withColumnRenamed("norad_cat_id", "_id")
     paired = found.select("request_id", "norad_cat_id", "seconds", *[F.col(a).alias(f"_{a}") for a in states.AXES]).join(
-        orbits, F.col("norad_cat_id") == F.col("_id")
+        shuffled(orbits), F.col("norad_cat_id") == F.col("_id")
     )
     true = bindings.circular_motion(paired, F.col("seconds"))
     off = F.sqrt(sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in states.AXES))
     errors = true.select("request_id", (off < 0.001).alias("within_a_metre"))
-    out = found.join(errors, "request_id", "left").drop("seconds")
+    out = found.join(shuffled(errors), "request_id", "left").drop("seconds")
     return rounded(rounded(out, 3, *states.AXES, "altitude_km"), 4, "latitude_deg", "longitude_deg")
 
 
