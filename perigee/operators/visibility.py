@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from perigee import fixed_values as fixed
 from perigee.functions import frames
+from perigee.operators.joins import shuffled
 from perigee.operators.params import require_between, utc_micros
 
 # Cells of the sub-satellite point used as a join key, and the altitude bands a
@@ -53,11 +54,12 @@ def elevations(states: DataFrame, passes: DataFrame, stations: DataFrame) -> Dat
     """Elevation of every state over the stations its satellite is assigned to.
 
     ``passes`` holds (norad_cat_id, station) assignments, so the work is the number
-    of assigned pairs and never satellites times stations.
+    of assigned pairs and never satellites times stations. States and assignments are
+    shuffled by satellite; neither is broadcast.
     """
     places = station_vectors(stations).drop("latitude_deg", "longitude_deg")
     assigned = passes.select("norad_cat_id", "station").join(places, ["station"])
-    paired = satellite_vectors(states).join(assigned, ["norad_cat_id"])
+    paired = satellite_vectors(states).join(shuffled(assigned), ["norad_cat_id"])
     return _drop_vectors(frames.with_elevation(paired, "sat_", "gs_"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from perigee.operators import states
+from perigee.operators import states, visibility
 from perigee.queries import QUERIES
 from tests import test_states
 
@@ -22,3 +22,19 @@ def test_given_states_are_not_broadcast(spark):
 
 def test_instant_positions_broadcasts_nothing(spark):
     assert "BroadcastHashJoin" not in plan(QUERIES["instant_positions"](spark, FOLDER))
+
+
+def test_states_over_assigned_stations_are_not_broadcast(spark):
+    place = ("0.0D AS latitude_deg", "0.0D AS longitude_deg")
+    seen = spark.range(5).selectExpr("id AS norad_cat_id", *place, "700.0D AS altitude_km")
+    passes = spark.range(5).selectExpr("id AS norad_cat_id", "'a' AS station")
+    stations = spark.range(1).selectExpr("'a' AS station", *place, "0.0D AS altitude_m")
+    elevated = visibility.elevations(seen, passes, stations)
+    assert plan(elevated).count("SortMergeJoin") == 1
+    assert [round(r["elevation_deg"]) for r in elevated.collect()] == [90] * 5
+
+
+def test_station_elevation_broadcasts_stations_alone(spark):
+    # one row a nation: joined to the satellites by nation, and to their stations by name
+    found = plan(QUERIES["station_elevation"](spark, FOLDER))
+    assert found.count("BroadcastHashJoin") == 2 and found.count("SortMergeJoin") == 1
