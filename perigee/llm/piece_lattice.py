@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterable
 from functools import cached_property
 from itertools import chain
@@ -30,11 +31,17 @@ SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 NEVER = float("-inf")
 UNKNOWN_COST = 10.0
-REMEMBERED = 250_000
+REMEMBERED = 125_000
 LONGEST_REMEMBERED = 40
 N_BEST = 3
 # characters of texts whose chunks are made distinct together
 TOGETHER = 1 << 20
+# characters of new chunks whose lattices grow together
+GROWN = 1 << 17
+# bytes of texts whose results a worker holds
+SLICE = 1 << 22
+# 32-bit words of a remembered chunk before its ids
+HEAD = 5
 SAME = 6
 # piece kinds of the model format
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -282,8 +289,8 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, n: int = N_BEST) -> None:
         self.pieces, self.n = pieces, n
-        self.chunks: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.others: dict[str, list] = {}
 
     def encode(self, text: str) -> tuple[float, list[int], list[dict]]:
@@ -304,13 +311,12 @@ class Encoder:
         coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
         distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self._known(distinct)
-        best = np.array([k[0] for k in known], float)
-        loss = np.array([k[1] for k in known], float)
-        right = np.array([k[3] for k in known], bool)
-        size = np.array([len(k[2]) for k in known], np.int64)
-        flat = np.fromiter(chain.from_iterable([k[2] for k in known]), np.int32, int(size.sum()))
-        best, loss, right, held = best[number], loss[number], right[number], size[number]
-        shift = np.repeat((np.cumsum(size) - size)[number] - (np.cumsum(held) - held), held)
+        flat = np.frombuffer(b"".join(known), np.int32)
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(length) - length
+        scored = flat[start[:, None] + np.arange(4)].view(np.float64)
+        best, loss, right, held = scored[number, 0], scored[number, 1], flat[start + 4][number] > 0, length[number] - HEAD
+        shift = np.repeat(start[number] + HEAD - (np.cumsum(held) - held), held)
         ids = flat[shift + np.arange(len(shift))]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in split]))).tolist()
         scores, sizes, more, back = [], [], [], []
@@ -318,7 +324,7 @@ class Encoder:
             scores.append(float(best[a:b].sum()))
             sizes.append(int(held[a:b].sum()))
             back.append(bool(right[a:b].all()))
-            more.append(self._next_best(scores[-1], loss[a:b], held[a:b], lambda i, a=a: known[number[a + i]][0], lambda i, a=a: distinct[number[a + i]]))
+            more.append(self._next_best(scores[-1], loss[a:b], held[a:b], lambda i, a=a: float(best[a + i]), lambda i, a=a: distinct[number[a + i]]))
         return scores, np.array(sizes, np.int64), ids, more, back
 
     def _next_best(self, total: float, losses: np.ndarray, sizes: np.ndarray, score_of, chunk_of) -> list[dict]:
@@ -336,22 +342,28 @@ class Encoder:
             more.append({"score": total - loss, "edits": changed})
         return more
 
-    def _known(self, distinct: list[str]) -> list[tuple]:
-        """Each chunk's best path, and whether it decodes to the chunk; chunks not used
-        since the memory last filled are forgotten."""
+    def _known(self, distinct: list[str]) -> list[bytes]:
+        """Each chunk's best path, and whether it decodes to the chunk, as `_packed` has
+        them; chunks not used since the memory last filled are forgotten."""
         known = [self.chunks.get(chunk) or self.older.get(chunk) for chunk in distinct]
         new = [k for k, found in enumerate(known) if found is None]
         short = [k for k in new if len(distinct[k]) <= LONGEST_REMEMBERED]
-        for k, found in zip(short, self.pieces.best_of([distinct[k] for k in short]), strict=True):
-            known[k] = found
+        step = GROWN // LONGEST_REMEMBERED
+        for at in range(0, len(short), step):
+            several = short[at : at + step]
+            for k, found in zip(several, self.pieces.best_of([distinct[k] for k in several]), strict=True):
+                known[k] = self._packed(distinct[k], *found)
         for k in new:
-            score, loss, ids = known[k] or self.pieces.best(distinct[k])
-            known[k] = score, loss, ids, self.pieces.content_of(ids) == distinct[k].replace(SPACE, " ")
+            known[k] = known[k] or self._packed(distinct[k], *self.pieces.best(distinct[k]))
         if len(self.chunks) >= REMEMBERED:
             self.chunks, self.older = {}, self.chunks
         self.chunks.update((c, found) for c, found in zip(distinct, known, strict=True) if len(c) <= LONGEST_REMEMBERED)
         return known
 
+    def _packed(self, chunk: str, score: float, loss: float, ids: tuple[int, ...]) -> bytes:
+        """Score, loss, round trip and ids as bytes, as the objects take far more memory."""
+        return struct.pack(f"=ddi{len(ids)}i", score, loss, self.pieces.content_of(ids) == chunk.replace(SPACE, " "), *ids)
+
     def _others(self, chunk: str) -> list:
         found = self.others.get(chunk)
         if found is None:
@@ -424,4 +436,4 @@ def encode(documents: DataFrame, model_path: str, n: int = N_BEST, text_col: str
         }
 
     frame = documents.select(*[f"`{x}`" for x in names])
-    return map_batches(frame, f"{schema}, {ENCODED}" if schema else ENCODED, work)
+    return map_batches(frame, f"{schema}, {ENCODED}" if schema else ENCODED, work, text_col, SLICE)

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +74,24 @@ def smallest(rows: DataFrame, group: str, order: str, k: int, most_groups: int =
     return kept.drop("last_bin")
 
 
+def sliced(batch: pa.RecordBatch, text_col: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices of about `most_bytes` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(column(batch, text_col)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most_bytes
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def map_batches(
-    frame: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, list | pa.Array]]
+    frame: DataFrame,
+    schema: str,
+    work: Callable[[pa.RecordBatch], dict[str, list | pa.Array]],
+    text_col: str | None = None,
+    most_bytes: int | None = None,
 ) -> DataFrame:
-    """Apply `work` to each Arrow batch; it returns columns by name for `schema`."""
+    """Apply `work` to each Arrow batch; it returns columns by name for `schema`. With
+    `most_bytes` it gets slices of about that much text in `text_col`, one after the other."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -85,14 +101,15 @@ def map_batches(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = work(batch)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    value.cast(field.type) if isinstance(value := columns[field.name], pa.Array) else pa.array(value, field.type)
-                    for field in target
-                ],
-                schema=target,
-            )
+            for part in [batch] if most_bytes is None else sliced(batch, text_col, most_bytes):
+                columns = work(part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        value.cast(field.type) if isinstance(value := columns[field.name], pa.Array) else pa.array(value, field.type)
+                        for field in target
+                    ],
+                    schema=target,
+                )
 
     return frame.mapInArrow(run, schema)
 
