@@ -18,6 +18,7 @@ from perigee.llm.shared import shared_folder, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LEAST_SCORE = 0.4
+PRINT_WORDS = 3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,8 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of copies and near copies, that with the smallest id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """Keep one document of each group of copies and near copies, that with the smallest id.
+
+    Fingerprints link documents as in op2; those farther apart are linked by similarity."""
+    return simhash.one_of_each(docs.select(*COLUMNS), print_words=PRINT_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

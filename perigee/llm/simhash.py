@@ -122,6 +122,12 @@ def links(distinct: DataFrame, folder: str) -> DataFrame:
     return groups.where("n > 1").select(F.explode("fps").alias("a"), "b").where("a <> b")
 
 
+def rooted_prints(rows: DataFrame, distinct: DataFrame, folder: str) -> DataFrame:
+    """`rows` with the root of their fingerprint's component; `distinct` has each `fp` once."""
+    roots = connected(links(distinct, folder), folder).withColumnRenamed("node", "fp")
+    return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     documents: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
 ) -> DataFrame:
@@ -135,11 +141,7 @@ def near_duplicates(
     folder = folder or shared_folder(documents.sparkSession)
     prints = stored(fingerprints(documents, words, id_col, text_col), f"{folder}/prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), f"{folder}/distinct")
-    roots = connected(links(distinct, folder), folder)
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = stored(rooted, f"{folder}/rooted")
+    rooted = stored(rooted_prints(distinct, distinct, folder), f"{folder}/rooted")
     # only components of several fingerprints need another minimum
     several = rooted.where("root <> fp").select("root").distinct()
     least = rooted.join(several, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
@@ -206,19 +208,32 @@ class Forest:
         return True
 
 
-def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(node, id, size, bands) of rows (node, id, text); size: distinct shingles."""
+def sketches(rows: DataFrame, words: int, print_words: int | None = None) -> DataFrame:
+    """(node, id, size, bands, fp) of rows (node, id, text); size: distinct shingles; fp: the
+    fingerprint over shingles of `print_words` words, if that is given."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
-        sizes, bands = [], []
+        sizes, bands, prints = [], [], []
         for text in texts(batch):
+            if print_words is not None:
+                prints.append(fingerprint(text, print_words))
             held = shingle_set(text, words)
             sizes.append(len(held))
             bands.append(band_values(minima(held)))
-        return {"node": column(batch, "node"), "id": column(batch, "id"), "size": sizes, "bands": bands}
+        fp = pa.nulls(len(sizes)) if print_words is None else pa.array(np.array(prints, np.uint64).view(np.int64))
+        return {"node": column(batch, "node"), "id": column(batch, "id"), "size": sizes, "bands": bands, "fp": fp}
 
-    return map_batches(rows, f"node binary, id {id_type}, size bigint, bands array<bigint>", work)
+    return map_batches(rows, f"node binary, id {id_type}, size bigint, bands array<bigint>, fp bigint", work)
+
+
+def fingerprint_links(distinct: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) of the texts (node, fp) of each component of fingerprints, as
+    `near_duplicates` connects them, with the component's first text."""
+    prints = stored(distinct.select("fp").distinct(), f"{folder}/prints")
+    rooted = stored(rooted_prints(distinct.select("node", "fp"), prints, folder).select("node", "root"), f"{folder}/rooted")
+    groups = rooted.groupBy("root").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b <> high")
+    return rooted.join(groups.drop("high"), "root").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def memberships(distinct: DataFrame) -> DataFrame:
@@ -305,8 +320,10 @@ def _copy(id_column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("+"), id_column.cast("string")), F.lit("-"))
 
 
-def alike(distinct: DataFrame, rows: DataFrame, words: int, least: float, folder: str, block: int = BLOCK) -> DataFrame:
-    """(node, root) of the groups of alike texts.
+def alike(
+    distinct: DataFrame, rows: DataFrame, words: int, least: float, folder: str, block: int = BLOCK, linked: DataFrame | None = None
+) -> DataFrame:
+    """(node, root) of the groups of alike texts; those that `linked` (a, b) has are linked.
 
     Texts are compared with the first text of their groups, at one comparison a text and
     group; then whatever shares a group and is not connected yet is compared, so that no
@@ -319,6 +336,7 @@ def alike(distinct: DataFrame, rows: DataFrame, words: int, least: float, folder
     rows = rows.select("node", _copy(F.col("id")).alias("copy"), "text").join(chosen, ["node", "copy"], "left_semi")
     rows = stored(rows.dropDuplicates(["node", "copy"]).drop("copy"), f"{folder}/grouped-texts")
     links = stored(compared(first_texts(members, block), rows, words, least), f"{folder}/first-links")
+    links = links if linked is None else links.unionByName(linked)
     roots = stored(connected(links, f"{folder}/first"), f"{folder}/roots")
     more = stored(compared(open_groups(members, roots, block), rows, words, least), f"{folder}/more-links")
     return connected(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), f"{folder}/second")
@@ -331,13 +349,16 @@ def one_of_each(
     id_col: str = "doc_id",
     text_col: str = "text",
     folder: str | None = None,
+    print_words: int | None = None,
 ) -> DataFrame:
     """The rows of `documents`, one of each group of copies and near copies.
 
-    Two texts are alike if their sets of word shingles have a Jaccard similarity of
-    `least` or more. At that distance fingerprints differ in about ten bits, where a
-    popcount bound no longer tells pairs apart; candidates are found by bands of minima
-    over the shingles instead and verified exactly.
+    With `print_words`, two texts are linked if `near_duplicates` links their fingerprints
+    over shingles of so many words: popcount cells, the grid, exact links of two bits at
+    most. Two texts are also alike if their sets of word shingles have a Jaccard similarity
+    of `least` or more. At that distance fingerprints differ in about ten bits, where a
+    popcount bound no longer tells pairs apart; these candidates are found by bands of
+    minima over the shingles and verified exactly.
 
     Groups are connected over these links, and the row with the smallest id stays (an
     id before none, then the smallest text hash). Equal texts (by 128-bit hashes) are one
@@ -347,10 +368,13 @@ def one_of_each(
     folder = folder or shared_folder(documents.sparkSession)
     node = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     rows = documents.select(node.alias("node"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = stored(sketches(rows, words), f"{folder}/sketches")
-    once = [F.any_value(name).alias(name) for name in ("size", "bands")]
+    found = stored(sketches(rows, words, print_words), f"{folder}/sketches")
+    once = [F.any_value(name).alias(name) for name in ("size", "bands", "fp")]
     distinct = stored(found.groupBy("node").agg(F.min("id").alias("first"), *once), f"{folder}/texts")
-    roots = alike(distinct, rows, words, least, folder)
+    linked = None
+    if print_words is not None:
+        linked = stored(fingerprint_links(distinct, f"{folder}/fingerprints"), f"{folder}/fingerprint-links")
+    roots = alike(distinct, rows, words, least, folder, linked=linked)
     grouped = distinct.select("node", "first").join(roots, "node", "left")
     # only members of groups are ranked; texts of their own stay as they are
     names = grouped.where("root is not null").select("root").distinct()
