@@ -113,7 +113,11 @@ STATE = T.StructType(
 
 
 def threshold_events(
-    samples: DataFrame, policies: DataFrame, segment_rows: int = SEGMENT_ROWS, state: DataFrame | None = None
+    samples: DataFrame,
+    policies: DataFrame,
+    segment_rows: int = SEGMENT_ROWS,
+    state: DataFrame | None = None,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Alert events of every entity under every policy; after ``state``, if that is given,
     as if the samples behind it came before.
@@ -122,22 +126,38 @@ def threshold_events(
     since the metric's last ``info`` sample (not necessarily in a row), and an event
     is emitted when that severity differs from the one emitted before it in the
     same stretch. Measures entity sizes first (one narrow aggregation) to decide
-    whether any series has to be cut.
+    whether any series has to be cut. ``ends`` are the ``segment_ends`` of the same input,
+    where they are stored already.
     """
-    graded, cut = _graded(samples, policies, segment_rows, state is not None)
-    emitted = _severity_changes(graded, cut, state)
-    return _describe(_number(emitted, cut, state))
+    graded, long_series = _graded(samples, policies, segment_rows, state is not None)
+    emitted = _severity_changes(graded, long_series, state, ends)
+    return _describe(_number(emitted, long_series, state))
+
+
+def segment_ends(
+    samples: DataFrame, policies: DataFrame, state: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """What every series has behind each of its segments, under each policy and metric;
+    few rows beside the samples, which the events and the state of a slice both read."""
+    graded, _ = _graded(samples, policies, segment_rows, True)
+    columns = ["out_warning", "out_critical", "out_severity", "out_last"]
+    return _summaries(graded, state).select(*SERIES, "segment", *columns)
 
 
 def alert_state(
-    samples: DataFrame, policies: DataFrame, events: DataFrame, state: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS
+    samples: DataFrame,
+    policies: DataFrame,
+    events: DataFrame,
+    state: DataFrame | None = None,
+    segment_rows: int = SEGMENT_ROWS,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """STATE behind the samples, of which ``events`` were the events; one row per series,
     policy and metric, and one per series and policy that had events. Series without new
-    samples keep theirs."""
-    graded, _ = _graded(samples, policies, segment_rows, True)
+    samples keep theirs. ``ends`` are as for ``threshold_events``."""
+    ends = segment_ends(samples, policies, state, segment_rows) if ends is None else ends
     by_series = Window.partitionBy(*SERIES).orderBy(F.col("segment").desc())
-    last = _summaries(_stretches(graded, True), state).withColumn("_rank", F.row_number().over(by_series)).where("_rank = 1")
+    last = ends.withColumn("_rank", F.row_number().over(by_series)).where("_rank = 1")
     metrics = last.select(
         *SERIES,
         F.col("out_warning").alias("n_warning"),
@@ -169,14 +189,15 @@ def _watched_form(samples: DataFrame) -> DataFrame:
 
 def _graded(samples: DataFrame, policies: DataFrame, segment_rows: int, segments: bool) -> tuple[DataFrame, bool]:
     """Watched samples with their severity under each policy, placed by series (and by
-    segment, if a series has to be cut or ``segments`` asks for it)."""
+    segment, if a series has to be cut or ``segments`` asks for it); whether one has to be."""
     samples = _watched_form(samples)
     thresholds = hinted(policies.select(*THRESHOLD_COLUMNS))
     watched = samples.join(hinted(policies.select("measurement_name")), ["measurement_name"], "left_semi")
-    hot = cuts(watched, segment_rows)
-    long_series = not at_most(hot, 0)
+    sizes = watched.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("_n"))
+    long_series = not at_most(sizes.where(F.col("_n") > segment_rows), 0)
     cut = long_series or segments
     if long_series:
+        hot = cuts(watched, segment_rows)
         here = F.struct("sequence_count", "sample_ordinal")
         segment = F.size(F.filter("_cuts", lambda place: place <= here))
         watched = watched.join(hot, ENTITY, "left")
@@ -194,7 +215,7 @@ def _graded(samples: DataFrame, policies: DataFrame, segment_rows: int, segments
         .withColumn("threshold", labels.threshold_hit(F.col("severity"), F.col("warning"), F.col("critical")))
         .drop("direction", "warning", "critical")
     )
-    return graded, cut
+    return graded, long_series
 
 
 def _with_scenario(samples: DataFrame) -> DataFrame:
@@ -217,16 +238,25 @@ def _stretches(graded: DataFrame, cut: bool) -> DataFrame:
     return graded.withColumn("stretch", F.count_if(F.col("severity") == "info").over(so_far))
 
 
-def _severity_changes(graded: DataFrame, cut: bool, state: DataFrame | None) -> DataFrame:
+def _severity_changes(graded: DataFrame, long_series: bool, state: DataFrame | None, ends: DataFrame | None) -> DataFrame:
+    cut = long_series or state is not None
     series = [*SERIES, "segment"] if cut else SERIES
     stretches = _stretches(graded, cut)
     alerting = stretches.where(F.col("severity") != "info")
-    reached = F.row_number().over(Window.partitionBy(*series, "stretch", "severity").orderBy(*_order()))
+    # counted in the order that the change of severity below needs too: one sort for both
+    in_stretch = Window.partitionBy(*series, "stretch").orderBy(*_order())
+    so_far = in_stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = lambda level: F.count_if(F.col("severity") == level).over(so_far)
+    reached = F.when(F.col("severity") == "warning", seen("warning")).otherwise(seen("critical"))
     before = F.lit(None).cast("string")
     if cut:
+        if long_series:
+            carry = _carry(_summaries(graded, state) if ends is None else ends)
+        else:
+            carry = _carried(state)
         alerting = _attach(
             alerting,
-            _carry(_summaries(stretches, state)),
+            carry,
             ["policy", "measurement_name"],
             ["carry_warning", "carry_critical", "carry_severity"],
         )
@@ -239,7 +269,7 @@ def _severity_changes(graded: DataFrame, cut: bool, state: DataFrame | None) ->
     kept = alerting.withColumn("_reached", reached).where(
         F.col("_reached") >= F.col("required_persistence")
     )
-    previous = F.lag("severity").over(Window.partitionBy(*series, "stretch").orderBy(*_order()))
+    previous = F.lag("severity").over(in_stretch)
     return (
         kept.withColumn("_before", F.coalesce(previous, before))
         .where(~F.col("_before").eqNullSafe(F.col("severity")))
@@ -247,26 +277,25 @@ def _severity_changes(graded: DataFrame, cut: bool, state: DataFrame | None) ->
     )
 
 
-def _summaries(stretches: DataFrame, state: DataFrame | None) -> DataFrame:
+def _summaries(graded: DataFrame, state: DataFrame | None) -> DataFrame:
     """Counters and last qualified severity of the stretch that is open at the end of each
     segment. One row per series and segment; what ``state`` carries in is segment -1."""
     at = F.struct("sequence_count", "sample_ordinal")
     is_warning, is_critical = F.col("severity") == "warning", F.col("severity") == "critical"
-    # per stretch first, so the open (last) stretch of the segment can be picked
-    per_stretch = stretches.groupBy(*SERIES, "segment", "stretch").agg(
+    # the open stretch has no info sample behind it; it begins with one or with the segment
+    backwards = Window.partitionBy(*SERIES, "segment").orderBy(*[place.desc() for place in _order()])
+    is_info = F.col("severity") == "info"
+    behind = F.count_if(is_info).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
+    open_stretch = graded.withColumn("_behind", behind).where("_behind = 0").groupBy(*SERIES, "segment").agg(
         F.count_if(is_warning).alias("n_warning"),
         F.count_if(is_critical).alias("n_critical"),
         F.max(F.when(is_warning, at)).alias("at_warning"),
         F.max(F.when(is_critical, at)).alias("at_critical"),
         F.max("required_persistence").alias("required"),
+        F.count_if(is_info).alias("stretch"),
         F.max(at).alias("last"),
     )
-    open_stretch = per_stretch.groupBy(*SERIES, "segment").agg(
-        F.max_by(
-            F.struct("n_warning", "n_critical", "at_warning", "at_critical", "required", "stretch", "last"), "stretch"
-        ).alias("t")
-    )
-    summary = open_stretch.select(*SERIES, "segment", "t.*").withColumn("before", F.lit(None).cast("string"))
+    summary = open_stretch.withColumn("before", F.lit(None).cast("string"))
     if state is not None:
         carried = state.where("measurement_name is not null").select(
             *SERIES,
@@ -324,6 +353,17 @@ def _carry(summary: DataFrame) -> DataFrame:
     ).where(F.col("carry_warning").isNotNull())
 
 
+def _carried(state: DataFrame) -> DataFrame:
+    """What series of one segment inherit: the state in front of it."""
+    return state.where("measurement_name is not null").select(
+        *SERIES,
+        F.lit(0).alias("segment"),
+        F.col("n_warning").alias("carry_warning"),
+        F.col("n_critical").alias("carry_critical"),
+        F.col("severity").alias("carry_severity"),
+    )
+
+
 def _attach(rows: DataFrame, summary: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Left-join per-segment values onto rows that are placed by series and segment.
 
@@ -340,9 +380,10 @@ def _attach(rows: DataFrame, summary: DataFrame, by: list[str], values: list[str
     return found.withColumns({v: F.col(f"_found.{v}") for v in values}).drop("_folded", "_found")
 
 
-def _number(events: DataFrame, cut: bool, state: DataFrame | None) -> DataFrame:
-    """Number a series' events under a policy in emission order over all metrics."""
-    if not cut:
+def _number(events: DataFrame, long_series: bool, state: DataFrame | None) -> DataFrame:
+    """Number a series' events under a policy in emission order over all metrics. Events
+    are counted by segment only where a series has several; else the state has the count."""
+    if not long_series and state is None:
         numbering = Window.partitionBy(*ENTITY, "policy").orderBy(*_order())
         return events.withColumn("event_no", F.row_number().over(numbering))
     local = F.row_number().over(Window.partitionBy(*ENTITY, "policy", "segment").orderBy(*_order()))
@@ -351,11 +392,14 @@ def _number(events: DataFrame, cut: bool, state: DataFrame | None) -> DataFrame:
         .orderBy("segment")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    counts = events.groupBy(*ENTITY, "policy", "segment").agg(F.count(F.lit(1)).alias("n"))
-    if state is not None:
-        had = state.where("measurement_name is null")
-        counts = counts.unionByName(had.select(*ENTITY, "policy", F.lit(-1).alias("segment"), F.col("events").alias("n")))
-    offsets = counts.select(*ENTITY, "policy", "segment", F.sum("n").over(earlier).alias("earlier"))
+    had = None if state is None else state.where("measurement_name is null")
+    if long_series:
+        counts = events.groupBy(*ENTITY, "policy", "segment").agg(F.count(F.lit(1)).alias("n"))
+        if had is not None:
+            counts = counts.unionByName(had.select(*ENTITY, "policy", F.lit(-1).alias("segment"), F.col("events").alias("n")))
+        offsets = counts.select(*ENTITY, "policy", "segment", F.sum("n").over(earlier).alias("earlier"))
+    else:
+        offsets = had.select(*ENTITY, "policy", F.lit(0).alias("segment"), F.col("events").alias("earlier"))
     numbered = _attach(events, offsets, ["policy"], ["earlier"])
     return numbered.withColumn("event_no", (local + F.coalesce("earlier", F.lit(0))).cast("int")).drop("earlier")
 
