@@ -15,9 +15,8 @@ backward search. Chunks repeat, so a bounded memory of chunks saves most of the
 from __future__ import annotations
 
 import heapq
-import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import chain
 
@@ -28,7 +27,6 @@ from pyspark.sql import DataFrame
 from perigee.llm.shared import column, map_batches, texts
 
 SPACE = "▁"
-CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 NEVER = float("-inf")
 UNKNOWN_COST = 10.0
 REMEMBERED = 250_000
@@ -37,7 +35,7 @@ N_BEST = 3
 # characters of texts whose chunks are made distinct together
 TOGETHER = 1 << 20
 # characters of new chunks whose lattices grow together
-GROWN = 1 << 17
+GROWN = 1 << 16
 # bytes of texts whose results a worker holds
 SLICE = 1 << 22
 # 32-bit words of a remembered chunk before its ids
@@ -132,11 +130,12 @@ class Pieces:
         return best, second, back
 
     @cached_property
-    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-        """The tree of pieces as sorted keys (place in the tree, next character), where each
-        leads, and what piece ends there: its score (NaN: none) and number in a list."""
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tree of pieces as sorted keys (place in the tree, next character) and where
+        each leads; where the first character leads; what piece ends there: its score (NaN:
+        none) and number in a list of ids."""
         keys, to, place = [], [], {id(self.tree): 0}
-        score, number, ids = [np.nan], [0], [()]
+        score, number, ids = [np.nan], [0], [0]
         level = [self.tree]
         while level:
             under = []
@@ -148,95 +147,119 @@ class Pieces:
                     score.append(np.nan if arc is None else arc[0])
                     number.append(len(ids) if arc else 0)
                     if arc:
-                        ids.append(arc[1])
+                        ids.append(arc[1][0])
                     under.append(below)
             level = under
-        order = np.argsort(np.array(keys, np.int64)) if keys else np.zeros(0, np.int64)
-        return np.array(keys, np.int64)[order], np.array(to, np.int64)[order], np.array(score), np.array(number), ids
-
-    def arcs_of(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, score, piece) of all arcs in texts that lie one after the other.
-
-        text: characters; ends: where the text of each character ends. All places go down
-        the tree together. A character that is no piece has an arc of its own, piece 0.
+        keys, to = np.array(keys, np.int64), np.array(to, np.int64)
+        first = np.zeros(0x110000, np.int32)
+        first[keys[: len(self.tree)]] = to[: len(self.tree)]
+        order = np.argsort(keys)
+        return keys[order], to[order], first, np.array(score), np.array(number, np.int32), np.array(ids, np.int32)
+
+    def arcs_of(self, text: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, score, piece) of all arcs of one character, of two, and so on.
+
+        text: characters; after: where the next character of the same chunk is, or -1. All
+        places go down the tree together. A character that is no piece has an arc of its
+        own, piece 0.
         """
-        keys, to, score, number, _ = self.steps
-        at, node, length = np.arange(len(text)), np.zeros(len(text), np.int64), 0
-        out, single = [], np.zeros(len(text), bool)
-        while len(at) and len(keys):
-            wanted = (node << 21) | text[at + length]
+        keys, to, first, score, number, _ = self.steps
+        node, at = first[text], np.arange(len(text))
+        other = np.isnan(score[node])
+        yield at, np.where(other, self.worst, score[node]), np.where(other, 0, number[node])
+        at = at[node > 0]
+        place, node = after[at], node[at]
+        while True:
+            more = place >= 0
+            at, place, node = at[more], place[more], node[more].astype(np.int64)
+            if not len(at):
+                return
+            wanted = (node << 21) | text[place]
             found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             on = keys[found] == wanted
-            at, node, length = at[on], to[found[on]], length + 1
+            at, place, node = at[on], place[on], to[found[on]]
             piece = ~np.isnan(score[node])
-            out.append((at[piece], at[piece] + length, score[node[piece]], number[node[piece]]))
-            if length == 1:
-                single[at[piece]] = True
-            more = at + length < ends[at]
-            at, node = at[more], node[more]
-        other = np.flatnonzero(~single)
-        out.append((other, other + 1, np.full(len(other), self.worst), np.zeros(len(other), np.int64)))
-        return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+            yield at[piece], score[node[piece]], number[node[piece]]
+            place = after[place]
 
-    def best_of(self, chunks: list[str]) -> list[tuple[float, float, tuple[int, ...]]]:
-        """`best` of many chunks at once: the forward scores of all of them grow together,
-        place by place of the chunks."""
-        lengths = np.array([len(c) for c in chunks], np.int64)
-        text = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
-        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        start, end, cost, piece = self.arcs_of(text, np.repeat(first + lengths, lengths))
-        # a chunk of n characters has n + 1 places
-        owner = np.repeat(np.arange(len(chunks)), lengths)[start]
-        start, end = start + owner, end + owner
-        best, second = np.full(len(text) + len(chunks), NEVER), np.full(len(text) + len(chunks), NEVER)
-        back = np.zeros(len(best), np.int64)
-        base = first + np.arange(len(chunks))
-        best[base] = 0.0
-        column = end - base[owner]
-        order = np.lexsort((start, end, column))
-        start, end, cost, piece, column = (x[order] for x in (start, end, cost, piece, column))
-        edges = np.searchsorted(column, np.arange(1, int(lengths.max(initial=0)) + 2)).tolist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            goal = end[a:b]
-            heads = np.flatnonzero(np.concatenate(([True], goal[1:] != goal[:-1])))
-            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, b - a)))
-            score = best[start[a:b]] + cost[a:b]
-            most = np.maximum.reduceat(score, heads)
-            winners = np.flatnonzero(score == most[group])
-            winners = winners[np.concatenate(([True], np.diff(group[winners]) > 0))]
-            best[goal[heads]], back[goal[heads]] = most, winners + a
-            score[winners] = NEVER
-            others = np.maximum(score, second[start[a:b]] + cost[a:b])
-            second[goal[heads]] = np.maximum.reduceat(others, heads)
-        last = base + lengths
-        ids = self._along(chunks, base, last, start, piece, back)
-        return list(zip(best[last].tolist(), (best[last] - second[last]).tolist(), ids, strict=True))
-
-    def _along(self, chunks: list[str], base: np.ndarray, last: np.ndarray, start: np.ndarray, piece: np.ndarray, back: np.ndarray) -> list[tuple[int, ...]]:
+    def grown(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, losses, numbers of ids, ids) of the chunks that lie one after the other
+        in `text`: what `best` finds, with the lattices of all of them grown together.
+
+        The c-th characters of all chunks lie in a row, the longest chunk's first, so the
+        chunks that go on are always the head of the rows before.
+        """
+        order = np.argsort(-lengths, kind="stable")
+        length, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        wide = np.searchsorted(-length, -np.arange(length[0] + 1))
+        at = np.cumsum(wide) - wide
+        chunk, place = np.arange(at[-1]) - np.repeat(at, wide), np.repeat(np.arange(len(wide)), wide)
+        characters = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)[begin[chunk] + place]
+        after = np.where(chunk < wide[place + 1], at[place + 1] + chunk, -1)
+        costs, numbers, there = [], [], []
+        for start, cost, number in self.arcs_of(characters, after):
+            costs.append(np.full(len(characters), NEVER))
+            costs[-1][start] = cost
+            numbers.append(np.zeros(len(characters), np.int32))
+            numbers[-1][start] = number
+            there.append((np.bincount(place[start], minlength=len(wide)) > 0).tolist())
+        # scores by the character that a path has come to
+        best, second = np.full(len(characters), NEVER), np.full(len(characters), NEVER)
+        back = np.zeros(len(characters), np.int64)
+        rows, counts = at.tolist(), wide.tolist()
+        for c, (a, m) in enumerate(zip(rows[:-1], counts[:-1], strict=True)):
+            most, next_, by = best[a : a + m], second[a : a + m], back[a : a + m]
+            # from the arc that starts first: among equal scores it is kept
+            for size in range(min(c + 1, len(costs)), 0, -1):
+                if not there[size - 1][c + 1 - size]:
+                    continue
+                score = costs[size - 1][rows[c + 1 - size] : rows[c + 1 - size] + m]
+                if size <= c:
+                    before = rows[c - size]
+                    np.maximum(next_, second[before : before + m] + score, out=next_)
+                    score = best[before : before + m] + score
+                np.maximum(next_, np.minimum(most, score), out=next_)
+                np.copyto(by, size, where=score > most)
+                np.maximum(most, score, out=most)
+        last = at[length - 1] + np.arange(len(length))
+        scores, losses = np.empty(len(length)), np.empty(len(length))
+        scores[order], losses[order] = best[last], best[last] - second[last]
+        sizes, ids = self._along(order, length, at, back, np.concatenate(numbers), characters)
+        return scores, losses, sizes, ids
+
+    def _along(self, order: np.ndarray, length: np.ndarray, at: np.ndarray, back: np.ndarray, numbers: np.ndarray, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of every chunk's best path, all paths walked back together."""
-        place, owner, walked = last.copy(), np.arange(len(chunks)), []
-        while len(place):
-            arc = back[place]
-            walked.append((owner, arc))
-            place = start[arc]
-            on = place > base[owner]
-            place, owner = place[on], owner[on]
-        if not walked:
+        chunk, place, walked, count = np.arange(len(order)), length, [], np.zeros(len(order), np.int64)
+        while len(chunk):
+            size = back[at[place - 1] + chunk]
+            place = place - size
+            start = at[place] + chunk
+            walked.append((order[chunk], numbers[(size - 1) * len(characters) + start], characters[start]))
+            count[order[chunk]] += 1
+            chunk, place = chunk[place > 0], place[place > 0]
+        ends = np.cumsum(count)
+        piece, first = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.uint32)
+        for k, (owner, number, character) in enumerate(walked, 1):
+            piece[ends[owner] - k], first[ends[owner] - k] = number, character
+        ids = self.steps[5][piece]
+        other = piece == 0
+        if not other.any():
+            return count, ids
+        if not self.bytes_:
+            ids[other] = self.unknown
+            return count, ids
+        width = np.where(other, 1 + (first >= 0x80) + (first >= 0x800) + (first >= 0x10000), 1)
+        ids = np.repeat(ids, width)
+        ids[np.repeat(other, width)] = [self.bytes_[b] for b in first[other].tobytes().decode("utf-32-le").encode()]
+        return np.add.reduceat(width, ends - count), ids
+
+    def best_of(self, chunks: list[str]) -> list[tuple[float, float, tuple[int, ...]]]:
+        """`best` of many chunks at once."""
+        if not chunks:
             return []
-        owner, arc = (np.concatenate(x)[::-1] for x in zip(*walked, strict=True))
-        order = np.argsort(owner, kind="stable")
-        owner, arc = owner[order], arc[order]
-        parts, starts, ends = piece[arc].tolist(), start[arc].tolist(), np.cumsum(np.bincount(owner, minlength=len(chunks))).tolist()
-        ids, single, out, a = self.steps[4], np.array([x[0] if x else -1 for x in self.steps[4]])[piece[arc]].tolist(), [], 0
-        unknown = set(owner[piece[arc] == 0].tolist())
-        for k, b in enumerate(ends):
-            if k in unknown:
-                found = (ids[parts[i]] or self.fallback(chunks[k][starts[i] - int(base[k])])[1] for i in range(a, b))
-                out.append(tuple(chain.from_iterable(found)))
-            else:
-                out.append(tuple(single[a:b]))
-            a = b
-        return out
+        scores, losses, sizes, ids = self.grown("".join(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        return list(zip(scores.tolist(), losses.tolist(), (tuple(x.tolist()) for x in parts), strict=True))
 
     def best(self, chunk: str) -> tuple[float, float, tuple[int, ...]]:
         """Score, loss of the second path (infinite if there is none), best ids."""
@@ -275,6 +298,27 @@ class Pieces:
                 heapq.heappush(agenda, (-round(best[i] + score, SAME), i, order, score, (arc[1], path)))
         return out
 
+    @cached_property
+    def contents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes of each id end, and the bytes of all ids."""
+        return np.cumsum([len(x) for x in self.content]), np.frombuffer(b"".join(self.content), np.uint8)
+
+    def decoded_alike(self, text: str, lengths: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether the ids of each chunk decode to it; the chunks (without marks) and their
+        ids lie one after the other."""
+        ends, content = self.contents
+        width = np.diff(ends, prepend=0)[ids]
+        shift = np.repeat(ends[ids] - np.cumsum(width), width)
+        got = content[shift + np.arange(len(shift))]
+        size = np.bincount(np.repeat(np.arange(len(sizes)), sizes), width, len(sizes)).astype(np.int64)
+        want = np.frombuffer(text.encode(), np.uint8)
+        heads = np.flatnonzero((want & 0xC0) != 0x80)
+        whole = np.diff(np.append(heads, len(want))[np.append(0, np.cumsum(lengths))])
+        alike = size == whole
+        wrong = got[np.repeat(alike, size)] != want[np.repeat(alike, whole)]
+        alike[np.repeat(np.flatnonzero(alike), size[alike])[wrong]] = False
+        return alike
+
     def content_of(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -284,6 +328,26 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+def _chunks(values: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The chunks of all texts, one text after the other, and how many each has.
+
+    Texts begin with a space unless they are empty; a space mark in a text is a space.
+    """
+    marked = [(" " + text.replace(SPACE, " ")).encode() if text else b"" for text in values]
+    data = b"".join(marked)
+    text = np.frombuffer(data, np.uint8)
+    ends = np.cumsum([0, *map(len, marked)])
+    line, cut = text == 10, text == 32
+    cut[1:] &= ~cut[:-1]
+    cut |= line
+    cut[1:] |= line[:-1]
+    cut[ends[:-1][np.diff(ends) > 0]] = True
+    starts = np.flatnonzero(cut)
+    offsets = np.append(starts, len(text)).astype(np.int32)
+    chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+    return chunks, np.diff(np.searchsorted(starts, ends))
+
+
 class Encoder:
     """Encodes whole texts; remembers a bounded number of chunks."""
 
@@ -307,9 +371,9 @@ class Encoder:
         The chunks of all texts are made distinct first: the lattice of each is looked at
         once, and so is what its ids decode to; texts gather from the distinct ones.
         """
-        split = [CHUNKS.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in values]
-        coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
-        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        chunks, many = _chunks(values)
+        coded = chunks.dictionary_encode()
+        distinct, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         known = self._known(distinct)
         flat = np.frombuffer(b"".join(known), np.int32)
         length = np.fromiter(map(len, known), np.int64, len(known)) // 4
@@ -318,7 +382,7 @@ class Encoder:
         best, loss, right, held = scored[number, 0], scored[number, 1], flat[start + 4][number] > 0, length[number] - HEAD
         shift = np.repeat(start[number] + HEAD - (np.cumsum(held) - held), held)
         ids = flat[shift + np.arange(len(shift))]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in split]))).tolist()
+        ends = [0, *np.cumsum(many).tolist()]
         scores, sizes, more, back = [], [], [], []
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             scores.append(float(best[a:b].sum()))
@@ -345,31 +409,52 @@ class Encoder:
     def _known(self, distinct: list[str]) -> list[bytes]:
         """Each chunk's best path, and whether it decodes to the chunk, as `_packed` has
         them; chunks not used since the memory last filled are forgotten."""
-        known = [self.chunks.get(chunk) or self.older.get(chunk) for chunk in distinct]
-        new = [k for k, found in enumerate(known) if found is None]
-        short = [k for k in new if len(distinct[k]) <= LONGEST_REMEMBERED]
-        step = GROWN // LONGEST_REMEMBERED
-        for at in range(0, len(short), step):
-            several = short[at : at + step]
-            for k, found in zip(several, self.pieces.best_of([distinct[k] for k in several]), strict=True):
-                known[k] = self._packed(distinct[k], *found)
-        for k in new:
-            known[k] = known[k] or self._packed(distinct[k], *self.pieces.best(distinct[k]))
+        known = list(map(self.chunks.get, distinct))
+        unseen = [k for k, found in enumerate(known) if found is None]
+        new = []
+        for k in unseen:
+            known[k] = self.older.get(distinct[k])
+            if known[k] is None:
+                new.append(k)
+        lengths = np.fromiter((len(distinct[k]) for k in new), np.int64, len(new))
+        short = np.flatnonzero(lengths <= LONGEST_REMEMBERED)
+        group = np.cumsum(lengths[short]) // GROWN
+        for several in np.split(short, np.flatnonzero(np.diff(group)) + 1) if len(short) else []:
+            several = several.tolist()
+            text = "".join([distinct[new[i]] for i in several])
+            for i, found in zip(several, self._packed_together(text, lengths[several]), strict=True):
+                known[new[i]] = found
+        for i in np.flatnonzero(lengths > LONGEST_REMEMBERED).tolist():
+            chunk = distinct[new[i]]
+            known[new[i]] = self._packed(chunk, *self.pieces.best(chunk.replace(" ", SPACE)))
         if len(self.chunks) >= REMEMBERED:
-            self.chunks, self.older = {}, self.chunks
-        self.chunks.update((c, found) for c, found in zip(distinct, known, strict=True) if len(c) <= LONGEST_REMEMBERED)
+            self.chunks, self.older, unseen = {}, self.chunks, range(len(known))
+        self.chunks.update((distinct[k], known[k]) for k in unseen if len(distinct[k]) <= LONGEST_REMEMBERED)
         return known
 
+    def _packed_together(self, text: str, lengths: np.ndarray) -> list[bytes]:
+        """`_packed` of the best paths of the chunks that lie one after the other."""
+        scores, losses, sizes, ids = self.pieces.grown(text.replace(" ", SPACE), lengths)
+        ends = np.cumsum(sizes + HEAD)
+        heads = (ends - sizes - HEAD)[:, None] + np.arange(HEAD)
+        packed, is_id = np.empty(ends[-1], np.int32), np.ones(ends[-1], bool)
+        is_id[heads] = False
+        packed[is_id] = ids
+        packed[heads[:, :4]] = np.stack((scores, losses), axis=1).view(np.int32)
+        packed[heads[:, 4]] = self.pieces.decoded_alike(text, lengths, sizes, ids)
+        data, cuts = packed.tobytes(), [0, *(ends * 4).tolist()]
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _packed(self, chunk: str, score: float, loss: float, ids: tuple[int, ...]) -> bytes:
         """Score, loss, round trip and ids as bytes, as the objects take far more memory."""
-        return struct.pack(f"=ddi{len(ids)}i", score, loss, self.pieces.content_of(ids) == chunk.replace(SPACE, " "), *ids)
+        return struct.pack(f"=ddi{len(ids)}i", score, loss, self.pieces.content_of(ids) == chunk, *ids)
 
     def _others(self, chunk: str) -> list:
         found = self.others.get(chunk)
         if found is None:
             if len(self.others) >= REMEMBERED // 20:
                 self.others.clear()
-            found = self.pieces.n_best(chunk, self.n)
+            found = self.pieces.n_best(chunk.replace(" ", SPACE), self.n)
             if len(chunk) <= LONGEST_REMEMBERED:
                 self.others[chunk] = found
         return found
